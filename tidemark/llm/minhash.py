@@ -107,12 +107,9 @@ def with_next(df: DataFrame, per_part: int = 5000, bins: int = BINS, bits: int =
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
         """Ranges from the highest ids down; null ids lie after all others."""
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), len(bounds) + 1, np.int32)
-        out[known] = len(bounds) - np.searchsorted(bounds, ids[known].to_numpy(np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), side="right")).astype(np.int32))
 
-    dealt = df.withColumn("part", range_of("doc_id"))
+    dealt = df.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
     # one row for each range: its first id, then of the few rows with such an id the first text
     firsts = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}

@@ -16,6 +16,58 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shuffle_into_shards
+
+    docs = _documents(spark, sf_dir)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"))
+    return shuffle_into_shards(rows, 16, seed=11).select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix, word_count
+
+    docs = _documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_hash"))
+    return mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import materialise
+    from tidemark.llm.quality import fit, held_out, with_features, with_scores
+
+    rows = materialise(with_features(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False), "features")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    model = fit(rows.join(labels, "doc_id").select("features", "label"))
+    scored = with_scores(rows.select("doc_id", held_out().alias("held_out"), "features"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licences import scan
+
+    found = scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").alias("n_sentences"), F.array_join(F.col("sentence_ids").cast("array<string>"), ",").alias("sentence_ids"), F.array_join("licences", ";").alias("licences"))
+
+
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mpeg import parse_media, store_texts
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = parse_media(store_texts(docs, keep_text=False))
+    a = F.col("audio")
+    feature = F.format_string(
+        "mpeg%s layer%d ch=%d rate=%d frames=%d samples=%d crc=%d/%d skipped=%d vbr=%s:%d:%d seek=%d-%d", a["version"], a["layer"], a["channels"], a["sample_rate"], a["frames"], a["samples"], a["crc_good"], a["crc_bad"], a["skipped_bytes"],
+        a["vbr_kind"], a["vbr_frames"], a["vbr_bytes"], F.element_at(a["frame_offsets"], 1), F.element_at(a["frame_offsets"], -1),
+    )
+    payload = a["payload"]
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), (a["samples"] / a["sample_rate"]).alias("seconds"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,8 +106,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm.licences import scan_sql
+
+    return {"op5_licences": scan_sql()}
