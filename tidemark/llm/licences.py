@@ -83,7 +83,7 @@ def scan_sql(table: str = "documents") -> str:
     met = ", ".join(f"CASE WHEN contains(j, ',{','.join(map(str, rule))},') THEN '{name}' END" for name, rule in RULES)
     return f"""
         WITH parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\\n[ \\t]*([a-z])', ' \\1', 'g'), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM {table}),
-        norm AS (SELECT doc_id, list_transform(list_filter(s, x -> regexp_matches(lower(x), '{WORDS}')), x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS s FROM parts),
-        found AS (SELECT doc_id, list_filter(list_transform(s, x -> {known}[x]), x -> x IS NOT NULL) AS ids FROM norm),
+        norm AS (SELECT doc_id, list_transform(list_filter(s, lambda x: regexp_matches(lower(x), '{WORDS}')), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS s FROM parts),
+        found AS (SELECT doc_id, list_filter(list_transform(s, lambda x: {known}[x]), lambda x: x IS NOT NULL) AS ids FROM norm),
         seq AS (SELECT doc_id, len(ids) AS n, array_to_string(ids, ',') AS ids, ',' || array_to_string(ids, ',') || ',' AS j FROM found)
-        SELECT doc_id, CAST(n AS INTEGER) AS n_sentences, ids AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{met}], x -> x IS NOT NULL))), ';') AS licences FROM seq"""
+        SELECT doc_id, CAST(n AS INTEGER) AS n_sentences, ids AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{met}], lambda x: x IS NOT NULL))), ';') AS licences FROM seq"""

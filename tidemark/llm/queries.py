@@ -33,6 +33,13 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, [3.0, 1.0, 2.0], 1.5, 2.0).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import dedup
+
+    found = dedup(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.common import materialise
     from tidemark.llm.quality import fit, held_out, with_features, with_scores
@@ -106,7 +113,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
+    return {f.__name__: f for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
