@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import materialise, mix64
 
-BLOCK_ROWS, FAN = 2000, 64
+BLOCK_ROWS, BLOCK_WORDS, FAN = 2000, 2_000_000, 64
 #: Sources up to which their plan is broadcast (each a name and a few numbers).
 FEW_SOURCES = 10_000
 #: A fraction so near to 0 or 1 is it.
@@ -93,7 +93,7 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, most: float = 2
     plan = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     plan = materialise(targets(plan, weights, share, most), "targets")
     copies = F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(float(most))), F.lit(0.0))
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", copies.alias("x"), F.ceil(F.col("source_rows") / block_rows).cast("long").alias("blocks"))
+    plan = plan.select(F.col("source").alias("s"), "source_size", "target", copies.alias("x"), F.ceil(F.greatest(F.col("source_rows") / block_rows, F.col("source_size") / BLOCK_WORDS)).cast("long").alias("blocks"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *names))
     rows = rows.join(F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))

@@ -112,8 +112,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

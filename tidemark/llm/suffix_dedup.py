@@ -375,8 +375,8 @@ def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int
     anchors = docs.select("text", "shard").mapInArrow(_anchor_rows(length, gram), "anchor long, shard int, n int")
     every = F.sum("n").over(Window.partitionBy("anchor"))
     left = anchors.withColumn("every", every).filter("every > 1").select("anchor", "shard", (F.col("every") > hot).alias("hot")).withColumnRenamed("shard", "at_shard")
-    slim = docs.select("doc_id", "tie", "text", "shard") if keep_text and len(rest) > 1 else docs
-    sent = slim.groupBy("shard").cogroup(left.groupBy("at_shard")).applyInArrow(_send(length, gram, shards), _SENT)
+    # both passes over the texts read one exchange
+    sent = docs.groupBy("shard").cogroup(left.groupBy("at_shard")).applyInArrow(_send(length, gram, shards), _SENT)
     spans = sent.groupBy("bucket").applyInArrow(_judge(length), _SPAN).withColumnRenamed("shard", "at_shard")
     kind = T.BinaryType() if keep_text else T.StringType()
     schema = T.StructType([*(docs.schema[n] for n in inner.values()), T.StructField("kept", kind), *(T.StructField(c, T.LongType()) for c in made[1:])])
