@@ -51,7 +51,8 @@ def shard_bwt(strings: list[bytes]) -> ShardBwt:
 
 def _ranked(places: np.ndarray, keys: np.ndarray, groups: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Splits groups (numbered by their first rank) by ``keys``; returns the ranks and the places still tied."""
-    order = np.lexsort((keys, groups)) if groups.any() else np.argsort(keys, kind="stable")
+    # one number for group and key; which of equal ones comes first doesn't matter
+    order = np.argsort(groups * (int(keys.max(initial=0)) + 1) + keys if groups.any() else keys)
     p, k, g = places[order], keys[order], groups[order]
     fresh = np.ones(len(p), bool)
     fresh[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
@@ -86,32 +87,40 @@ def merge(shards: list[ShardBwt], depth: int, repeated_only: bool = False) -> Me
     """The interleave by prefixes of ``depth`` bytes. ``repeated_only``: rows whose prefix so far is unlike all others leave, as no longer prefix of theirs can repeat; the intervals that remain are the repeated ones."""
     sizes = [len(s.symbols) for s in shards]
     base = np.cumsum([0, *sizes])
+    none = np.zeros(0, np.int32)
     symbols = np.concatenate([s.symbols for s in shards]) if shards else np.zeros(0, np.uint16)
-    before = np.concatenate([last_to_first(s) + b for s, b in zip(shards, base, strict=False)]) if shards else np.zeros(0, np.int64)
-    ends = np.concatenate([np.arange(s.n_strings) + b for s, b in zip(shards, base, strict=False)]) if shards else np.zeros(0, np.int64)
-    rows = np.arange(len(symbols))
-    lcp = np.zeros(len(rows), np.int64)
-    known = np.full(len(rows), -1, np.int64)  # common prefixes at boundaries; a boundary stays at its place
+    if len(symbols) and symbols.max() > 255:  # as few symbols as there are, in order, so that each is a byte where that is enough
+        kinds = np.flatnonzero(np.bincount(symbols))
+        if len(kinds) < 256:
+            small = np.zeros(int(kinds[-1]) + 1, np.uint8)
+            small[kinds] = np.arange(len(kinds)) + (kinds[0] > 0)
+            symbols = small[symbols]
+    else:
+        symbols = symbols.astype(np.uint8)
+    before = np.concatenate([last_to_first(s) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else none
+    ends = np.concatenate([np.arange(s.n_strings) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else none
+    rows = np.arange(len(symbols), dtype=np.int32)
+    known = np.full(len(rows), -1, np.int32)  # common prefixes at boundaries; a boundary stays at its place
     fresh = np.zeros(len(rows), bool)
     fresh[:1] = True
-    group = np.zeros(len(rows), np.int64)
     for d in range(1, depth + 1):
         by = symbols[rows]
-        keep = np.flatnonzero(by)
-        by, at, old = by[keep], rows[keep], group[keep]
+        group = np.cumsum(fresh, dtype=np.int32)
         order = np.argsort(by, kind="stable")
-        by, old = by[order], old[order]
-        rows = before[at[order]]
+        order = order[len(by) - np.count_nonzero(by) :]  # whole strings have nothing before them
+        by, old = by[order], group[order]
+        rows = before[rows[order]]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (by[1:] != by[:-1]) | (old[1:] != old[:-1])
         if repeated_only:
-            pick = ~(fresh & np.append(fresh[1:], True)) if len(rows) else fresh
-            rows, fresh = rows[pick], fresh[pick]
+            if len(rows):
+                pick = ~fresh
+                pick[:-1] |= ~fresh[1:]
+                rows, fresh = rows[pick], fresh[pick]
         else:  # suffixes of a terminator only stand before all others, each alone
             rows = np.concatenate([ends, rows])
             fresh = np.concatenate([np.ones(len(ends), bool), fresh])
             known[fresh & (known < 0)] = d - 1
-        group = np.cumsum(fresh)
         if not len(rows):
             break
     if not repeated_only:

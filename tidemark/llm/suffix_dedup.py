@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from tidemark.llm.bwt import merge, shard_bwt
 from tidemark.llm.common import ByteHasher, slices, text_buffer
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 32
 #: Bytes of text of a shard; contexts under one anchor from which its strings are dealt on their own; bytes merged at once; bytes of a shard of suffixes.
-SHARD_BYTES, HOT, MERGE_BYTES, SUFFIX_BYTES = 8 << 20, 10_000, 1 << 20, 1 << 17
+SHARD_BYTES, HOT, MERGE_BYTES, SUFFIX_BYTES = 8 << 20, 10_000, 1 << 18, 1 << 15
 
 
 class Anchors:
