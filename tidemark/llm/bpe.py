@@ -75,17 +75,23 @@ def encode(enc, text: str) -> list[int]:
     return ids
 
 
-def encode_texts(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``df`` with the column ``out``: array<int>, the ids of the whole text. ``rank_file`` is a path that every executor has."""
-    rest = [c for c in df.columns if c != out]
+def encode_texts(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "token_ids", round_trip: str | None = None) -> DataFrame:
+    """``df`` with the column ``out``: array<int>, the ids of the whole text. ``rank_file`` is a path that every executor has. ``round_trip`` names a boolean column: whether the ids decode to the text's bytes."""
+    rest = [c for c in df.columns if c not in (out, round_trip)]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    if round_trip:
+        schema = schema.add(round_trip, T.BooleanType(), False)
 
     def run(batches):
         enc = encoding(rank_file, pattern)
         for batch in batches:
             for part in slices(batch, text):
-                ids = pa.array([encode(enc, x) if x else [] for x in part.column(text).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), ids], [*rest, out])
+                texts = part.column(text).to_pylist()
+                ids = [encode(enc, x) if x else [] for x in texts]
+                made = [pa.array(ids, pa.list_(pa.int32()))]
+                if round_trip:
+                    made.append(pa.array([enc.decode_bytes(i) == (x or "").encode() for i, x in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *made], schema.names)
 
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
 

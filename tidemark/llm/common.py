@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,11 @@ _IS_SPACE[list(SPACE_BYTES)] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is set."""
@@ -38,11 +44,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Arrow batches of a few megabytes, as rows here carry whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks and would hold it beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts have about ``max_bytes`` together; one longer text is a run of its own."""
     n = batch.num_rows
     if not n:
         return
+    give_back()
     _, offsets = text_buffer(batch.column(column))
     at = 0
     while at < n:
@@ -50,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         end = min(max(end, at + 1), n)
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

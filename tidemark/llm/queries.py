@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bound_batches, materialise
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -41,7 +44,6 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import materialise
     from tidemark.llm.quality import fit, held_out, with_features, with_scores
 
     rows = materialise(with_features(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False), "features")
@@ -105,7 +107,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import materialise
     from tidemark.llm.simhash import clusters, fingerprints
 
     prints = materialise(fingerprints(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False), "simhash")

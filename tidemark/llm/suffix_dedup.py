@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bwt import merge, shard_bwt
-from tidemark.llm.common import ByteHasher, slices, text_buffer
+from tidemark.llm.common import ByteHasher, give_back, slices, text_buffer
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a shard; contexts under one anchor from which its strings are dealt on their own; bytes merged at once; bytes of a shard of suffixes.
@@ -276,6 +276,7 @@ def _judge(length: int):
         some[doc] = np.arange(len(doc))
         d, first, last = _united(doc_of, first, last)
         rows = some[d]
+        give_back()
         return pa.table([pa.array(col["shard"][rows], pa.int32()), pa.array(col["doc_id"][rows]), pa.array(col["tie"][rows]), pa.array(first), pa.array(last)], names=[x.split()[0] for x in _SPAN.split(", ")])
 
     return run
@@ -357,6 +358,7 @@ def _cut(rest: list[str], keep_text: bool):
             sizes.append(len(data))
             removed.append(len(data) - len(left))
             counts.append(len(runs))
+        give_back()
         made = [pa.array(kept, pa.binary() if keep_text else pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())]
         return pa.table([*(docs[c] for c in rest), *made], names=[*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
