@@ -64,13 +64,13 @@ def capacity(traded: DataFrame, top_k: int = 10, liquidity_min: float = 0.0) ->
     return out.select(F.lit(top_k).alias("top_k"), F.lit(liquidity_min).alias("liquidity_min"), "*", (F.col("median_adv_selected") * 0.1 * top_k).alias("capacity_10pct_adv_median"), (F.col("p25_adv_selected") * 0.1 * top_k).alias("capacity_10pct_adv_p25"))
 
 
-def trend_following(bars: DataFrame, capital: float = 1_000_000.0) -> tuple[DataFrame, DataFrame]:
-    """A rule to have something to measure: hold a symbol on the day after a close above its 20-row mean, equal weights. Gives the curve with regimes, and the trades (runs of held days)."""
+def trend_following(bars: DataFrame, capital: float = 1_000_000.0, fraction: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """A rule to have something to measure: hold a symbol on the day after a close above its 20-row mean, equal weights, with a fraction of the capital. Gives the curve with regimes, and the trades (runs of held days)."""
     w = Window.partitionBy("symbol").orderBy("dt")
     near = w.rowsBetween(-19, 0)
     rows = bars.select("symbol", "dt", "Close", F.ln(F.try_divide(F.col("Close"), F.lag("Close").over(w))).alias("r"), F.when(F.count("Close").over(near) == 20, F.col("Close") > F.avg("Close").over(near)).otherwise(False).alias("above"))
     rows = rows.withColumn("held", F.coalesce(F.lag("above").over(w), F.lit(False)))
-    daily = rows.groupBy("dt").agg(F.avg(F.when(F.col("held"), F.coalesce("r", F.lit(0.0))).otherwise(0.0)).alias("log_ret"), F.avg(F.col("held").cast("double")).alias("exposure"), F.sum(F.col("held").cast("int")).alias("positions"), F.avg("r").alias("market"))
+    daily = rows.groupBy("dt").agg((fraction * F.avg(F.when(F.col("held"), F.coalesce("r", F.lit(0.0))).otherwise(0.0))).alias("log_ret"), F.avg(F.col("held").cast("double")).alias("exposure"), F.sum(F.col("held").cast("int")).alias("positions"), F.avg("r").alias("market"))
     order = Window.orderBy("dt")
     curve = daily.withColumn("equity", F.lit(capital) * F.exp(F.sum("log_ret").over(order.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("ret", F.exp("log_ret") - 1)
     far = order.rowsBetween(-59, 0)

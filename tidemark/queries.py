@@ -23,8 +23,10 @@ SQL: dict[str, str] = {}
 
 BARS = f"WITH bars AS MATERIALIZED ({fx.BARS_SQL})"
 INDEXED = f"SELECT b.symbol, b.dt, b.Open, b.High, b.Low, b.Close, b.Volume, i.Market, i.Sector FROM bars b LEFT JOIN ({fx.INDEX_SQL}) i ON b.dt = i.dt"
-#: Columns of great size are rounded to fewer places, or by their logarithm.
-COARSE = {"Signal_Stability", "State_Edge_Stability"}
+#: Columns of great size, which are compared by their logarithm, or as whole numbers.
+COARSE, WHOLE = ("Signal_Stability", "State_Edge_Stability"), ("Ease_Of_Movement", "Payoff_Ratio_Given_Ecosystem_State")
+#: Added before rounding: products of simple fractions lie on halves of the last place, which sums in another order would round either way.
+NUDGE = 3e-8
 
 
 def rounded(name: str) -> Column:
@@ -78,15 +80,25 @@ add("asof_coarse", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_doubles(
 # -- indicators ----------------------------------------------------------------------------------------------------------------
 
 
-def _features(name: str, names: list[str]) -> None:
-    text = ", ".join(f"round(ln({n}), 4) + 0e0 AS {n}" if any(n.endswith(c) for c in COARSE) else f"round({n}, 4) + 0e0 AS {n}" for n in names)
+def _short(df: DataFrame, names: list[str]) -> list[Column]:
+    def one(n: str) -> Column:
+        if n.endswith(COARSE):
+            return F.round(F.ln(n) + NUDGE, 4)
+        return F.round(F.col(n) + NUDGE, 0 if n in WHOLE else 4)
+
+    return [(one(n) + F.lit(0.0)).alias(n) for n in names]
+
+
+def _short_sql(names: list[str]) -> str:
+    return ", ".join(f"round({f'ln({n})' if n.endswith(COARSE) else n} + {NUDGE}, {0 if n in WHOLE else 4}) + 0e0 AS {n}" for n in names)
 
+
+def _features(name: str, names: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = feat.features(_indexed(spark, sf_dir), names)
-        made = [(F.round(F.ln(n), 4) + F.lit(0.0)).alias(n) if any(n.endswith(c) for c in COARSE) else rounded(n) for n in names]
-        return df.select("symbol", F.col("dt").cast("string").alias("dt"), *made)
+        return df.select("symbol", F.col("dt").cast("string").alias("dt"), *_short(df, names))
 
-    add(name, f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {text} FROM ({feat.features_sql(INDEXED, names)})")(run)
+    add(name, f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_short_sql(names)} FROM ({feat.features_sql(INDEXED, names)})")(run)
 
 
 for _group, _formulas in GROUPS.items():
@@ -96,24 +108,20 @@ for _f in FAMILIES:
     _features(f"family_{_f.lower()}", [f"{_f}_{x}" for x in OF_A_FAMILY])
 
 _STATE = list(feat.STATE_FORMULAS)
-_STATE_TEXT = ", ".join(f"round(ln({n}), 4) + 0e0 AS {n}" if n in COARSE else f"round({n}, 4) + 0e0 AS {n}" for n in _STATE)
 
 
-@add("state_probabilities", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, Ecosystem_State_ID, {_STATE_TEXT} FROM ({feat.state_probabilities_sql(INDEXED, _STATE)})")
+@add("state_probabilities", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, Ecosystem_State_ID, {_short_sql(_STATE)} FROM ({feat.state_probabilities_sql(INDEXED, _STATE)})")
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = feat.state_probabilities(_indexed(spark, sf_dir), _STATE)
-    return df.select("symbol", F.col("dt").cast("string").alias("dt"), "Ecosystem_State_ID", *[(F.round(F.ln(n), 4) + F.lit(0.0)).alias(n) if n in COARSE else rounded(n) for n in _STATE])
+    return df.select("symbol", F.col("dt").cast("string").alias("dt"), "Ecosystem_State_ID", *_short(df, _STATE))
 
 
 # -- cleaning ------------------------------------------------------------------------------------------------------------------
 
 
-@add(
-    "clean_numeric",
-    "SELECT o_orderkey, try_cast(regexp_replace(printf('%.1f%%', o_totalprice), '[,%]', '', 'g') AS DOUBLE) AS pct, try_cast(regexp_replace(o_orderpriority, '[,%]', '', 'g') AS DOUBLE) AS bad FROM orders",
-)
+@add("clean_numeric", "SELECT o_orderkey, CAST(o_orderkey * 1000 AS DOUBLE) AS pct, CAST(NULL AS DOUBLE) AS bad FROM orders")
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.1f%%", "o_totalprice").alias("pct"), F.col("o_orderpriority").alias("bad"))
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(",000%")).alias("pct"), F.col("o_orderpriority").alias("bad"))
     return clean.clean_numbers(rows, ["pct", "bad"])
 
 
@@ -348,7 +356,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ABOVE = f"SELECT symbol, dt, Close, LogRet AS r, CASE WHEN count(Close) OVER f = 20 THEN Close > avg(Close) OVER f ELSE false END AS above FROM ({_RET}) WINDOW f AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 CURVE = f"""{BARS}, ab AS ({_ABOVE}), hd AS (SELECT *, coalesce(lag(above) OVER (PARTITION BY symbol ORDER BY dt), false) AS held FROM ab),
-    day AS (SELECT dt, avg(CASE WHEN held THEN coalesce(r, 0e0) ELSE 0e0 END) AS log_ret, avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) AS exposure, sum(CASE WHEN held THEN 1 ELSE 0 END) AS positions, avg(r) AS market FROM hd GROUP BY dt),
+    day AS (SELECT dt, 2e-2 * avg(CASE WHEN held THEN coalesce(r, 0e0) ELSE 0e0 END) AS log_ret, avg(CASE WHEN held THEN 1e0 ELSE 0e0 END) AS exposure, sum(CASE WHEN held THEN 1 ELSE 0 END) AS positions, avg(r) AS market FROM hd GROUP BY dt),
     cv AS (SELECT *, 1e6 * exp(sum(log_ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS equity, exp(log_ret) - 1 AS ret, avg(market) OVER (ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS drift, coalesce(stddev_samp(market) OVER (ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0e0) AS noise FROM day),
     curve AS (SELECT *, CASE WHEN drift > 2e-3 THEN 'BULL' WHEN drift < -2e-3 THEN 'BEAR' ELSE 'NEUTRAL' END AS trend, CASE WHEN noise > 5e-1 THEN 'HIGH_VOL' WHEN noise < 3e-1 THEN 'LOW_VOL' ELSE 'MID_VOL' END AS vol FROM cv)"""
 TRADES = f"""{CURVE}, rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) - sum(CASE WHEN held THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS g FROM hd),
@@ -387,9 +395,9 @@ def _trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m
 
 
-@add("extreme_trades", f"{TRADES} SELECT symbol, CAST(entry_date AS VARCHAR) AS entry_date, round(net_pnl, 4) + 0e0 AS net_pnl, kind FROM ((SELECT *, 'top' AS kind FROM trades ORDER BY net_pnl DESC, symbol, entry_date LIMIT 5) UNION ALL (SELECT *, 'worst' AS kind FROM trades ORDER BY net_pnl, symbol, entry_date LIMIT 5))")
+@add("extreme_trades", f"{TRADES} SELECT symbol, CAST(entry_date AS VARCHAR) AS entry_date, round(net_pnl, 2) + 0e0 AS net_pnl, kind FROM ((SELECT *, 'top' AS kind FROM trades ORDER BY net_pnl DESC, symbol, entry_date LIMIT 5) UNION ALL (SELECT *, 'worst' AS kind FROM trades ORDER BY net_pnl, symbol, entry_date LIMIT 5))")
 def _extreme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tidy(backtest.extreme_trades(_trades(spark, sf_dir)).select("symbol", "entry_date", "net_pnl", "kind"))
+    return _tidy(backtest.extreme_trades(_trades(spark, sf_dir)).select("symbol", "entry_date", F.round("net_pnl", 2).alias("net_pnl"), "kind"))
 
 
 @add("capacity", f"{BARS}, v AS (SELECT symbol, avg(Close * Volume) AS adv FROM bars GROUP BY symbol HAVING avg(Close * Volume) >= 1e4) SELECT 10 AS top_k, round(quantile_cont(adv, 0.5), 2) + 0e0 AS median_adv_selected, round(quantile_cont(adv, 0.25), 2) + 0e0 AS p25_adv_selected FROM v")
