@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("dt")
+
+def series() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("dt")
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """With ``i``: the row's place in its series, from 0."""
-    return df.withColumn("i", F.row_number().over(SERIES) - 1)
+    return df.withColumn("i", F.row_number().over(series()) - 1)
 
 
 def sequences(df: DataFrame, features: list[str], length: int, mask: str | None = None) -> DataFrame:
     """For each row with ``length`` rows before it (and the mask): those rows' features as ``seq``, oldest first, without its own."""
     packed = F.array(*[F.col(c).cast("float") for c in features])
-    out = numbered(df).withColumn("seq", F.collect_list(packed).over(SERIES.rowsBetween(-length, -1)))
+    out = numbered(df).withColumn("seq", F.collect_list(packed).over(series().rowsBetween(-length, -1)))
     return out.filter((F.col("i") >= length) & (F.col(mask) if mask else F.lit(True)))
 
 
 def forward_return(column: str, horizon: int) -> Column:
     """The sum of this row's value and the following ones', ``horizon`` in all; NULL where the series ends before."""
-    w = SERIES.rowsBetween(0, horizon - 1)
+    w = series().rowsBetween(0, horizon - 1)
     return F.when(F.count(column).over(w) == horizon, F.sum(column).over(w))
 
 
@@ -32,11 +34,11 @@ def smooth(label: Column, eps: float = 0.01) -> Column:
 
 def with_direction(df: DataFrame, ret: str, period: int = 14, band: float = 0.25) -> DataFrame:
     """With ``direction``: 1 or 0 if the return is beyond the band of true ranges in percent of the close, else 0.5; so is an unknown return. The first rows take the first mean range known."""
-    before = F.lag("Close").over(SERIES)
+    before = F.lag("Close").over(series())
     df = df.withColumn("_tr", F.greatest(F.col("High") - F.col("Low"), F.abs(F.col("High") - before), F.abs(F.col("Low") - before)))
-    w = SERIES.rowsBetween(1 - period, 0)
+    w = series().rowsBetween(1 - period, 0)
     df = df.withColumn("_atr", F.when(F.count("_tr").over(w) == period, F.avg("_tr").over(w)))
-    df = df.withColumn("_atr", F.first("_atr", True).over(SERIES.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_atr", F.first("_atr", True).over(series().rowsBetween(0, Window.unboundedFollowing)))
     unit = F.col(ret) / F.greatest(F.col("_atr") / (F.col("Close") + 1e-9), F.lit(1e-6))
     return df.withColumn("direction", F.when(unit > band, 1.0).when(unit < -band, 0.0).otherwise(0.5)).drop("_tr", "_atr")
 
@@ -91,4 +93,4 @@ def scale(df: DataFrame, columns: list[str], kind: str = "minmax", train: str =
 
 def tabular(df: DataFrame, features: list[str], ret: str = "LogRet") -> DataFrame:
     """Rows without a missing feature, with the next row's return as ``y``."""
-    return df.withColumn("y", F.lead(ret).over(SERIES)).dropna(subset=[*features, "y"]).select("symbol", "dt", *features, "y")
+    return df.withColumn("y", F.lead(ret).over(series())).dropna(subset=[*features, "y"]).select("symbol", "dt", *features, "y")

@@ -237,7 +237,7 @@ _RET = "SELECT symbol, dt, Open, High, Low, Close, Volume, ln(Close / lag(Close)
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(spark, sf_dir).withColumn("LogRet", F.ln(F.try_divide(F.col("Close"), F.lag("Close").over(splits.SERIES))))
+    return _daily(spark, sf_dir).withColumn("LogRet", F.ln(F.try_divide(F.col("Close"), F.lag("Close").over(splits.series()))))
 
 
 @add("sequences", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, i, len(s) AS n, round(list_sum(s), 2) + 0e0 AS total, round(s[1], 2) + 0e0 AS oldest FROM (SELECT symbol, dt, row_number() OVER w - 1 AS i, list(Volume) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS s FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)) WHERE i >= 90")
@@ -341,8 +341,8 @@ def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT *, CASE WHEN y > 15e-4 THEN 1 WHEN y < -15e-4 THEN 0 END AS want, CASE WHEN p > 55e-2 THEN 1 WHEN p < 45e-2 THEN 0 END AS said FROM k)
     SELECT symbol, round(avg(abs(m)), 4) + 0e0 AS mae, round(sqrt(avg(m * m)), 4) + 0e0 AS rmse, round(1 - sum(m * m) / (var_pop(act) * count(act)), 4) + 0e0 AS r2, round(coalesce(avg(CASE WHEN want = said THEN 1e0 WHEN want <> said THEN 0e0 END) * 100, 0), 4) + 0e0 AS dir_hit_rate FROM d GROUP BY symbol""")
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("LogRet").over(splits.SERIES)
-    rows = _returns(spark, sf_dir).select("symbol", F.lag("Close").over(splits.SERIES).alias("base_close"), F.col("Close").alias("actual_close"), (before / 2).alias("predicted_log_return"), F.col("LogRet").alias("actual_log_return"), F.when(before > 0, 0.4).otherwise(0.6).alias("dir_prob"))
+    before = F.lag("LogRet").over(splits.series())
+    rows = _returns(spark, sf_dir).select("symbol", F.lag("Close").over(splits.series()).alias("base_close"), F.col("Close").alias("actual_close"), (before / 2).alias("predicted_log_return"), F.col("LogRet").alias("actual_log_return"), F.when(before > 0, 0.4).otherwise(0.6).alias("dir_prob"))
     return _tidy(signals.holdout_metrics(rows.filter("predicted_log_return IS NOT NULL")))
 
 

@@ -11,6 +11,7 @@ from tidemark.operators.joins import upsert
 
 def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Open, high, low, close and count of events (event_id, ts, event_type, value) by type and window of event time; works on streams and tables alike."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     bars = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.min_by("value", "event_id").alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"), F.max_by("value", "event_id").alias("Close"), F.count("*").cast("double").alias("Volume"),
