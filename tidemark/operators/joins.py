@@ -51,10 +51,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_checkpoint(wanted: DataFrame, registry: DataFrame) -> DataFrame:
-    """For each (symbol, bucket) the checkpoint of its symbol, else of its bucket: by stage in order of ``STAGES``, then the newest cutoff."""
+    """For each (symbol, bucket) the best checkpoint of its symbol or its bucket: by stage in order of ``STAGES``, then the newest cutoff, then the symbol's own.
+
+    The registry is brought down to the best of each symbol and of each bucket before it is joined."""
     place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
-    known = registry.withColumn("_place", F.when(place > 0, place).otherwise(len(STAGES) + 1))
-    own = wanted.join(known.filter("symbol IS NOT NULL").select("symbol", "stage", "cutoff", "path", "_place"), "symbol").withColumn("_level", F.lit(0))
-    shared = wanted.join(known.filter("symbol IS NULL").select("bucket", "stage", "cutoff", "path", "_place"), "bucket").withColumn("_level", F.lit(1))
-    w = Window.partitionBy("symbol", "bucket").orderBy("_place", F.desc("cutoff"), "_level", "path")
-    return own.unionByName(shared).withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("symbol", "bucket", "stage", "cutoff", "path")
+    order = F.struct(F.when(place > 0, place).otherwise(len(STAGES) + 1).alias("place"), (-F.unix_date("cutoff")).alias("age"), F.col("path"), F.col("stage"), F.col("cutoff"))
+    own = registry.filter("symbol IS NOT NULL").groupBy("symbol").agg(F.min(order).alias("own"))
+    shared = registry.filter("symbol IS NULL AND bucket IS NOT NULL").groupBy("bucket").agg(F.min(order).alias("shared"))
+
+    def ranked(name: str, level: int):
+        c = F.col(name)
+        return F.when(c.isNotNull(), F.struct(c["place"].alias("place"), c["age"].alias("age"), F.lit(level).alias("level"), c["path"].alias("path"), c["stage"].alias("stage"), c["cutoff"].alias("cutoff")))
+
+    both = wanted.join(own, "symbol", "left").join(shared, "bucket", "left").withColumn("best", F.least(ranked("own", 0), ranked("shared", 1)))
+    return both.filter("best IS NOT NULL").select("symbol", "bucket", "best.stage", "best.cutoff", "best.path")

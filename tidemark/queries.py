@@ -182,12 +182,13 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices that aren't published on Wednesdays."""
     bars = _daily(spark, sf_dir)
     means = bars.groupBy("dt").agg(F.avg("Close").alias("NIFTY50"), F.avg("High").alias("SENSEX"), F.avg("Low").alias("NIFTY_AUTO"))
-    return means.select("dt", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("NIFTY50", "SENSEX", "NIFTY_AUTO"))), F.array("NIFTY50", "SENSEX", "NIFTY_AUTO"))).alias("name", "close")).filter("dayofmonth(dt) % 5 <> 0")
+    return means.select("dt", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("NIFTY50", "SENSEX", "NIFTY_AUTO"))), F.array("NIFTY50", "SENSEX", "NIFTY_AUTO"))).alias("name", "close")).filter("dayofweek(dt) <> 4")
 
 
-@add("integrate_indices", f"""{BARS}, means AS (SELECT dt, avg(Close) AS a, avg(High) AS b, avg(Low) AS c FROM bars WHERE day(dt) % 5 <> 0 GROUP BY dt),
+@add("integrate_indices", f"""{BARS}, means AS (SELECT dt, avg(Close) AS a, avg(High) AS b, avg(Low) AS c FROM bars WHERE isodow(dt) <> 3 GROUP BY dt),
     j AS (SELECT b.symbol, b.dt, b.Close, m.a AS NIFTY50, m.b AS SENSEX, CASE WHEN {mapping.index_of_sql('b.symbol', "''")} = 'NIFTY_AUTO' THEN m.c WHEN {mapping.index_of_sql('b.symbol', "''")} = 'NIFTY50' THEN m.a END AS sector_index_value FROM bars b LEFT JOIN means m ON b.dt = m.dt),
     f AS (SELECT symbol, dt, Close, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}' for c in ('NIFTY50', 'SENSEX', 'sector_index_value'))} FROM j)
     SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_doubles(['NIFTY50', 'SENSEX', 'sector_index_value'])}, round(ln(NIFTY50), 4) + 0e0 AS log_NIFTY50, round(ln(sector_index_value), 4) + 0e0 AS log_sector_index_value,
@@ -220,14 +221,14 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("checkpoint_priority", """WITH reg AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS symbol, o_custkey % 7 AS bucket, ['daily', 'weekly', 'monthly', 'yearly'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS stage, CAST(o_orderdate AS DATE) AS cutoff, CAST(o_orderkey AS VARCHAR) AS path FROM orders),
-    want AS (SELECT c_custkey AS symbol, c_custkey % 7 AS bucket FROM customer WHERE c_custkey <= 300),
+    want AS (SELECT c_custkey AS symbol, c_custkey % 7 AS bucket FROM customer),
     found AS (SELECT w.symbol, w.bucket, r.stage, r.cutoff, r.path, 0 AS lv FROM want w JOIN reg r ON r.symbol = w.symbol UNION ALL SELECT w.symbol, w.bucket, r.stage, r.cutoff, r.path, 1 FROM want w JOIN reg r ON r.symbol IS NULL AND r.bucket = w.bucket)
     SELECT symbol, bucket, stage, CAST(cutoff AS VARCHAR) AS cutoff, path FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bucket ORDER BY list_position(['daily', 'weekly', 'monthly', 'yearly'], stage), cutoff DESC, lv, path) AS k FROM found) WHERE k = 1""")
 def _checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fx.table(spark, sf_dir, "orders")
     stage = F.element_at(F.array(*map(F.lit, joins.STAGES)), (F.col("o_orderkey") % 4).cast("int") + 1)
     registry = orders.select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("symbol"), (F.col("o_custkey") % 7).alias("bucket"), stage.alias("stage"), F.to_date("o_orderdate").alias("cutoff"), F.col("o_orderkey").cast("string").alias("path"))
-    wanted = fx.table(spark, sf_dir, "customer").filter("c_custkey <= 300").select(F.col("c_custkey").alias("symbol"), (F.col("c_custkey") % 7).alias("bucket"))
+    wanted = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol"), (F.col("c_custkey") % 7).alias("bucket"))
     return _tidy(joins.best_checkpoint(wanted, registry))
 
 

@@ -20,27 +20,34 @@ def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 min
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "dt")) -> StreamingQuery:
-    """Takes up all new files of ``source`` and upserts them into the Parquet table ``target``; what was taken is kept in ``checkpoint``.
+    """Takes up all new files of ``source`` and upserts them into the Parquet table ``target``, partitioned by month; what was taken is kept in ``checkpoint``.
 
-    A batch is written beside the table as a new version and then named as the current one, so that a rerun of a batch gives the same and readers never see half of one.
+    A batch reads and replaces the months that it has rows of, and no others. The merged months are written aside first, so that a table is never read while it is replaced; a batch that
+    is run again upserts the same rows and so gives the same table.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def take(batch: DataFrame, number: int) -> None:
-        old = current(spark, target, schema, before=number)
-        upsert(old, batch, list(keys)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        batch = batch.withColumn("month", F.date_format("dt", "yyyy-MM"))
+        months = [r["month"] for r in batch.select("month").distinct().collect()]
+        if not months:
+            return
+        old = _table(spark, target, schema).filter(F.col("month").isin(months))
+        aside = f"{target}.aside/batch={number}"
+        upsert(old, batch, list(keys)).write.mode("overwrite").parquet(aside)
+        merged = spark.read.parquet(aside)
+        merged.repartition("month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(target)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest version of the table (older than ``before``), or an empty one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    numbers = [int(n.split("=")[1]) for n in found if n.startswith("version=") and fs.exists(hadoop.Path(f"{target}/{n}/_SUCCESS"))]
-    numbers = [n for n in numbers if before is None or n < before]
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{target}/version={max(numbers)}")
+def _table(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{schema}, month string")
+    return spark.read.schema(f"{schema}, month string").parquet(target)
+
+
+def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The table as it is, empty before the first batch."""
+    return _table(spark, target, schema).drop("month")
