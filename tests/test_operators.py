@@ -171,3 +171,17 @@ def test_event_bars_on_a_stream(spark, sf_dir, tmp_path):
     q.awaitTermination()
     got = spark.table("event_bars").exceptAll(incremental.bars_of_events(events))
     assert got.count() == 0 and spark.table("event_bars").count() == incremental.bars_of_events(events).count()
+
+
+def fetch(symbol, start, end):
+    if symbol == "BAD":
+        raise OSError("no such symbol")
+    return [(dt.date.fromisoformat(start), 1.0, 2.0, 0.5, 1.5, float(len(symbol)))]
+
+
+def test_quotes_source(spark):
+    from tidemark.sources.quotes import Quotes
+
+    spark.dataSource.register(Quotes)
+    read = spark.read.format("quotes").option("symbols", "a, bb,BAD,a").option("start", "2024-01-02").option("fetch", "tests.test_operators:fetch").load()
+    assert sorted((r["symbol"], r["Volume"]) for r in read.collect()) == [("A", 1.0), ("BB", 2.0)]

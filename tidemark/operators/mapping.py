@@ -140,3 +140,10 @@ def merge_small(members: DataFrame, least: int = 20) -> DataFrame:
     """(level, sector) groups with fewer members become (level, GENERIC), together with one that is there already."""
     n = F.count("*").over(Window.partitionBy("level", "sector"))
     return members.withColumn("sector", F.when(n < least, F.lit("GENERIC")).otherwise(F.col("sector")))
+
+
+def feature_union(members: DataFrame) -> DataFrame:
+    """The features of each bucket's members (bucket, symbol, features: array), each once, in order of the first symbol and place that has it."""
+    placed = members.select("bucket", "symbol", F.posexplode("features").alias("place", "feature"))
+    first = placed.groupBy("bucket", "feature").agg(F.min(F.struct("symbol", "place")).alias("at"))
+    return first.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "feature"))), lambda x: x["feature"]).alias("features"))

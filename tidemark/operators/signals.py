@@ -114,3 +114,13 @@ def scores(symbols: DataFrame, momentum: int = 126, reversion: int = 20, beta_ro
         F.when(F.col("z.n") > reversion, F.col("z.away")).otherwise(0.0).alias("reversion"),
         F.when(F.col("common") >= beta_rows, F.col("cov") / (F.col("var") + 1e-12)).alias("beta"),
     )
+
+
+def prediction_table(rows: DataFrame) -> DataFrame:
+    """Scored last rows (symbol, sector, volatility_class, bucket_name, dt, last_close, predicted_log_return, dir_prob, intensity, stage, path, window_start, window_end, rows_used) as the published table of predictions."""
+    out = forecast(rows)
+    return out.select(
+        "prediction_date", F.col("dt").alias("cutoff_date"), "symbol", "sector", "volatility_class", "bucket_name", F.round("last_close", 4).alias("last_close"), F.round("predicted_price", 4).alias("predicted_price"), F.round("predicted_return", 6).alias("predicted_return"),
+        direction_of(F.col("dir_prob")).alias("predicted_direction"), F.round("dir_prob", 6).alias("dir_prob"), F.round("intensity", 6).alias("intensity"), F.col("stage").alias("model_stage_used"), F.col("path").alias("parent_checkpoint_path"),
+        F.col("window_start").alias("data_window_start"), F.col("window_end").alias("data_window_end"), "rows_used",
+    )

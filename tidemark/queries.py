@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.library import FORMULAS, GROUPS
+from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
 from tidemark.operators import backtest, clean, features as feat, joins, mapping, models, resample, signals, splits
-from tidemark.plans import engine
 from tidemark.sources import fixtures as fx
 from tidemark.streaming.incremental import bars_of_events
 
@@ -419,9 +418,45 @@ def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("symbol", F.col("dt").cast("string").alias("dt"), "predicted_log_return", "dir_prob", signals.direction_of(F.col("dir_prob")).alias("predicted_direction"))
 
 
-@add("feature_table_finished")
+_FINISHED = ["Close", "RSI14", "EMA20", "ATR", "Vol20", "KAMA20", "Bullish_Evidence_Total"]
+_FILLED = ", ".join(f"coalesce(last_value({n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING), first_value({n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {n}" for n in _FINISHED)
+
+
+@add("feature_table_finished", f"{BARS}, f AS (SELECT symbol, dt, {_FILLED} FROM ({feat.features_sql(INDEXED, _FINISHED)})) SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_short_sql(_FINISHED)} FROM f WHERE Close IS NOT NULL")
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Close", "RSI14", "EMA20", "ATR", "Vol20", "Supertrend", "KAMA20", "Trend_Score", "Bullish_Evidence_Total"]
-    bars = _indexed(spark, sf_dir)
-    table = engine.compute(resample.with_coarse(bars), FORMULAS, [n for n in names if n != "Close"]).select("symbol", "dt", *names)
-    return _tidy(feat.finish(table, names))
+    done = feat.finish(feat.features(_indexed(spark, sf_dir), _FINISHED), _FINISHED)
+    return done.select("symbol", F.col("dt").cast("string").alias("dt"), *_short(done, _FINISHED))
+
+
+# -- small operators -----------------------------------------------------------------------------------------------------------
+
+add("standardise_columns", "SELECT o_orderkey AS Volume, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS Date FROM orders")(
+    lambda s, d: clean.standardise_columns(fx.table(s, d, "orders").select(F.col("o_orderkey").alias(" VOLUME"), F.to_date("o_orderdate").cast("string").alias("date")))
+)
+add("parse_dates", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt FROM events")(
+    lambda s, d: _tidy(clean.parse_dates(fx.table(s, d, "events").select("event_id", F.lit("no date").alias("date"), F.col("ts").cast("string").alias("timestamp"))).select("event_id", "dt"))
+)
+add("cutoff_filter", f"{BARS} SELECT symbol, count(*) AS n, CAST(max(dt) AS VARCHAR) AS last FROM bars WHERE dt <= DATE '1998-03-31' GROUP BY symbol")(
+    lambda s, d: clean.until(_daily(s, d), "1998-03-31").groupBy("symbol").agg(F.count("*").alias("n"), F.max("dt").cast("string").alias("last"))
+)
+add("log_and_bounds", "SELECT c_custkey, round(ln(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 4) + 0e0 AS log, round(least(greatest(c_acctbal * 1e3, -1e6), 1e6), 4) + 0e0 AS bounded, round(c_acctbal / (c_nationkey + 1e-9), 2) + 0e0 AS safe FROM customer WHERE c_nationkey > 0")(
+    lambda s, d: fx.table(s, d, "customer").filter("c_nationkey > 0").select("c_custkey", (F.round(clean.safe_log(F.col("c_acctbal")), 4) + 0.0).alias("log"), (F.round(clean.bounded(F.col("c_acctbal") * 1e3), 4) + 0.0).alias("bounded"), (F.round(F.try_divide("c_acctbal", F.col("c_nationkey") + 1e-9), 2) + 0.0).alias("safe"))
+)
+add("intensity_labels", f"{BARS}, r AS (SELECT symbol, dt, LogRet, avg(LogRet) OVER (PARTITION BY symbol) AS m, stddev_pop(LogRet) OVER (PARTITION BY symbol) AS s FROM ({_RET})) SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(tanh((LogRet - m) / (8e-1 * s)), 4) + 0e0 AS intensity FROM r")(
+    lambda s, d: _tidy(_returns(s, d).select("symbol", "dt", splits.intensity(F.col("LogRet"), F.avg("LogRet").over(Window.partitionBy("symbol")), F.stddev_pop("LogRet").over(Window.partitionBy("symbol"))).alias("intensity")))
+)
+add("evaluation_losses", "WITH x AS (SELECT c_acctbal / 1e5 AS y, c_acctbal / 2e5 AS p, CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0e0 END AS l, (c_custkey % 99 + 5e-1) / 1e2 AS q FROM customer) SELECT round(avg((1 + abs(y)) * power(y - p, 2)), 6) AS weighted_mse, round(avg(25e-4 * (sqrt(1 + power((y - p) / 5e-2, 2)) - 1)), 6) AS huber, round(avg(5e-1 * power(abs(l - q), 2) * -(l * ln(q) + (1 - l) * ln(1 - q))), 6) AS focal FROM x")(
+    lambda s, d: models.losses(fx.table(s, d, "customer").select((F.col("c_acctbal") / 1e5).alias("y"), (F.col("c_acctbal") / 2e5).alias("prediction"), F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0).alias("label"), ((F.col("c_custkey") % 99 + 0.5) / 1e2).alias("prob"))).select(*[F.round(c, 6).alias(c) for c in ("weighted_mse", "huber", "focal")])
+)
+add("feature_union", "WITH m AS (SELECT c_nationkey AS bucket, c_name AS symbol, unnest([c_mktsegment, CAST(c_custkey % 3 AS VARCHAR)]) AS feature, unnest([0, 1]) AS place FROM customer), f AS (SELECT bucket, feature, min(struct_pack(symbol := symbol, place := place)) AS pos FROM m GROUP BY ALL) SELECT bucket, string_agg(feature, ',' ORDER BY pos, feature) AS features FROM f GROUP BY bucket")(
+    lambda s, d: mapping.feature_union(fx.table(s, d, "customer").select(F.col("c_nationkey").alias("bucket"), F.col("c_name").alias("symbol"), F.array("c_mktsegment", (F.col("c_custkey") % 3).cast("string")).alias("features"))).select("bucket", F.array_join("features", ",").alias("features"))
+)
+
+
+@add("prediction_table", f"""{BARS}, l AS (SELECT symbol, max(dt) AS dt, max_by(Close, dt) AS c, avg(LogRet) AS r, CAST(min(dt) AS VARCHAR) AS a, CAST(max(dt) AS VARCHAR) AS b, count(*) AS n FROM ({_RET}) GROUP BY symbol), e AS (SELECT *, exp(least(greatest(r, -2e-1), 2e-1)) AS g FROM l)
+    SELECT CAST(dt + CASE isodow(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS VARCHAR) AS prediction_date, CAST(dt AS VARCHAR) AS cutoff_date, symbol, round(c, 4) + 0e0 AS last_close, round(c * g, 4) + 0e0 AS predicted_price, round(g - 1, 4) + 0e0 AS predicted_return, CASE WHEN r > 0 THEN 'UP' ELSE 'DOWN' END AS predicted_direction, 'yearly' AS model_stage_used, a AS data_window_start, b AS data_window_end, n AS rows_used FROM e""")
+def _prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _returns(spark, sf_dir).groupBy("symbol").agg(F.max("dt").alias("dt"), F.max_by("Close", "dt").alias("last_close"), F.avg("LogRet").alias("predicted_log_return"), F.min("dt").cast("string").alias("window_start"), F.max("dt").cast("string").alias("window_end"), F.count("*").alias("rows_used"))
+    scored = last.withColumns({"sector": F.lit("GENERIC"), "volatility_class": F.lit("HIGH"), "bucket_name": F.lit("BUCKET_78"), "dir_prob": F.when(F.col("predicted_log_return") > 0, 0.6).otherwise(0.4), "intensity": F.lit(0.0), "stage": F.lit("yearly"), "path": F.lit("p")})
+    table = _tidy(signals.prediction_table(scored))
+    return table.drop("sector", "volatility_class", "bucket_name", "dir_prob", "intensity", "parent_checkpoint_path")
