@@ -125,7 +125,7 @@ def with_next(df: DataFrame, per_part: int = 5000, bins: int = BINS, bits: int =
     moved = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<int,int>")
     heads = heads.select("doc_id", F.col("x.text").alias("text"), moved[F.col("part")].alias("part"), F.lit(1).alias("guest"))
     rows = dealt.withColumn("guest", F.lit(0)).unionByName(heads)
-    rows = rows.repartition(max(1, min(parts, len(firsts))), "part").sortWithinPartitions("part", "guest", *order)
+    rows = rows.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", "guest", *order)
 
     def run(batches):
         make, last = Fingerprinter(bins, bits, size), None
