@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import collect, components, documents, table, words
 from tidemark.llm import minhash, simhash
 from tidemark.llm.common import mix64
+from tidemark.llm.near import groups, wide_bits
 from tidemark.llm.components import components as spark_components
 
 
@@ -148,3 +149,42 @@ def test_next_of_few_rows(spark):
     assert len(one) == 1 and one[0]["edited_text"] == "ab ab" and one[0]["near_next"] == 1.0
     ties = minhash.with_next(table(spark, [(4, "b", None, None, None), (4, "a", None, None, None), (None, "zz", None, None, None), (4, "b", None, None, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["fingerprint"]) for r in ties) and len(ties) == 4
+
+
+def test_groups_at_a_similarity(spark):
+    """Copies with words changed here and there are found from 0.85 on; texts that share less than 0.6 are left alone."""
+    rng = random.Random(21)
+    rows, alike = [], []
+    for _ in range(60):
+        base = words(rng, rng.randint(80, 300)).split()
+        first = len(rows)
+        rows.append(" ".join(base))
+        for share in (0.003, 0.01, 0.015, 0.06):
+            other = list(base)
+            for k in rng.sample(range(len(base)), int(share * len(base))):
+                other[k] = words(rng, 1)
+            rows.append(" ".join(other).upper() if share == 0.01 else " ".join(other))
+        alike += [(first, first + k) for k in range(1, 5)]
+    rows += [None, "", "one", "one", "x " * 3000]
+    df = table(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])
+    out = {r["doc_id"]: r["component"] for r in groups(df).collect()}
+    assert set(out) == set(range(len(rows)))
+    sets = [set(zip(*((t or "").lower().split()[k:] for k in range(5)), strict=False)) for t in rows]
+    near = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    assert all(out[a] == out[b] for a, b in alike if near(a, b) >= 0.85)
+    same = [(a, b) for a in range(300) for b in range(a) if out[a] == out[b]]
+    prints = [simhash.fingerprint(t) & (2**64 - 1) for t in rows]
+    assert all(near(a, b) >= 0.55 or bin(prints[a] ^ prints[b]).count("1") <= 6 for a, b in same)
+    assert out[300] == out[301] == 300 and out[302] == out[303] == 302 and out[304] == 304
+    assert groups(table(spark, [])).count() == 0
+
+
+def test_wide_bits_are_the_majority():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3, 254, 255, 256, 9000):
+        hashes = rng.integers(0, 2**63, n).astype(np.uint64)
+        got = wide_bits(hashes).view(np.uint64)
+        for j in (0, 15):
+            each = mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
+            want = sum(1 << b for b in range(64) if 2 * int(((each >> np.uint64(b)) & np.uint64(1)).sum()) > n)
+            assert int(got[j]) == want
