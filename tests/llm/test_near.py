@@ -89,7 +89,7 @@ def plain_minhash(hashes, bins, bits):
         attempt, at = 0, b
         while at not in least:
             attempt += 1
-            at = int(mix64(np.array([b + attempt * 0x9E3779B97F4A7C15 % 2**64], dtype=object).astype(np.uint64))[0]) >> shift if b + attempt * 0x9E3779B97F4A7C15 % 2**64 < 2**64 else int(mix64(np.array([(b + attempt * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> shift
+            at = int(mix64(np.array([(b + attempt * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) >> shift
         out.append(least[at] & ((1 << bits) - 1))
     return out
 
