@@ -371,7 +371,7 @@ def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int
     rest = [c for c in df.columns if c not in ("text", *made)]
     inner = {c: c if c == "doc_id" else f"_c{i}" for i, c in enumerate(rest)}
     total = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
     docs = df.select(*[F.col(f"`{c}`").cast("long").alias(n) if c == "doc_id" else F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")
     docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     anchors = docs.select("text", "shard").mapInArrow(_anchor_rows(length, gram), "anchor long, shard int, n int")
