@@ -188,3 +188,30 @@ def test_wide_bits_are_the_majority():
             each = mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
             want = sum(1 << b for b in range(64) if 2 * int(((each >> np.uint64(b)) & np.uint64(1)).sum()) > n)
             assert int(got[j]) == want
+
+
+def exact_groups(rows, prints):
+    """Components of all pairs alike by 0.8 in their shingles, or within three bits."""
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in rows]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    links = [(b, a) for a in range(len(rows)) for b in range(a) if near(a, b) or bin(prints[a] ^ prints[b]).count("1") <= 3]
+    return components(range(len(rows)), links), links
+
+
+def test_pairs_in_crowded_cells(spark):
+    """Texts of the same words in other orders, whose word counts are alike, with near copies whose ids lie between those of others."""
+    rng = random.Random(31)
+    vocabulary = words(rng, 300).split()
+    texts = [rng.sample(vocabulary, 300) for _ in range(60)]
+    rows = [" ".join(t) for t in texts]
+    for t in texts:
+        other = list(t)
+        for k in rng.sample(range(300), 5):
+            other[k] = words(rng, 1)
+        rows.append(" ".join(other))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    rows = [rows[k] for k in order]
+    out = {r["doc_id"]: r["component"] for r in groups(table(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])).collect()}
+    want, links = exact_groups(rows, [plain_simhash(t) for t in rows])
+    assert len(links) >= 60 and out == want

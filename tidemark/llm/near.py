@@ -1,12 +1,13 @@
-"""Near-duplicate groups of documents at a similarity of 0.8 of their five-word shingles, by wide SimHashes.
+"""Near-duplicate groups of documents at a similarity of 0.8 of their five-word shingles.
 
-A 64-bit SimHash within three bits finds texts that differ in a word or two of hundreds. For a similarity of 0.8, one word in 45 changed, a document
-also gets a SimHash of 1,008 bits over its words. It is cut into 36 parts of 14 two-bit segments, each mapped to its segments' bit counts as in
-``simhash``; a part's vector is a cell of a grid. At the threshold a bit differs with a chance of some 7 %, a part's cell agrees in one case of
-seven, and none of 36 in fewer than one of a hundred. In each cell all documents are held against its least and its greatest one, never against each other,
-so that a group of g copies makes a few g candidates. A candidate stands if the whole prints differ in at most ``MOST_BITS`` bits (others differ in about half) and the
-bias-corrected likeness of two 512-bin fingerprints of the shingles reaches ``LEAST``; its standard error at 0.8 is 0.018, so ``LEAST`` is a little lower. Links
-of the 64-bit prints are added, then components are taken.
+Candidates come from the shingles themselves: a text's 512-bin one-permutation MinHash gives 32 bands of 5 bins, each packed with its number into one long, a
+cell. A bin agrees with a chance of the similarity, wherever the texts differ (words here and there, a passage added or cut off), so two texts
+alike by 0.8 share no cell in 3 cases of a million, and by more in fewer; texts without a shingle in common share one by chance only (2**-40 a cell).
+
+No pair of a cell is left out. First all of a cell are held against its least and its greatest document, and components are taken of those that are alike.
+Then, in each cell that still has several components, every pair from different ones is held against each other; pairs within a component can't change it.
+A pair is alike if the bias-corrected likeness of the 512-bin fingerprints reaches ``LEAST``. Links of 64-bit SimHashes within three bits, which find texts
+that differ in a word or two of hundreds, are added, then components are taken.
 
 Words are lower-cased for A-Z. Texts without a word are one group through their 64-bit print. Copies are one node. Documents without an id stand behind all
 others. Repeated rows, empty and long texts are no special cases; an empty table gives an empty one.
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ByteHasher, materialise, mix64, slices, text_buffer, word_spans
+from tidemark.llm.common import materialise, mix64, slices, text_buffer
 from tidemark.llm.components import components
 from tidemark.llm.minhash import Fingerprinter
-from tidemark.llm.simhash import embedding, fingerprint, links
+from tidemark.llm.simhash import fingerprint, links
 
-PARTS, PART_BITS, BINS, SIZE = 36, 28, 512, 5
-MOST_BITS, LEAST = 160, 0.77
-#: Sixty-three bytes of sixteen longs are used: 36 parts of 28 bits.
+BANDS, ROWS, BINS, SIZE = 32, 5, 512, 5
+LEAST = 0.77
+#: Longs of ``wide_bits``.
 _LONGS = 16
 
 
@@ -47,50 +48,38 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * out > len(hashes), bitorder="little").view(np.int64)
 
 
+def cells_of(low: np.ndarray) -> np.ndarray:
+    """The cells of fingerprints (rows x bins): a band's bins in the low bytes, its number above."""
+    out = np.zeros((len(low), BANDS, 8), np.uint8)
+    out[:, :, :ROWS] = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS)
+    out[:, :, ROWS] = np.arange(BANDS)
+    return out.view("<i8").reshape(len(low), BANDS)
+
+
 def prints(df: DataFrame) -> DataFrame:
-    """doc_id and text to doc_id, copy (hash of the text), fp, wide (16 longs), sketch (64 longs) and has_words."""
-    schema = "doc_id long, copy binary, fp long, wide array<long>, sketch array<long>, has_words boolean"
+    """doc_id and text to doc_id, copy (hash of the text), fp, cells, sketch (64 longs) and has_words."""
+    schema = "doc_id long, copy binary, fp long, cells array<long>, sketch array<long>, has_words boolean"
 
     def run(batches):
-        hasher, make = ByteHasher(), Fingerprinter(BINS, 8, SIZE)
+        make = Fingerprinter(BINS, 8, SIZE)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text")
                 data, offsets = text_buffer(texts)
                 data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-                starts, ends, rows = word_spans(data, offsets)
-                hashes = hasher.spans(data, starts, ends)
-                cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                wide = [wide_bits(hashes[a:b]).tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
                 low, some = make.bins_of(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("copy"), pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64()), pa.array(wide, pa.list_(pa.int64())),
+                        part.column("doc_id"), part.column("copy"), pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64()), pa.array(list(cells_of(low)), pa.list_(pa.int64())),
                         pa.array(list(low.view(np.int64)), pa.list_(pa.int64())), pa.array(some),
                     ],
-                    ["doc_id", "copy", "fp", "wide", "sketch", "has_words"],
+                    ["doc_id", "copy", "fp", "cells", "sketch", "has_words"],
                 )
 
     rows = df.select(number().alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("copy"))
     return rows.mapInArrow(run, schema)
 
 
-def _cells() -> Column:
-    """The cells of a wide print: part and vector of counts."""
-    out = []
-    for p in range(PARTS):
-        long, shift = divmod(p * PART_BITS, 64)
-        bits = F.shiftrightunsigned(F.col("wide")[long], shift)
-        if shift + PART_BITS > 64:
-            bits = bits.bitwiseOR(F.shiftleft(F.col("wide")[long + 1], 64 - shift))
-        out.append(F.struct(F.lit(p).alias("part"), embedding(bits.bitwiseAND(F.lit((1 << PART_BITS) - 1))).alias("cell")))
-    return F.array(*out)
-
-
-def _bits_apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-
-
 def _alike(a: Column, b: Column) -> Column:
     """Bias-corrected share of equal bytes."""
 
@@ -104,29 +93,42 @@ def _alike(a: Column, b: Column) -> Column:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
+def _held(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: nodes) that are alike."""
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sketch = materialise(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches")
+    held = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    return materialise(held.filter(_alike(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b"), "held")
+
+
+def _alike_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all alike pairs that share a cell."""
+    placed = nodes.filter("has_words").select("node", F.explode("cells").alias("cell"))
+    heads = placed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    shared = materialise(placed.join(heads, "cell"), "shared")
+    stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("head")).filter("node <> head")
+    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes)
+    # of the cells with several components, all pairs between these
+    named = shared.select("cell", "node").join(components(first), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "named")
+    mixed = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cell")
+    mixed = materialise(named.join(mixed, "cell"), "mixed")
+    left, right = (mixed.select("cell", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    across = left.join(right, "cell").filter("a < b and ca <> cb").select("a", "b").distinct()
+    return first.unionByName(_held(across, nodes))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id and text to (doc_id, component): the ``number`` of a document and the least one of its group, for each different pair."""
     found = materialise(prints(docs), "prints")
-    nodes = found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("has_words").alias("has_words"))
+    nodes = found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first(F.struct("fp", "cells", "sketch", "has_words")).alias("x")).select("copy", "node", "x.*")
     nodes = materialise(nodes, "nodes")
-    # the least and the greatest of each cell against all of it
-    placed = nodes.filter("has_words").select("node", F.explode(_cells()).alias("g")).select("node", "g.part", "g.cell")
-    heads = placed.groupBy("part", "cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    pairs = placed.join(heads, ["part", "cell"]).select("node", F.explode(F.array("lo", "hi")).alias("head")).filter("node <> head")
-    pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a"), F.col("copy").alias("ca"), F.col("wide").alias("wa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("copy").alias("cb"), F.col("wide").alias("wb"))
-    close = pairs.join(left, "a").join(right, "b").filter(_bits_apart(F.col("wa"), F.col("wb")) <= MOST_BITS).select("a", "ca", "b", "cb")
-    close = materialise(close, "close")
-    # the sketches of those only
-    wanted = close.select(F.col("a").alias("doc_id"), F.col("ca").alias("copy")).unionAll(close.select("b", "cb")).distinct()
-    sketch = materialise(found.select("doc_id", "copy", "sketch").join(wanted, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"]), "sketches")
-    held = close.join(sketch.select(F.col("doc_id").alias("a"), F.col("copy").alias("ca"), F.col("sketch").alias("sa")), ["a", "ca"]).join(sketch.select(F.col("doc_id").alias("b"), F.col("copy").alias("cb"), F.col("sketch").alias("sb")), ["b", "cb"])
-    held = held.filter(_alike(F.col("sa"), F.col("sb")) >= LEAST)
+    held = _alike_links(nodes)
     # those of the 64-bit prints
     first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     equal = nodes.join(first, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
     tight = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    joined = components(held.select("a", "b").unionByName(equal.filter("a <> b")).unionByName(tight))
+    joined = components(held.unionByName(equal.filter("a <> b")).unionByName(tight))
     named = nodes.select("copy", "node").join(joined, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
     return found.select("doc_id", "copy").join(named, "copy").select("doc_id", "component").distinct()
