@@ -215,3 +215,20 @@ def test_pairs_in_crowded_cells(spark):
     out = {r["doc_id"]: r["component"] for r in groups(table(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])).collect()}
     want, links = exact_groups(rows, [plain_simhash(t) for t in rows])
     assert len(links) >= 60 and out == want
+
+
+def test_appended_and_truncated_copies(spark):
+    """Near copies by a passage added or cut off, from a similarity of 0.8 on."""
+    rng = random.Random(32)
+    rows, links = [], []
+    for _ in range(60):
+        base = words(rng, rng.randint(80, 300)).split()
+        n = len(base)
+        more = lambda share, n=n: words(rng, int(share * n)).split()
+        copies = [base + more(0.22), more(0.22) + base, base[: n // 2] + more(0.15) + base[n // 2 :], base[: int(0.84 * n)], base[int(0.84 * n) :]]
+        links += [(len(rows), len(rows) + k) for k in range(1, 6)]
+        rows += [" ".join(t) for t in (base, *copies)]
+    out = {r["doc_id"]: r["component"] for r in groups(table(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in rows]
+    links = [(a, b) for a, b in links if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) >= 200 and all(out[a] == out[b] for a, b in links)
