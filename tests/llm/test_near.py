@@ -232,3 +232,15 @@ def test_appended_and_truncated_copies(spark):
     sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in rows]
     links = [(a, b) for a, b in links if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(links) >= 200 and all(out[a] == out[b] for a, b in links)
+
+
+def test_the_similarity_is_exact(spark):
+    """Pairs a little above and a little below 0.8: the groups are those of the exact similarities."""
+    rng = random.Random(33)
+    rows = []
+    for k in range(240):
+        base = words(rng, 204).split()
+        rows += [" ".join(base), " ".join(base + words(rng, 42 + k % 16).split())]
+    out = {r["doc_id"]: r["component"] for r in groups(table(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])).collect()}
+    want, links = exact_groups(rows, [plain_simhash(t) for t in rows])
+    assert 120 <= len(links) <= 160 and out == want

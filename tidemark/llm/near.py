@@ -6,7 +6,8 @@ alike by 0.8 share no cell in 3 cases of a million, and by more in fewer; texts
 
 No pair of a cell is left out. First all of a cell are held against its least and its greatest document, and components are taken of those that are alike.
 Then, in each cell that still has several components, every pair from different ones is held against each other; pairs within a component can't change it.
-A pair is alike if the bias-corrected likeness of the 512-bin fingerprints reaches ``LEAST``. Links of 64-bit SimHashes within three bits, which find texts
+A pair whose fingerprints' bias-corrected likeness reaches ``SKETCH`` (standard error 0.018, so over five of them below) is decided by the exact Jaccard
+similarity of the two texts' shingles (64-bit hashes), 0.8 or more. Links of 64-bit SimHashes within three bits, which find texts
 that differ in a word or two of hundreds, are added, then components are taken.
 
 Words are lower-cased for A-Z. Texts without a word are one group through their 64-bit print. Copies are one node. Documents without an id stand behind all
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix64, slices, text_buffer
+from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes, slices, text_buffer, word_spans
 from tidemark.llm.components import components
 from tidemark.llm.minhash import Fingerprinter
 from tidemark.llm.simhash import fingerprint, links
 
 BANDS, ROWS, BINS, SIZE = 32, 5, 512, 5
-LEAST = 0.77
+SKETCH = 0.7
 #: Longs of ``wide_bits``.
 _LONGS = 16
 
@@ -93,22 +94,54 @@ def _alike(a: Column, b: Column) -> Column:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
-def _held(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _shingles(docs: DataFrame) -> DataFrame:
+    """node and text to node and the different shingles' hashes."""
+
+    def run(batches):
+        hasher = ByteHasher()
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                data, offsets = text_buffer(part.column("text"))
+                data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+                starts, ends, rows = word_spans(data, offsets)
+                hashes, at = shingle_hashes(hasher.spans(data, starts, ends), rows, part.num_rows, SIZE)
+                order = np.lexsort((hashes, at))
+                hashes, at = hashes[order], at[order]
+                first = np.ones(len(at), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1])
+                cuts = np.searchsorted(at[first], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[first].view(np.int64)))], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _held(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b: nodes) that are alike."""
+
+    def both(of: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(of.select(F.col("node").alias(x), F.col(column).alias(f"s{x}")), x)
+        return pairs
+
+    def wanted(of: DataFrame, pairs: DataFrame) -> DataFrame:
+        return of.join(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "node", "left_semi")
+
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sketch = materialise(nodes.select("node", "sketch").join(wanted, "node", "left_semi"), "sketches")
-    held = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return materialise(held.filter(_alike(F.col("sa"), F.col("sb")) >= LEAST).select("a", "b"), "held")
+    sketch = materialise(wanted(nodes.select("node", "sketch"), pairs), "sketches")
+    close = materialise(both(sketch, pairs, "sketch").filter(_alike(F.col("sa"), F.col("sb")) >= SKETCH).select("a", "b").distinct(), "close")
+    texts = wanted(docs.select(number().alias("node"), "text"), close).dropDuplicates(["node", "text"])
+    held = both(materialise(_shingles(texts), "shingles"), close, "shingles")
+    # 0.8 of the union, in whole numbers
+    return materialise(held.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "held")
 
 
-def _alike_links(nodes: DataFrame) -> DataFrame:
+def _alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all alike pairs that share a cell."""
     placed = nodes.filter("has_words").select("node", F.explode("cells").alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     shared = materialise(placed.join(heads, "cell"), "shared")
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("head")).filter("node <> head")
-    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes)
+    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes, docs)
     # of the cells with several components, all pairs between these
     named = shared.select("cell", "node").join(components(first), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "named")
@@ -116,7 +149,7 @@ def _alike_links(nodes: DataFrame) -> DataFrame:
     mixed = materialise(named.join(mixed, "cell"), "mixed")
     left, right = (mixed.select("cell", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     across = left.join(right, "cell").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return first.unionByName(_held(across, nodes))
+    return first.unionByName(_held(across, nodes, docs))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -124,7 +157,7 @@ def groups(docs: DataFrame) -> DataFrame:
     found = materialise(prints(docs), "prints")
     nodes = found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first(F.struct("fp", "cells", "sketch", "has_words")).alias("x")).select("copy", "node", "x.*")
     nodes = materialise(nodes, "nodes")
-    held = _alike_links(nodes)
+    held = _alike_links(nodes, docs)
     # those of the 64-bit prints
     first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     equal = nodes.join(first, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
