@@ -165,3 +165,38 @@ def test_equal_texts_equal_media(spark):
     df = spark.createDataFrame([(1, "same", None, None, None), (2, "same", "x", "y", 4)], SCHEMA)
     a, b = mpeg.store_texts(df).collect()
     assert hashlib.sha256(a["media"]).digest() == hashlib.sha256(b["media"]).digest()
+
+
+def test_a_payload_that_looks_like_a_tag():
+    seen = set()
+    for n in (200, 640, 1000, 3000):
+        for mark, back in ((b"TAG", 128), (b"APETAGEX", 32)):
+            made = mpeg.store(b"S" * n)
+            payload = bytearray(b"S" * n)
+            pad = len(made) - 1 - made.rindex(b"S")
+            if (at := n - (back - pad)) < 0 or at + len(mark) > n:
+                continue
+            payload[at : at + len(mark)] = mark
+            stream = mpeg.store(bytes(payload))
+            if not stream[-back:].startswith(mark):  # a frame's head stands there
+                continue
+            seen.add(mark)
+            got = mpeg.parse(stream)
+            assert got["payload"] == bytes(payload) and got["skipped_bytes"] == 0 and got["crc_bad"] == 0
+            tagged = mpeg.parse(mpeg.store(b"S" * n) + b"TAG" + b"title".ljust(125, b"\0"))
+            assert tagged["tags"]["TIT2"] == "title" and tagged["payload"] == b"S" * n and tagged["skipped_bytes"] == 0
+    assert len(seen) == 2
+
+
+def test_layer_two_checksums():
+    """Version 1, layer II, 48,000 samples a second, mono, 64 kilobits: 27 subbands, 88 bits of allocation; the first has one, so two more bits."""
+    head, body = bytes([0xFF, 0xFC, 0x44, 0xC0]), bytearray(186)
+    body[0] = 0x10
+    bits = "".join(f"{x:08b}" for x in head[2:]) + "".join(f"{x:08b}" for x in body)[: 11 * 4 + 12 * 3 + 4 * 2 + 2]
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    frame = head + crc.to_bytes(2) + bytes(body)
+    got = mpeg.parse(frame * 2 + head + (crc ^ 1).to_bytes(2) + bytes(body))
+    assert (got["frames"], got["crc_good"], got["crc_bad"]) == (3, 2, 1)

@@ -2,8 +2,8 @@
 
 ``parse`` reads a stream of MPEG 1, 2 or 2.5 audio, layers I to III: ID3v2, ID3v1 and APE tags, a Xing or Info table (VBRI too) in the first
 frame, and the frames, each found from the last one's length. Where no header stands, the stream is searched for the next place with a valid
-header that another consistent one (or the end) follows; the bytes between are counted as skipped. Checksums are verified for layers I and
-III, whose protected bits have a fixed place. A duration is exact: samples and samples a second. Offsets of all frames, in
+header that another consistent one (or the end) follows; the bytes between are counted as skipped. A tag at the end counts only where no frame
+reaches over its start that ends with the stream or that a consistent header follows. Checksums are verified in all layers; the protected bits of layer II follow from its bit allocation. A duration is exact: samples and samples a second. Offsets of all frames, in
 order, are the seek table.
 
 ``store`` writes bytes losslessly as a playable stream: layer III frames of silence (no audio bits) whose main data is the payload, the
@@ -38,13 +38,15 @@ _RATES = {
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _SAMPLING = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
+#: Layer II: bits of a subband's allocation in the four tables of version 1 and the one of version 2.
+_WIDTHS = ((4,) * 11 + (3,) * 12 + (2,) * 4, (4,) * 11 + (3,) * 12 + (2,) * 7, (4,) * 2 + (3,) * 6, (4,) * 2 + (3,) * 10, (4,) * 4 + (3,) * 7 + (2,) * 19)
 _VERSIONS = {0: "2.5", 2: "2", 3: "1"}
 
 
 class Header:
     """What the four bytes of a frame header say."""
 
-    __slots__ = ("channels", "checked", "guarded", "kbps", "layer", "rate", "samples", "side", "size", "version")
+    __slots__ = ("bound", "channels", "checked", "guarded", "kbps", "layer", "rate", "samples", "side", "size", "version", "widths")
 
     def __init__(self, version: str, layer: int, kbps: int, rate: int, padding: int, guarded: bool, mode: int, extension: int) -> None:
         self.version, self.layer, self.kbps, self.rate, self.guarded = version, layer, kbps, rate, guarded
@@ -58,7 +60,12 @@ class Header:
             self.samples = 1152 if first or layer == 2 else 576
             self.size = self.samples // 8 * 1000 * kbps // rate + padding
             self.checked = None
-        self.side = 0
+        self.side, self.widths, self.bound = 0, (), 0
+        if layer == 2:
+            each = kbps // self.channels
+            kind = 4 if not first else 0 if each >= 56 and (rate == 48000 or each <= 80) else 1 if rate != 48000 and each >= 96 else 2 if rate != 32000 and each <= 48 else 3
+            self.widths = _WIDTHS[kind]
+            self.bound = min((extension + 1) * 4, len(self.widths)) if mode == 1 else len(self.widths)
         if layer == 3:
             self.side = (17 if self.channels == 1 else 32) if first else (9 if self.channels == 1 else 17)
             self.checked = self.side
@@ -87,6 +94,24 @@ def checksum(protected: bytes) -> int:
     return crc
 
 
+def checksum2(frame: bytes, head: Header) -> int:
+    """The CRC of a layer II frame: the header's last half, the allocations, and two selection bits for each channel of a subband with one."""
+    after = int.from_bytes(frame[6:70].ljust(64, b"\x00"))
+    at = selected = 0
+    for band, width in enumerate(head.widths):
+        shared = band >= head.bound
+        for _ in range(1 if shared else head.channels):
+            at += width
+            if after >> 512 - at & (1 << width) - 1:
+                selected += head.channels if shared else 1
+    bits = 16 + at + 2 * selected
+    value = int.from_bytes(frame[2:4]) << bits - 16 | after >> 528 - bits
+    crc = 0xFFFF
+    for k in range(bits - 1, -1, -1):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15) ^ (value >> k & 1) else crc << 1) & 0xFFFF
+    return crc
+
+
 def _syncsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
@@ -119,7 +144,7 @@ def _tail_tags(data: bytes, start: int) -> tuple[int, dict[str, str]]:
             if text:
                 tags[name] = text
         end -= 128
-    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX" and 32 <= int.from_bytes(data[end - 20 : end - 16], "little") <= end - start:
         size, items, flags = struct.unpack("<III", data[end - 20 : end - 8])
         at = max(start, end - size)
         for _ in range(items):
@@ -156,8 +181,8 @@ def parse(data: bytes | None) -> dict:
     """All that a stream holds; see the module."""
     data = data or b""
     start, tags = _id3v2(data)
-    end, more = _tail_tags(data, start)
-    tags = more | tags
+    tail, more = _tail_tags(data, start)
+    end = tail
     offsets: list[int] = []
     kinds: Counter = Counter()
     body: list[bytes] = []
@@ -166,6 +191,8 @@ def parse(data: bytes | None) -> dict:
     at = start
     while at + 4 <= end:
         head = header(data[at : at + 4])
+        if head is not None and at + head.size > end == tail < len(data) and _ends_well(data, at, head) and (first is None or (head.version, head.layer, head.rate) == (first.version, first.layer, first.rate)):
+            end, more = len(data), {}
         if head is None or first is not None and (head.version, head.layer, head.rate) != (first.version, first.layer, first.rate) or at + head.size > end:
             to = _resync(data, at + 1, end, first)
             skipped += to - at
@@ -180,11 +207,11 @@ def parse(data: bytes | None) -> dict:
         data_at = 4
         if head.guarded:
             data_at = 6
-            if head.checked is not None:
-                if checksum(frame[2:4] + frame[6 : 6 + head.checked]) == frame[4] << 8 | frame[5]:
-                    good += 1
-                else:
-                    bad += 1
+            found = checksum2(frame, head) if head.layer == 2 else checksum(frame[2:4] + frame[6 : 6 + head.checked])
+            if found == frame[4] << 8 | frame[5]:
+                good += 1
+            else:
+                bad += 1
         offsets.append(at)
         kinds[head.kbps] += 1
         samples += head.samples
@@ -193,6 +220,7 @@ def parse(data: bytes | None) -> dict:
             body.append(frame[data_at + head.side :])
         at += head.size
     skipped += max(0, end - at)
+    tags = more | tags
     length = tags.get("payload_bytes", "")
     payload = b"".join(body)[: int(length)] if length.isdigit() else None
     return {
@@ -202,6 +230,13 @@ def parse(data: bytes | None) -> dict:
     }
 
 
+def _ends_well(data: bytes, at: int, head: Header) -> bool:
+    """Whether a frame ends with the stream, or a consistent header follows it."""
+    to = at + head.size
+    after = header(data[to : to + 4])
+    return to == len(data) or after is not None and (after.version, after.layer, after.rate) == (head.version, head.layer, head.rate)
+
+
 def _resync(data: bytes, at: int, end: int, first: Header | None) -> int:
     """The next place of a header that a consistent one or the end follows; else the end."""
     while (at := data.find(b"\xff", at, end)) >= 0:
