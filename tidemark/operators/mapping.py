@@ -8,89 +8,132 @@ from pyspark.sql import functions as F
 # Levels with their lower bounds, sectors in order of their bucket numbers, and keywords in order of preference.
 LEVELS = {"VERY_LOW": 0.0, "LOW": 0.2, "MEDIUM": 0.3, "HIGH": 0.4, "VERY_HIGH": 0.6}
 SECTORS = ("BANKING", "IT", "PHARMA", "ENERGY", "AUTO", "FMCG", "METAL", "INFRA", "TEXTILE", "CHEMICAL", "REALTY", "MEDIA", "TELECOM", "POWER", "CONSUMER_DURABLES")
-KEYWORDS = """
-bank financ nbfc: BANKING
-information_technology software tech: IT
-pharma hospital health: PHARMA
-oil gas energy power: ENERGY
-auto vehicle tyre: AUTO
-fmcg consumer food beverage: FMCG
-metal steel mining alumin: METAL
-infra construct cement road: INFRA
-textile apparel garment: TEXTILE
-chemical fertilizer pesticide: CHEMICAL
-realty real_estate: REALTY
-media entertainment broadcast: MEDIA
-telecom communication: TELECOM
-utility electric: POWER
-consumer_durable appliance: CONSUMER_DURABLES
-"""
-# Rules for a symbol's index in order: the index and its conditions. s: word in the sector, i: in the industry, +: and.
-INDEX_RULES = """
-NIFTY_PRIVATE_BANK: s:bank+i:private s:bank+s:private i:bank+i:private i:bank+s:private
-NIFTY_PSU_BANK: s:bank+i:public s:bank+i:psu i:bank+i:public i:bank+i:psu
-BANKNIFTY: s:bank i:bank
-NIFTY_FIN_SERVICE: s:financial i:finance
-NIFTY_IT: s:technology i:software i:it_services
-NIFTY_MIDSMALL_IT_TELECOM: s:telecom i:telecom
-NIFTY_CONSUMER_DURABLES: s:consumer+s:durables
-NIFTY_FMCG: s:fmcg s:consumer_goods i:food
-NIFTY_AUTO: s:auto i:automobile
-NIFTY_METAL: s:metal i:steel i:aluminium
-NIFTY_CHEMICALS: s:chemical i:chemical
-NIFTY_DEFENCE: s:defence i:defence i:aerospace
-NIFTY_ENERGY: s:energy i:power s:utilities
-NIFTY_OIL_GAS: s:oil s:gas i:petroleum
-NIFTY_PHARMA: s:pharma i:pharmaceutical
-NIFTY_HEALTHCARE: s:health i:hospital
-NIFTY_MEDIA: s:media i:entertainment
-NIFTY_REALTY: s:real_estate s:realty
-"""
-
-
-def _lines(text: str) -> list[tuple[str, list[str]]]:
-    return [(a.strip(), b.split()) for a, b in (line.split(":", 1) for line in text.strip().splitlines())]
-
-
-def keyword_pairs() -> list[tuple[str, str]]:
-    return [(k.replace("_", " "), b[0]) for a, b in ((x.split(":")[0].split(), x.split(":")[1].split()) for x in KEYWORDS.strip().splitlines()) for k in a]
+KEYWORDS = (
+    ("bank", "BANKING"),
+    ("financ", "BANKING"),
+    ("nbfc", "BANKING"),
+    ("information technology", "IT"),
+    ("software", "IT"),
+    ("tech", "IT"),
+    ("pharma", "PHARMA"),
+    ("hospital", "PHARMA"),
+    ("health", "PHARMA"),
+    ("oil", "ENERGY"),
+    ("gas", "ENERGY"),
+    ("energy", "ENERGY"),
+    ("power", "ENERGY"),
+    ("auto", "AUTO"),
+    ("vehicle", "AUTO"),
+    ("tyre", "AUTO"),
+    ("fmcg", "FMCG"),
+    ("consumer", "FMCG"),
+    ("food", "FMCG"),
+    ("beverage", "FMCG"),
+    ("metal", "METAL"),
+    ("steel", "METAL"),
+    ("mining", "METAL"),
+    ("alumin", "METAL"),
+    ("infra", "INFRA"),
+    ("construct", "INFRA"),
+    ("cement", "INFRA"),
+    ("road", "INFRA"),
+    ("textile", "TEXTILE"),
+    ("apparel", "TEXTILE"),
+    ("garment", "TEXTILE"),
+    ("chemical", "CHEMICAL"),
+    ("fertilizer", "CHEMICAL"),
+    ("pesticide", "CHEMICAL"),
+    ("realty", "REALTY"),
+    ("real estate", "REALTY"),
+    ("media", "MEDIA"),
+    ("entertainment", "MEDIA"),
+    ("broadcast", "MEDIA"),
+    ("telecom", "TELECOM"),
+    ("communication", "TELECOM"),
+    ("utility", "POWER"),
+    ("electric", "POWER"),
+    ("consumer durable", "CONSUMER_DURABLES"),
+    ("appliance", "CONSUMER_DURABLES"),
+)
+# Rules for a symbol's index in order, each the index and the words that the sector or industry must contain.
+INDEX_RULES = (
+    ("NIFTY_PRIVATE_BANK", (("sector", "bank"), ("industry", "private"),)),
+    ("NIFTY_PRIVATE_BANK", (("sector", "bank"), ("sector", "private"),)),
+    ("NIFTY_PRIVATE_BANK", (("industry", "bank"), ("industry", "private"),)),
+    ("NIFTY_PRIVATE_BANK", (("industry", "bank"), ("sector", "private"),)),
+    ("NIFTY_PSU_BANK", (("sector", "bank"), ("industry", "public"),)),
+    ("NIFTY_PSU_BANK", (("sector", "bank"), ("industry", "psu"),)),
+    ("NIFTY_PSU_BANK", (("industry", "bank"), ("industry", "public"),)),
+    ("NIFTY_PSU_BANK", (("industry", "bank"), ("industry", "psu"),)),
+    ("BANKNIFTY", (("sector", "bank"),)),
+    ("BANKNIFTY", (("industry", "bank"),)),
+    ("NIFTY_FIN_SERVICE", (("sector", "financial"),)),
+    ("NIFTY_FIN_SERVICE", (("industry", "finance"),)),
+    ("NIFTY_IT", (("sector", "technology"),)),
+    ("NIFTY_IT", (("industry", "software"),)),
+    ("NIFTY_IT", (("industry", "it services"),)),
+    ("NIFTY_MIDSMALL_IT_TELECOM", (("sector", "telecom"),)),
+    ("NIFTY_MIDSMALL_IT_TELECOM", (("industry", "telecom"),)),
+    ("NIFTY_CONSUMER_DURABLES", (("sector", "consumer"), ("sector", "durables"),)),
+    ("NIFTY_FMCG", (("sector", "fmcg"),)),
+    ("NIFTY_FMCG", (("sector", "consumer goods"),)),
+    ("NIFTY_FMCG", (("industry", "food"),)),
+    ("NIFTY_AUTO", (("sector", "auto"),)),
+    ("NIFTY_AUTO", (("industry", "automobile"),)),
+    ("NIFTY_METAL", (("sector", "metal"),)),
+    ("NIFTY_METAL", (("industry", "steel"),)),
+    ("NIFTY_METAL", (("industry", "aluminium"),)),
+    ("NIFTY_CHEMICALS", (("sector", "chemical"),)),
+    ("NIFTY_CHEMICALS", (("industry", "chemical"),)),
+    ("NIFTY_DEFENCE", (("sector", "defence"),)),
+    ("NIFTY_DEFENCE", (("industry", "defence"),)),
+    ("NIFTY_DEFENCE", (("industry", "aerospace"),)),
+    ("NIFTY_ENERGY", (("sector", "energy"),)),
+    ("NIFTY_ENERGY", (("industry", "power"),)),
+    ("NIFTY_ENERGY", (("sector", "utilities"),)),
+    ("NIFTY_OIL_GAS", (("sector", "oil"),)),
+    ("NIFTY_OIL_GAS", (("sector", "gas"),)),
+    ("NIFTY_OIL_GAS", (("industry", "petroleum"),)),
+    ("NIFTY_PHARMA", (("sector", "pharma"),)),
+    ("NIFTY_PHARMA", (("industry", "pharmaceutical"),)),
+    ("NIFTY_HEALTHCARE", (("sector", "health"),)),
+    ("NIFTY_HEALTHCARE", (("industry", "hospital"),)),
+    ("NIFTY_MEDIA", (("sector", "media"),)),
+    ("NIFTY_MEDIA", (("industry", "entertainment"),)),
+    ("NIFTY_REALTY", (("sector", "real estate"),)),
+    ("NIFTY_REALTY", (("sector", "realty"),)),
+)
 
 
 def sector_of(sector: Column, industry: Column) -> Column:
     """The sector of the first keyword found in either text; GENERIC without one."""
     text = F.lower(F.concat_ws(" ", sector, industry))
     out = F.lit("GENERIC")
-    for word, name in reversed(keyword_pairs()):
+    for word, name in reversed(KEYWORDS):
         out = F.when(F.contains(text, F.lit(word)), F.lit(name)).otherwise(out)
     return out
 
 
 def sector_of_sql(sector: str, industry: str) -> str:
     text = f"lower(concat_ws(' ', {sector}, {industry}))"
-    return "CASE " + " ".join(f"WHEN contains({text}, '{w}') THEN '{n}'" for w, n in keyword_pairs()) + " ELSE 'GENERIC' END"
+    return "CASE " + " ".join(f"WHEN contains({text}, '{w}') THEN '{n}'" for w, n in KEYWORDS) + " ELSE 'GENERIC' END"
 
 
 def index_of(sector: Column, industry: Column) -> Column:
     """The index that a symbol is held against; NIFTY50 without a rule."""
-    texts = {"s": F.lower(F.trim(F.coalesce(sector, F.lit("nan")))), "i": F.lower(F.trim(F.coalesce(industry, F.lit("nan"))))}
+    texts = {"sector": F.lower(F.trim(F.coalesce(sector, F.lit("nan")))), "industry": F.lower(F.trim(F.coalesce(industry, F.lit("nan"))))}
     out = F.lit("NIFTY50")
-    for name, rules in reversed(_lines(INDEX_RULES)):
-        for rule in reversed(rules):
-            words = [w.split(":") for w in rule.split("+")]
-            met = F.lit(True)
-            for side, word in words:
-                met = met & F.contains(texts[side], F.lit(word.replace("_", " ")))
-            out = F.when(met, F.lit(name)).otherwise(out)
+    for name, words in reversed(INDEX_RULES):
+        met = F.lit(True)
+        for side, word in words:
+            met = met & F.contains(texts[side], F.lit(word))
+        out = F.when(met, F.lit(name)).otherwise(out)
     return out
 
 
 def index_of_sql(sector: str, industry: str) -> str:
-    texts = {"s": f"lower(trim(coalesce({sector}, 'nan')))", "i": f"lower(trim(coalesce({industry}, 'nan')))"}
-    whens = []
-    for name, rules in _lines(INDEX_RULES):
-        for rule in rules:
-            met = " AND ".join(f"contains({texts[s]}, '{w.replace('_', ' ')}')" for s, w in (x.split(":") for x in rule.split("+")))
-            whens.append(f"WHEN {met} THEN '{name}'")
+    texts = {"sector": f"lower(trim(coalesce({sector}, 'nan')))", "industry": f"lower(trim(coalesce({industry}, 'nan')))"}
+    whens = [f"WHEN {' AND '.join(f"contains({texts[side]}, '{word}')" for side, word in words)} THEN '{name}'" for name, words in INDEX_RULES]
     return f"CASE {' '.join(whens)} ELSE 'NIFTY50' END"
 
 
