@@ -1,6 +1,8 @@
 from collections import Counter
 from math import comb
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, table
@@ -61,3 +63,32 @@ def test_order_is_shuffled_and_empty_tables_stay_empty(spark):
     assert abs(sum(front) / len(front) - 2000) < 250
     assert shuffle_into_shards(spark.range(0), 4).count() == 0
     assert shuffle_into_shards(spark.range(2), 4).count() == 2
+
+
+def test_places_in_different_partitions_are_independent(spark):
+    """A row's shard, slot and partition say nothing of the row at the same place of any other partition."""
+    parts, n = 4, 8000
+    rows = shuffle_into_shards(spark.range(parts * n, numPartitions=parts), 4, seed=5).collect()
+    shard, slot = np.empty(parts * n), np.empty(parts * n)
+    for r in rows:
+        shard[r["id"]], slot[r["id"]] = r["shard"], r["slot"]
+    seen = np.concatenate([shard.reshape(parts, n), slot.reshape(parts, n)])
+    off = np.corrcoef(seen) - np.eye(2 * parts)
+    assert np.abs(off).max() < 5 / n**0.5
+
+
+def test_small_tables_are_permuted_uniformly(spark):
+    """All assignments of six rows to three shards are as frequent as a uniform permutation makes them (90 of them), and slots within a shard too."""
+    n = 2700
+    id_, tries = F.col("id") % 6, F.floor(F.col("id") / 6)
+    counts = Counter()
+    for seed in range(3):
+        # one table of many small ones: rows of a group that fall next to each other in the whole order are a permutation of the group
+        rows = shuffle_into_shards(spark.range(6 * n, numPartitions=5).select(id_.alias("k"), tries.alias("t")), 7, seed=seed).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault(r["t"], []).append((r["shard"], r["slot"], r["k"]))
+        counts.update(tuple(frozenset(k for _, _, k in sorted(g)[i : i + 2]) for i in (0, 2, 4)) for g in groups.values())
+    e = 3 * n / 90
+    chi = sum((counts[c] - e) ** 2 / e for c in counts) + (90 - len(counts)) * e
+    assert len(counts) == 90 and chi < 89 + 5 * (2 * 89) ** 0.5

@@ -1,15 +1,17 @@
 """A uniform shuffle of rows into shards of exact sizes through a hypergeometric communication matrix, in SQL expressions.
 
-1. Each row gets its input partition and two random numbers; these narrow rows are written once, so that all later steps, reruns
-   of lost tasks included, see the same ones.
+1. Each row gets its input partition and two random keys, hashes of the seed, the purpose (leaving the partition or arriving in the
+   shard) and the row's place, so that no key of one partition or purpose tells of another. These rows are written once, so that all
+   later steps, reruns of lost tasks included, see the same ones.
 2. The matrix of how many rows each partition sends to each shard is drawn exactly as a uniform shuffle would make it: row by
    row, each entry is hypergeometric given the entries before it. Partitions are grouped by ``FAN``; first the groups' rows of
    the matrix are drawn, then, for all groups at once, those of their partitions.
 3. Each partition permutes its rows and sends off the counts drawn; each shard permutes what it gets. A shard's permutation is by
-   ranges of the second random number, whose row counts give each range's first slot, so that no shard is sorted in one task.
+   ranges of the second random key, whose row counts give each range's first slot, so that no shard is sorted in one task.
 
 Shard sizes are at most one apart. An entry is drawn by sequential choice for up to 16 rows, else by the ratio-of-uniforms
-rejection method for the hypergeometric distribution, with uniforms from hashes of the seed and the entry's place.
+rejection method for the hypergeometric distribution, with uniforms from hashes of the seed and the entry's place. A try is accepted in more
+than half of all cases, so that all ``TRIES`` fail, and the mode is taken, with a chance below 2**-64; else the law is exact but for the hashes.
 
 All columns of the input are kept, but for those named ``shard`` and ``slot``, which are replaced. Nulls in any column, repeated
 rows and ties are rows like any others. An empty table gives an empty one. One value of any column may hold any share of
@@ -148,7 +150,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0) -> DataFram
     """``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard)."""
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     names = [f"_c{i}" for i in range(len(keep))]
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.spark_partition_id().cast("long").alias("id"), F.rand(2 * seed).alias("r1"), F.rand(2 * seed + 1).alias("r2"))
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.spark_partition_id().cast("long").alias("id"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumns({"leave": F.xxhash64(F.lit(seed), F.lit("leave"), "at"), "arrive": F.xxhash64(F.lit(seed), F.lit("arrive"), "at")})
     rows = materialise(rows, "shuffled")
     counts = rows.groupBy("id").agg(F.count("*").alias("n"))
     total = rows.count()
@@ -156,12 +159,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0) -> DataFram
     sent = communication_matrix(counts, sizes, seed)
     upto = F.transform(F.sequence(F.lit(1), F.size("out")), lambda i: F.aggregate(F.slice("out", 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
     sent = materialise(sent.select("id", upto.alias("upto")), "matrix")
-    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("r1", "r2")))
+    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("leave", "at")))
     dealt = local.join(sent, "id").withColumn("shard", F.size(F.filter("upto", lambda x: x < F.col("rank"))))
     ranges = max(1, -(-total // (n_shards * RANGE_ROWS)))
-    dealt = materialise(dealt.select(*names, "shard", "r2", "r1", "id", F.floor(F.col("r2") * ranges).cast("int").alias("part")), "dealt")
+    dealt = materialise(dealt.select(*names, "shard", "arrive", "at", F.floor(F.shiftrightunsigned("arrive", 12) * F.lit(2.0**-52) * ranges).cast("int").alias("part")), "dealt")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("r2", "r1", "id")))
+    placed = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.shiftrightunsigned("arrive", 12), "arrive", "at")))
     slot = (F.col("first") + F.col("rank") - 1).cast("long").alias("slot")
     return placed.join(first, ["shard", "part"]).select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "shard", slot)
