@@ -1,7 +1,7 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
 ``parse`` reads a stream of MPEG 1, 2 or 2.5 audio, layers I to III: ID3v2, ID3v1 and APE tags, a Xing or Info table (VBRI too) in the first
-frame, and the frames, each found from the last one's length. Where no header stands, the stream is searched for the next place with a valid
+frame, and the frames, each found from the last one's length. Where no header stands, or at the first frame, the stream is searched for the next place with a valid
 header that another consistent one (or the end) follows; the bytes between are counted as skipped. A tag at the end counts only where no frame
 reaches over its start that ends with the stream or that a consistent header follows. Checksums are verified in all layers; the protected bits of layer II follow from its bit allocation. A duration is exact: samples and samples a second. Offsets of all frames, in
 order, are the seek table.
@@ -150,10 +150,11 @@ def _tail_tags(data: bytes, start: int) -> tuple[int, dict[str, str]]:
         for _ in range(items):
             if at + 8 > end - 32:
                 break
-            n = int.from_bytes(data[at : at + 4], "little")
-            name, _, rest = data[at + 8 : end - 32].partition(b"\x00")
-            tags[name.decode("latin-1")] = rest[:n].decode("utf-8", "replace")
-            at += 9 + len(name) + n
+            n, stop = int.from_bytes(data[at : at + 4], "little"), data.find(b"\x00", at + 8, end - 32)
+            if stop < 0:
+                break
+            tags[data[at + 8 : stop].decode("latin-1")] = data[stop + 1 : min(stop + 1 + n, end - 32)].decode("utf-8", "replace")
+            at = stop + 1 + n
         end = max(start, end - size - (32 if flags & 0x80000000 else 0))
     return end, tags
 
@@ -191,6 +192,8 @@ def parse(data: bytes | None) -> dict:
     at = start
     while at + 4 <= end:
         head = header(data[at : at + 4])
+        if first is None and head is not None and at + head.size != end and not _ends_well(data, at, head):
+            head = None  # one header alone is not believed
         if head is not None and at + head.size > end == tail < len(data) and _ends_well(data, at, head) and (first is None or (head.version, head.layer, head.rate) == (first.version, first.layer, first.rate)):
             end, more = len(data), {}
         if head is None or first is not None and (head.version, head.layer, head.rate) != (first.version, first.layer, first.rate) or at + head.size > end:
@@ -222,7 +225,7 @@ def parse(data: bytes | None) -> dict:
     skipped += max(0, end - at)
     tags = more | tags
     length = tags.get("payload_bytes", "")
-    payload = b"".join(body)[: int(length)] if length.isdigit() else None
+    payload = b"".join(body)[: int(length)] if length.isascii() and length.isdigit() and len(length) < 20 else None
     return {
         "version": first.version if first else None, "layer": first.layer if first else None, "channels": first.channels if first else None, "sample_rate": first.rate if first else None, "samples": samples,
         "frames": len(offsets), "frame_offsets": offsets, "frame_bytes": total, "kbps": dict(kinds), "crc_good": good, "crc_bad": bad, "skipped_bytes": skipped,
