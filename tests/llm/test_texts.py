@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import SCHEMA, collect, documents, table
+from tests.llm.helpers import SCHEMA, collect, documents, table, words
 from tidemark.llm import bpe, counts, licences, mpeg
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -17,30 +17,106 @@ tokenizers_files = pytest.importorskip("public_tokenizers")
 # -- licences ------------------------------------------------------------------------------------------------------------------
 
 
-def test_rules_need_their_order(spark):
-    s = licences.SENTENCES
-    texts = {
-        1: "Intro. Released under the MIT License.\nMore text.",
-        2: s[40] + ".\n" + s[41] + ".\nsome other thing. " + s[42] + ".",
-        3: s[41] + ". " + s[40] + ". " + s[42] + ".",
-        4: "This Work is LICENSED under the GNU\n general public license, Version 3.",
-        5: s[10].capitalize() + ". " + s[11] + ".",
-        6: None,
-        7: "",
-        8: "a license that nobody knows. warranty void",
-    }
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("licences", F.lit(0))
+HASHED = lambda text, mark="# ": "\n".join((mark + line).rstrip() for line in text.split("\n"))
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Copyright 2019 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of Some Company, Inc nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+NOTICES = {
+    "MIT": [MIT, HASHED(MIT), HASHED(MIT, " * "), "Intro. Released under the MIT License.\nMore text.", "prose\nReleased under the\nMIT License. Prose", "// SPDX-License-Identifier: MIT", "This file is released under the terms of the MIT License.", "The MIT License (MIT)"],
+    "Apache-2.0": [APACHE, HASHED(APACHE), HASHED(APACHE, "// "), "Licensed under the Apache License, Version 2.0.", "All code is distributed under the Apache License v2.0", "/* SPDX-License-Identifier: Apache-2.0 */"],
+    "GPL-3.0": [GPL, HASHED(GPL), GPL.replace("This program", "Foo").replace("software:", "software;"), "This Work is LICENSED under the GNU\n general public license, Version 3.", "# SPDX-License-Identifier: GPL-3.0-or-later\ncode", "Licensed under GPLv3 or later."],
+    "GPL-2.0": [GPL.replace("version 3", "version 2"), "SPDX-License-Identifier: GPL-2.0"],
+    "LGPL-2.1": [GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")],
+    "AGPL-3.0": [HASHED(GPL.replace("GNU General", "GNU Affero General"))],
+    "BSD-2-Clause": [BSD, HASHED(BSD), "BSD 2-Clause License\n\n" + BSD],
+    "BSD-3-Clause": [BSD + BSD3, HASHED(BSD + BSD3, " * ")],
+    "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
+    "ISC": ["Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"],
+    "EPL-2.0": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a thing. Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+}
+NONE = ["", None, "a license that nobody knows. warranty void", "He was licensed under the old law and permitted to sell.", BSD.split("\n\n")[1] + BSD.split("\n\n")[0], "MIT", "\n\n\n", "license " * 5000]
+
+
+def test_published_notices(spark):
+    texts = [(t, [name]) for name, ts in NOTICES.items() for t in ts] + [(t, []) for t in NONE] + [(f"{MIT}\n----\n{APACHE}\n{BSD}", ["Apache-2.0", "BSD-2-Clause", "MIT"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string").withColumn("licences", F.lit(0))
     out = collect(licences.scan(df))
-    assert {i: out[i]["licences"] for i in texts} == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: [], 4: ["GPL-3.0"], 5: ["MIT"], 6: [], 7: [], 8: []}
-    assert out[3]["sentence_ids"] == [41, 40, 42] and out[6]["sentence_ids"] == []
+    assert [(t, out[i]["licences"]) for i, (t, _) in enumerate(texts)] == texts
     assert licences.scan(table(spark, [])).count() == 0
 
 
+def test_every_identifier_serves_a_rule_and_passes_the_search():
+    used = {i for _, rule in licences.RULES for i in rule}
+    assert set(licences.SENTENCES.values()) == used
+    import re
+
+    assert all(re.search(licences.STEMS, text) for text in licences.TEXTS.values())
+    assert all(re.search(licences.STEMS, f"Licensed under the {n}") for names in licences.LICENCES.values() for n in names)
+
+
 def test_as_the_sql(spark):
     rng = random.Random(2)
-    known = list(licences.SENTENCES.values())
-    rows = [(i, rng.choice([". ", ".\n", "; ", "\n"]).join(rng.choice([*known, "Some prose", "A licence, no"]).capitalize() for _ in range(rng.randint(0, 6))) + rng.choice([".", ""])) for i in range(200)]
-    rows = [*rows, (200, None)]
+    known = [*licences.SENTENCES, *licences.TEXTS.values(), *(t for ts in NOTICES.values() for t in ts), *(t for t in NONE if t)]
+    rows = [(i, rng.choice([". ", ".\n", "; ", "\n", "\n#\n"]).join(rng.choice([rng.choice(known), "Some prose", "A licence, no"]).capitalize() for _ in range(rng.randint(0, 6))) + rng.choice([".", "", "\r\n"])) for i in range(300)]
+    rows = [*rows, (300, None)]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
@@ -84,7 +160,7 @@ def test_counts_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(VOCAB)
-    texts = [None, *strings(7), *(r[1] for r in documents()), "ab" * 40_000]
+    texts = [None, *strings(7), *(r[1] for r in documents()), "ab" * 40_000, "a" * 5001, words(random.Random(1), 12_000).replace(" ", "")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("old"))
     out = collect(counts.count_tokens(df, VOCAB))
     for i, t in enumerate(texts):
@@ -137,8 +213,9 @@ def test_resync_tags_and_checksums():
     assert found["samples"] == 4 * 1152 and found["payload"] is None
     cut = mpeg.parse(good[0] + good[1][:50])
     assert cut["frames"] == 1 and cut["skipped_bytes"] == 50
-    for nothing in (None, b"", b"no audio here", b"\xff" * 100):
-        assert mpeg.parse(nothing)["frames"] == 0
+    foreign_tag = b"TXXX" + mpeg._to_syncsafe(16) + b"\0\0" + b"\x03payload_bytes\0" + "²".encode()
+    for nothing in (None, b"", b"no audio here", b"\xff" * 100, good[0][:4] + bytes(900), b"ID3\4\0\0" + mpeg._to_syncsafe(len(foreign_tag)) + foreign_tag, bytes(40) + b"APETAGEX" + struct.pack("<IIII", 2000, 60, 1 << 31, 0) + bytes(8)):
+        assert mpeg.parse(nothing)["frames"] == 0 and mpeg.parse(nothing)["payload"] is None
 
 
 def test_headers_of_all_kinds():

@@ -5,7 +5,9 @@ neighbouring pair, takes the lowest of each pre-token, and merges all places of
 pre-token without a known pair leaves the array; its surviving symbols are its count. One pair at a time in order of rank
 gives the same: a merge's symbol only takes part in pairs of a higher rank.
 
-A word seen before isn't merged again: each process holds a table of counts of bounded size.
+A word seen before isn't merged again: each process holds a table of counts of words up to ``SHORT`` bytes, bounded in words. A pre-token of
+``LONG`` symbols and more is merged on its own: its pairs are kept by rank, and a round touches only the places of the lowest rank and
+their neighbours, so that its work grows with its length and not with the number of rounds.
 
 ``count_tokens`` counts as the tokenizers library does with its defaults for files of this kind (normaliser NFC, white space
 runs to one blank, lower case; pattern of contractions, letters, single digits and others; byte-level symbols; strings of
@@ -16,6 +18,7 @@ name is replaced, and one very long pre-token is merged like any other.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import slices
 
-#: Words that a process remembers.
-REMEMBERED = 1 << 19
+#: Words that a process remembers, their most bytes, and symbols from which a pre-token is merged on its own.
+REMEMBERED, SHORT, LONG = 1 << 19, 64, 2048
 
 
 class RankMerger:
@@ -41,6 +44,9 @@ class RankMerger:
             spec = json.load(file)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        for token in spec["added_tokens"]:
+            if any(token.get(flag) for flag in ("lstrip", "rstrip", "single_word")):
+                raise ValueError(f"added tokens that take in white space or need a word's edges aren't counted: {token['content']}")
         self.special = [x["content"] for x in spec["added_tokens"]]
         chars = _byte_symbols()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
@@ -60,15 +66,16 @@ class RankMerger:
         last = np.cumsum(lengths) - 1
         ids[last] = self.final[data[last]]
         out, word = np.ones(len(words), np.int64), np.arange(len(words))
-        word, lengths, ids = _keep(lengths > 1, word, lengths, ids)
+        for i in np.flatnonzero(lengths >= LONG).tolist():
+            out[i] = self._count_long(ids[last[i] - lengths[i] + 1 : last[i] + 1])
+        word, lengths, ids = _keep((lengths > 1) & (lengths < LONG), word, lengths, ids)
         none = np.int64(len(self._keys))
         while len(word):
             firsts = np.cumsum(lengths) - lengths
             keys = np.empty(len(ids), np.int64)
             keys[:-1] = ids[:-1] << 32 | ids[1:]
             keys[firsts + lengths - 1] = -1  # no pair goes on into the next word
-            at = np.minimum(np.searchsorted(self._keys, keys), none - 1)
-            ranks = np.where(self._keys[at] == keys, self._ranks[at], none)
+            ranks = self._ranks_of(keys)
             lowest = np.minimum.reduceat(ranks, firsts)
             done = lowest == none
             if done.any():
@@ -91,6 +98,54 @@ class RankMerger:
             ids = ids[keep]
         return out
 
+    def _ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs (left << 32 | right); the number of merges for none."""
+        none = np.int64(len(self._keys))
+        at = np.minimum(np.searchsorted(self._keys, keys), none - 1)
+        return np.where(self._keys[at] == keys, self._ranks[at], none)
+
+    def _count_long(self, ids: np.ndarray) -> int:
+        """Symbols that survive in one pre-token, which is a linked list of places."""
+        n, none = len(ids), len(self._keys)
+        ids, after, before = ids.copy(), np.arange(1, n + 1), np.arange(-1, n)  # before has a place for the end
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks_left: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            ranks = self._ranks_of(ids[places] << 32 | ids[after[places]])
+            places, ranks = places[ranks < none], ranks[ranks < none]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            heads = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ()
+            for a, b in zip(heads, [*heads[1:], len(ranks)], strict=True):
+                rank = int(ranks[a])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(ranks_left, rank)
+                waiting[rank].append(places[a:b])
+
+        note(np.arange(n - 1))
+        while ranks_left:
+            rank = heapq.heappop(ranks_left)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[alive[places] & (after[places] < n)]
+            places = places[self._ranks_of(ids[places] << 32 | ids[after[places]]) == rank]  # the others have changed since
+            if not len(places):
+                continue
+            if len(places) > 1:  # of places that overlap, every other one from the left
+                new = np.append(True, places[1:] != after[places[:-1]])
+                start = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
+                places = places[(np.arange(len(places)) - start) % 2 == 0]
+            gone = after[places]
+            ids[places] = self._made[rank]
+            alive[gone] = False
+            after[places] = after[gone]
+            before[after[places]] = places
+            near = np.unique(np.concatenate([before[places], places]))
+            note(near[(near >= 0) & (after[near] < n)])
+        return int(alive.sum())
+
     def count_texts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text."""
         known = self._known
@@ -104,7 +159,11 @@ class RankMerger:
         fresh = list({w for words in found for w in words if w not in known})
         if fresh:
             known.update(zip(fresh, self.counts([w.encode() for w in fresh]).tolist(), strict=True))
-        return [sum(map(known.__getitem__, words)) + more for words, more in zip(found, extra, strict=True)]
+        out = [sum(map(known.__getitem__, words)) + more for words, more in zip(found, extra, strict=True)]
+        for w in fresh:
+            if len(w) > SHORT:
+                del known[w]
+        return out
 
     def _apart(self, text: str) -> tuple[list[str], int]:
         """The text between strings of special tokens, and how many of those there are."""
