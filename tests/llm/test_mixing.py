@@ -3,7 +3,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, table
-from tidemark.llm.mixing import mix, pivot, word_count
+from tidemark.llm.mixing import mix, pivot, targets, word_count
 
 
 def plain_targets(sizes, weights, share, most):
@@ -80,3 +80,29 @@ def test_pivot_keeps_words_and_chances():
         assert abs(sum(a * b for a, b in zip(now, words, strict=True)) - before) < 1e-9
         total = [a + b for a, b in zip(total, now, strict=True)]
     assert all(abs(t / 4000 - w) < 0.02 for t, w in zip(total, (0.3, 0.6, 0.5), strict=True))
+
+
+def test_chances_and_equal_rows_in_many_blocks(spark):
+    """Long and short documents are repeated as often on average as their source's target asks; rows equal in all columns are spread and rerun alike."""
+    rows = [(i, "w " * (1, 10, 40)[i % 3], "en", ("a", "b", "c")[i // 3000], 1) for i in range(9000)] + [(9000, "v " * 10, "en", "a", 1)] * 3000
+    table_ = lambda parts: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts).withColumn("size", word_count())
+    out = mix(table_(4), [3.0, 1.0, 2.0], 1.5, 2.0, block_rows=400).collect()
+    assert len(out) == len(rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"], r["size"], r["doc_id"] == 9000].append(r["copies"])
+        x = r["target"] / r["source_size"]
+        by[r["source"], r["size"], r["doc_id"] == 9000, "x"] = x
+    for key in [k for k in by if len(k) == 3]:
+        n, x = len(by[key]), by[(*key, "x")]
+        assert abs(sum(by[key]) / n - x) < 5 * 0.5 / n**0.5, key
+    again = mix(table_(7), [3.0, 1.0, 2.0], 1.5, 2.0, block_rows=400).collect()
+    assert sorted((r["doc_id"], r["copies"]) for r in again) == sorted((r["doc_id"], r["copies"]) for r in out)
+
+
+def test_many_sources(spark):
+    sizes = {f"host{i:05d}": (i * 7919) % 5000 for i in range(3000)} | {None: 77}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, source_rows long").repartition(5)
+    got = {r["source"]: r["target"] for r in targets(df, [3.0, 1.0, 2.0], 1.5, 2.0).collect()}
+    want = plain_targets(sizes, [3, 1, 2], 1.5, 2.0)
+    assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)

@@ -8,8 +8,11 @@ words, not copies, are moved, their sum stays. What is left of a block of a sour
 are paired again, ``fan`` at a time, up a tree of blocks until a source has one left, for which a coin decides. So the words taken of
 a source differ from its target by less than its longest document.
 
-Blocks are drawn by a hash of the whole row, as many as a source's rows need; a source with a third of all rows is many blocks. All coins are
-hashes of rows and the seed, so that reruns agree, however the table is partitioned.
+Blocks are drawn by a hash of the whole row, as many as a source's rows need; a source with a third of all rows is many blocks. Rows that are
+equal in all columns hash alike: where more of them than ``block_rows // 8`` do, they are numbered (by input partition, then within it) and drawn by
+their number too, so that they spread over all blocks of the source; as they are interchangeable, which of them has which number makes no
+difference. All coins are hashes of rows and the seed, so that reruns agree, however the table is partitioned. Sources are ranked by ranges of
+names and their targets found by rounds of sums, so that there may be any number of them.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0. A document of size 0 carries no words; its
 fraction is rounded alone. Repeated rows are documents of their own. An empty table gives an empty one. Other columns are kept;
@@ -27,8 +30,6 @@ from pyspark.sql import types as T
 from tidemark.llm.common import materialise, mix64
 
 BLOCK_ROWS, BLOCK_WORDS, FAN = 2000, 2_000_000, 64
-#: Sources up to which their plan is broadcast (each a name and a few numbers).
-FEW_SOURCES = 10_000
 #: A fraction so near to 0 or 1 is it.
 _EPS = 1e-9
 
@@ -40,18 +41,26 @@ def word_count(text: str = "text"):
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """``sizes`` (source, source_size, source_rows) with ``target``. Weights repeat over the sources in order of code points, null last; the total is ``share`` of all sizes."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights) + 1
-    rows = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), place).cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    # full ones come first in order of cap for each unit of weight
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, every = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    total = F.sum("source_size").over(every) * F.lit(float(share))
-    rows = rows.withColumn("total", total).withColumn("room", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("full", F.col("cap") * F.col("rest") <= F.col("room") * F.col("w"))
-    taken, open_w = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(every)
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), (F.col("total") - taken) * F.try_divide(F.col("w"), open_w)))
-    return rows.select("source", "source_size", "source_rows", target.alias("target"))
+    order = F.col("source").asc_nulls_last()
+    rows = materialise(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    # places: of a row in its range, and of the ranges
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).join(first, "part")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("first") + F.col("place")) % len(weights) + 1).cast("int"))
+    rows = materialise(rows.select("source", "source_size", "source_rows", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights")
+    # words for each unit of weight: those that reach their cap at it stay there, and the rest is shared again
+    size, open_weight = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    total, full, each = share * (size or 0), 0, 0.0
+    while open_weight:
+        each = max(0.0, total) / open_weight
+        capped = F.col("cap") <= F.lit(each) * F.col("w")
+        now, taken, open_weight = rows.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("w")))).first()
+        total = share * size - taken
+        if now == full:
+            break
+        full = now
+    return rows.select("source", "source_size", "source_rows", F.least("cap", F.lit(each) * F.col("w")).alias("target"))
 
 
 def _coin(seed: int, key: np.ndarray) -> np.ndarray:
@@ -90,13 +99,16 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, most: float = 2
     keep = [c for c in df.columns if c not in ("source_size", "target", "copies")]
     names = [f"_c{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
-    plan = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *names)).withColumn("part", F.spark_partition_id())
+    kinds = materialise(rows.groupBy("source", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "kinds")
+    plan = kinds.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("source_rows"))
     plan = materialise(targets(plan, weights, share, most), "targets")
     copies = F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(float(most))), F.lit(0.0))
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", copies.alias("x"), F.ceil(F.greatest(F.col("source_rows") / block_rows, F.col("source_size") / BLOCK_WORDS)).cast("long").alias("blocks"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), *names))
-    rows = rows.join(F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))
+    many = kinds.filter(F.col("n") > block_rows // 8).select("h").distinct()
+    rows = _numbered(rows, many) if not many.isEmpty() else rows.withColumn("g", F.lit(0).cast("long"))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("h", "g"), "blocks"))
     inner = [*names, "source", "size", "source_size", "target", "block", "blocks"]
     schema = T.StructType([*(rows.schema[c] for c in inner), T.StructField("copies", T.IntegerType()), T.StructField("p", T.DoubleType()), T.StructField("h", T.LongType())])
 
@@ -138,6 +150,16 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, most: float = 2
     return done.filter(F.col("p").isNull()).select(*cols).unionByName(open_rows.select(*cols))
 
 
+def _numbered(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``rows`` with ``g``: a number among the rows of equal h for those in ``many``, 0 for others."""
+    equal = materialise(rows.join(many, "h", "left_semi"), "equal")
+    before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialise(equal.groupBy("h", "part").agg(F.count("*").alias("n")).select("h", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
+    place = F.row_number().over(Window.partitionBy("h", "part").orderBy("h"))
+    equal = equal.withColumn("place", place).join(first, ["h", "part"]).withColumn("g", F.col("first") + F.col("place")).select(*rows.columns, "g")
+    return rows.join(many, "h", "left_anti").withColumn("g", F.lit(0).cast("long")).select(*rows.columns, "g").unionByName(equal)
+
+
 _TREE = "source string, block long, blocks long, node long, p double, words double, h long, bit int"
 
 
