@@ -1,5 +1,6 @@
 """SimHash clusters, one-permutation fingerprints, connected components."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import collect, components, documents, table, words
 from tidemark.llm import minhash, simhash
 from tidemark.llm.common import mix64
-from tidemark.llm.near import groups, wide_bits
+from tidemark.llm.near import named_groups as groups
 from tidemark.llm.components import components as spark_components
 
 
@@ -40,6 +41,9 @@ def test_links_and_clusters_are_all(spark):
     got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
     assert got == want
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    assert all({(r["a"], r["b"]) for r in simhash.links(frame, parts=k).collect()} == want for k in (5, 9))
+    assert [simhash.parts_for(n) for n in (10, 10**6, 10**9, 10**11)] == sorted(simhash.parts_for(n) for n in (10, 10**6, 10**9, 10**11))
     rows = [(i, p) for i, p in enumerate(signed + signed[:10])]
     out = collect(simhash.clusters(spark.createDataFrame(rows, "doc_id long, fp long")))
     links = [(i, j) for i, a in rows for j, b in rows if i < j and bin((a ^ b) & (2**64 - 1)).count("1") <= 3]
@@ -128,7 +132,10 @@ def test_likeness_is_near_jaccard():
 
 def test_next_and_edited(spark):
     rows = documents()
-    out = collect(minhash.with_next(table(spark, rows), per_part=7))
+    df = table(spark, rows).withColumn("part", F.lit("own")).withColumn("n_chars", F.lit("old")).withColumn("kind", F.lit(9))
+    out = collect(minhash.with_next(df, keep_text=True, range_bytes=900))
+    assert all((r["part"], r["kind"], r["text"], r["source"]) == ("own", 9, rows[i][1], rows[i][3]) for i, r in out.items())
+    assert "text" not in minhash.with_next(df).columns
     order = sorted(rows, key=lambda r: -r[0])
     prints = {r["doc_id"]: r["fingerprint"] for r in minhash.fingerprints(table(spark, rows).withColumn("fingerprint", F.lit(0))).collect()}
     assert len(out) == len(rows)
@@ -136,7 +143,8 @@ def test_next_and_edited(spark):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         assert out[i]["n_chars"] == len(text)
-        assert out[i]["edited_text"] == text[: len(text) - half] + after[:half]
+        edited = text[: len(text) - half] + after[:half]
+        assert out[i]["edited_text"] == edited and out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert out[i]["fingerprint"] == prints[i]
         assert 0 <= out[i]["near_edited"] <= 1 and 0 <= out[i]["near_next"] <= 1
     assert out[9]["fingerprint"] == out[10]["fingerprint"] and out[10]["near_next"] == 1.0
@@ -145,10 +153,14 @@ def test_next_and_edited(spark):
 
 def test_next_of_few_rows(spark):
     assert minhash.with_next(table(spark, [])).count() == 0
-    one = minhash.with_next(table(spark, [(4, "ab cd", None, None, None)])).collect()
+    one = minhash.with_next(table(spark, [(4, "ab cd", None, None, None)]), keep_text=True).collect()
     assert len(one) == 1 and one[0]["edited_text"] == "ab ab" and one[0]["near_next"] == 1.0
     ties = minhash.with_next(table(spark, [(4, "b", None, None, None), (4, "a", None, None, None), (None, "zz", None, None, None), (4, "b", None, None, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["fingerprint"]) for r in ties) and len(ties) == 4
+    # one id, or none, with most of the rows: they are many ranges, and each row still has one follower
+    many = [(4, f"text {i % 7} of one id", None, None, None) for i in range(300)] + [(None, "no id", None, None, None)] * 100 + [(9, "first", None, None, None)]
+    out = minhash.with_next(table(spark, many, parts=5), range_bytes=200).collect()
+    assert len(out) == 401 and sum(r["near_next"] == 1.0 for r in out) >= 401 - 7 - 3
 
 
 def test_groups_at_a_similarity(spark):
@@ -179,17 +191,6 @@ def test_groups_at_a_similarity(spark):
     assert groups(table(spark, [])).count() == 0
 
 
-def test_wide_bits_are_the_majority():
-    rng = np.random.default_rng(2)
-    for n in (0, 1, 3, 254, 255, 256, 9000):
-        hashes = rng.integers(0, 2**63, n).astype(np.uint64)
-        got = wide_bits(hashes).view(np.uint64)
-        for j in (0, 15):
-            each = mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
-            want = sum(1 << b for b in range(64) if 2 * int(((each >> np.uint64(b)) & np.uint64(1)).sum()) > n)
-            assert int(got[j]) == want
-
-
 def exact_groups(rows, prints):
     """Components of all pairs alike by 0.8 in their shingles, or within three bits."""
     sets = [set(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for t in rows]

@@ -64,6 +64,10 @@ def test_no_documents(spark, tmp_path):
 
 def test_documents_without_ids_or_texts(spark):
     near = dict(corpus_pipeline.STAGES)["near_dedup"]
+    # two texts under one id, and rows that differ in other columns only
+    twice = [(7, "this text has an id that is another one's too", "en", "a", 1), (7, "and so has this, which has nothing else in common with it", "en", "a", 1), (7, "and so has this, which has nothing else in common with it", "de", "b", 2)]
+    kept = near(spark, spark.createDataFrame(twice, SCHEMA), "").collect()
+    assert sorted(map(tuple, kept)) == sorted([twice[0], twice[2]])
     rows = [(None, "first text of many words here", None, None, None), (None, "another one that is not like it", None, None, None), (None, "another one that is not like it", "x", None, 1), (3, None, None, None, None), (4, "", None, None, None), (5, "another one that is not like it", None, None, None)]
     out = near(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out) == [(-1, "first text of many words here"), (3, ""), (5, "another one that is not like it")]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +29,74 @@ except (OSError, AttributeError):  # another C library
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is set."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Only a session on one machine may do without; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(scratch_dir, "own", None)
         if not found:
             found = scratch_dir.own = tempfile.mkdtemp(prefix="tidemark-")
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor costs no more than a reread."""
+#: Folders of tables written within each open ``temporary``.
+_OPEN: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor costs no more than a reread. ``keep``: it outlives the innermost ``temporary``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are deleted at the end, but for those to keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _OPEN.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, [df.scratch_path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Arrow batches of a few megabytes, as rows here carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Arrow batches of a few megabytes, as rows here carry whole texts. It holds for the session; ``bounded_batches`` puts it back."""
+    spark.conf.set(_ROWS, rows)
+    spark.conf.set(_BYTES, size)
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """``bound_batches`` for what is executed within; the session's own settings are restored."""
+    before = {k: spark.conf.get(k) for k in (_ROWS, _BYTES)}
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def give_back() -> None:
@@ -57,7 +106,7 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts have about ``max_bytes`` together; one longer text is a run of its own."""
     n = batch.num_rows
     if not n:

@@ -9,22 +9,28 @@ removes: (agreeing - 2**-bits) / (1 - 2**-bits), not below 0.
 Words are runs of bytes that aren't ASCII white space, of the text as it is. A text without words has the empty fingerprint:
 like another such one by 1, any other by 0. Null texts are empty ones. Any length goes; repeated rows get equal fingerprints; an
 empty table gives an empty one; other columns are kept, those named like an output are replaced.
+
+``with_next`` also needs each document's follower. Rows are dealt to ranges of (doc_id from high to low, null last; hash of the text; place) by
+Spark's range exchange and sorted within, so that one id with very many rows, or none, is many ranges too. One pass over a range sees every pair in
+it. Only a range's last row and first row are open; they are written, and joined with those of the neighbouring ranges in a second pass.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ByteHasher, mix64, shingle_hashes, slices, text_buffer, word_spans
+from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes, slices, text_buffer, word_spans
 
 BINS, BITS, SHINGLE = 256, 8, 5
-#: Ranges of ids that the driver keeps bounds and heads of.
-MOST_PARTS = 1 << 14
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 64 << 20
 
 
 class Fingerprinter:
@@ -88,73 +94,88 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", bi
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
 
 
-def with_next(df: DataFrame, per_part: int = 5000, bins: int = BINS, bits: int = BITS, size: int = SHINGLE) -> DataFrame:
-    """Each document (doc_id, text) held against an edited copy of itself and against the next document in descending doc_id.
+_MADE = "n_chars long, edited_text string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def with_next(df: DataFrame, keep_text: bool = False, range_bytes: int = RANGE_BYTES, bins: int = BINS, bits: int = BITS, size: int = SHINGLE) -> DataFrame:
+    """``df`` (doc_id, text and others) with each document held against an edited copy of itself and against the next document in descending doc_id.
 
     The edited text has its last floor(n/2) characters replaced by as many of the next document's first ones (or all); after the
-    last document comes the first. Rows are dealt to ranges of doc_id whose bounds come from approximate quantiles (they set the
-    work's shares, never the results) and sorted within; a copy of each range's first row goes along to the range before it. One
-    pass over a range then sees every pair. Equal ids are ordered by text; null ids come last.
+    last document comes the first. Null ids come last; rows of one id are in the order of a hash of their text. All columns are kept but
+    those named like an output; text and edited_text (else null) only with ``keep_text``.
     """
-    schema = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    spark = df.sparkSession
-    df = df.select("doc_id", "text")
-    n, least, most = df.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return spark.createDataFrame([], schema)
-    parts = min(max(spark.sparkContext.defaultParallelism, -(-n // per_part)), MOST_PARTS)
-    bounds = np.zeros(0, np.int64)
-    if least is not None and parts > 1:
-        bounds = np.unique(np.array(df.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0], np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        """Ranges from the highest ids down; null ids lie after all others."""
-        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), side="right")).astype(np.int32))
-
-    dealt = df.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    # one row for each range: its first id, then of the few rows with such an id the first text
-    firsts = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    tops = [x for x in firsts.values() if x is not None]
-    where = F.col("doc_id").isin(tops)
-    if None in firsts.values():
-        where = where | F.col("doc_id").isNull()
-    before = dict(zip(sorted(firsts), [sorted(firsts)[-1], *sorted(firsts)[:-1]], strict=True))
-    heads = dealt.filter(where).groupBy("part", "doc_id").agg(F.min(F.struct(F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("x"))
-    moved = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<int,int>")
-    heads = heads.select("doc_id", F.col("x.text").alias("text"), moved[F.col("part")].alias("part"), F.lit(1).alias("guest"))
-    rows = dealt.withColumn("guest", F.lit(0)).unionByName(heads)
-    rows = rows.repartitionById(len(bounds) + 2, F.col("part")).sortWithinPartitions("part", "guest", *order)
+    made = T.StructType.fromDDL(_MADE)
+    rest = [c for c in df.columns if c not in made.names and (keep_text or c != "text")]
+    names = {c: f"_c{i}" for i, c in enumerate(rest)}
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // range_bytes))
+    order = [F.col("doc_id").desc_nulls_last(), "tie", "place"]
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie", "place", "doc_id")
+    kept = T.StructType([rows.schema[n] for n in names.values()])
+    # kind 0: a finished row; 1: the range's last row, whose follower is in another range; 2: the range's first row
+    schema = T.StructType([*kept, *made, T.StructField("text", T.StringType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    first = materialise(rows.mapInArrow(_in_range(kept.names, keep_text, bins, bits, size), schema), "ranges")
+    # the next range that has rows; the last one's is the first
+    ends = first.filter("kind = 2").select("part", F.col("text").alias("next_text"))
+    ring = first.filter("kind = 2").groupBy("part").count().select("part")
+    ring = ring.withColumn("after", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
+    open_rows = first.filter("kind = 1").select(*kept.names, "text", "part").join(ring, "part").join(ends.withColumnRenamed("part", "after"), "after")
+    last = open_rows.select(*kept.names, "text", "next_text").mapInArrow(_across(kept.names, keep_text, bins, bits, size), T.StructType([*kept, *made]))
+    out = first.filter("kind = 0").select(*kept.names, *made.names).unionByName(last)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *made.names)
+
+
+def _held(make: Fingerprinter, texts: list[str], after: list[str], low: np.ndarray, some: np.ndarray, low_next: np.ndarray, some_next: np.ndarray, keep_text: bool) -> list[pa.Array]:
+    """The columns of ``_MADE`` for texts and their followers."""
+    edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for x, y in zip(texts, after, strict=True)]
+    low_e, some_e = make.bins_of(*text_buffer(pa.array(edited, pa.large_string())))
+    return [
+        pa.array([len(x) for x in texts], pa.int64()), pa.array(edited if keep_text else [None] * len(edited), pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
+        pa.array(make.packed(low, some)), pa.array(make.packed(low_e, some_e)), pa.array(make.likeness(low, some, low_e, some_e)), pa.array(make.likeness(low, some, low_next, some_next)),
+    ]
+
+
+def _in_range(rest: list[str], keep_text: bool, bins: int, bits: int, size: int):
+    """A sorted range's rows: all but the last are finished; the last and a copy of the first are handed on."""
+    made = [f.name for f in T.StructType.fromDDL(_MADE)]
+
+    def handed(row: pa.RecordBatch, text: str, kind: int, part: int) -> pa.RecordBatch:
+        empty = [pa.nulls(1, pa.float64() if c.startswith("near") else pa.int64() if c == "n_chars" else pa.string()) for c in made]
+        return pa.RecordBatch.from_arrays([*(row.column(c) for c in rest), *empty, pa.array([text], pa.string()), pa.array([kind], pa.int32()), pa.array([part], pa.int32())], [*rest, *made, "text", "kind", "part"])
 
     def run(batches):
-        make, last = Fingerprinter(bins, bits, size), None
+        make, last, part = Fingerprinter(bins, bits, size), None, TaskContext.get().partitionId()
         for batch in batches:
             for chunk in slices(batch, "text", 1 << 20):
-                ids, texts, part, guest = (chunk.column(c).to_pylist() for c in ("doc_id", "text", "part", "guest"))
+                texts = chunk.column("text").to_pylist()
                 low, some = make.bins_of(*text_buffer(chunk.column("text")))
-                texts = [x or "" for x in texts]
-                if last is not None:
-                    ids, texts, part, guest = [last[0], *ids], [last[1], *texts], [last[2], *part], [last[3], *guest]
-                    low, some = np.concatenate([last[4], low]), np.concatenate([last[5], some])
-                whole = [i for i in range(len(ids) - 1) if part[i] == part[i + 1] and not guest[i]]
-                edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in whole]
-                if whole:
-                    low_e, some_e = make.bins_of(*text_buffer(pa.array(edited, pa.large_string())))
-                    own, after = np.array(whole), np.array(whole) + 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[i] for i in whole], pa.int64()),
-                            pa.array([len(texts[i]) for i in whole], pa.int64()),
-                            pa.array(edited, pa.string()),
-                            pa.array(make.packed(low[own], some[own])),
-                            pa.array(make.packed(low_e, some_e)),
-                            pa.array(make.likeness(low[own], some[own], low_e, some_e)),
-                            pa.array(make.likeness(low[own], some[own], low[after], some[after])),
-                        ],
-                        ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                    )
-                last = (ids[-1], texts[-1], part[-1], guest[-1], low[-1:], some[-1:])
-
-    return rows.mapInArrow(run, schema)
+                if last is None:
+                    yield handed(chunk.slice(0, 1), texts[0], 2, part)
+                else:
+                    chunk = pa.Table.from_batches([last[0], chunk]).combine_chunks().to_batches()[0]
+                    texts, low, some = [last[1], *texts], np.concatenate([last[2], low]), np.concatenate([last[3], some])
+                n = len(texts) - 1
+                if n:
+                    columns = _held(make, texts[:-1], texts[1:], low[:-1], some[:-1], low[1:], some[1:], keep_text)
+                    yield pa.RecordBatch.from_arrays([*(chunk.column(c).slice(0, n) for c in rest), *columns, pa.nulls(n, pa.string()), pa.array([0] * n, pa.int32()), pa.array([part] * n, pa.int32())], [*rest, *made, "text", "kind", "part"])
+                last = (chunk.slice(n, 1), texts[-1], low[-1:], some[-1:])
+        if last is not None:
+            yield handed(last[0], last[1], 1, part)
+
+    return run
+
+
+def _across(rest: list[str], keep_text: bool, bins: int, bits: int, size: int):
+    """The ranges' last rows with their followers' texts."""
+    made = [f.name for f in T.StructType.fromDDL(_MADE)]
+
+    def run(batches):
+        make = Fingerprinter(bins, bits, size)
+        for batch in batches:
+            for chunk in slices(batch, "text", 1 << 20):
+                texts, after = chunk.column("text").to_pylist(), chunk.column("next_text").to_pylist()
+                own, other = make.bins_of(*text_buffer(chunk.column("text"))), make.bins_of(*text_buffer(chunk.column("next_text")))
+                yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in rest), *_held(make, texts, after, *own, *other, keep_text)], [*rest, *made])
 
+    return run

@@ -1,17 +1,18 @@
 """Near-duplicate groups of documents at a similarity of 0.8 of their five-word shingles.
 
-Candidates come from the shingles themselves: a text's 512-bin one-permutation MinHash gives 32 bands of 5 bins, each packed with its number into one long, a
+Candidates come from the shingles themselves: a text's 512-bin one-permutation MinHash gives 64 bands of 8 bins, each hashed with its number into one long, a
 cell. A bin agrees with a chance of the similarity, wherever the texts differ (words here and there, a passage added or cut off), so two texts
-alike by 0.8 share no cell in 3 cases of a million, and by more in fewer; texts without a shingle in common share one by chance only (2**-40 a cell).
+alike by 0.8 share no cell in 8 cases of a million, and by more in fewer; texts alike by 0.3 share one in 4 cases of a thousand, others by chance only (2**-64 a cell).
 
-No pair of a cell is left out. First all of a cell are held against its least and its greatest document, and components are taken of those that are alike.
+No pair of a cell is left out. First all of a cell are held against its least and its greatest text, and components are taken of those that are alike.
 Then, in each cell that still has several components, every pair from different ones is held against each other; pairs within a component can't change it.
 A pair whose fingerprints' bias-corrected likeness reaches ``SKETCH`` (standard error 0.018, so over five of them below) is decided by the exact Jaccard
-similarity of the two texts' shingles (64-bit hashes), 0.8 or more. Links of 64-bit SimHashes within three bits, which find texts
-that differ in a word or two of hundreds, are added, then components are taken.
+similarity of the two texts' shingles (64-bit hashes), 0.8 or more. Links of 64-bit SimHashes within three bits (``simhash.links``, the popcount grids), which
+find texts that differ in a word or two of hundreds, are added, then components are taken.
 
-Words are lower-cased for A-Z. Texts without a word are one group through their 64-bit print. Copies are one node. Documents without an id stand behind all
-others. Repeated rows, empty and long texts are no special cases; an empty table gives an empty one.
+The nodes are the different texts, not the ids: ``representatives`` gives each text a number of its own, so that two texts under one id, or
+without one, are two nodes, and copies are one. Words are lower-cased for A-Z. Texts without a word (null, empty, white space) are one group through their
+64-bit print. Repeated rows and long texts are no special cases; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,45 +22,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes, slices, text_buffer, word_spans
+from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes, slices, temporary, text_buffer, word_spans
 from tidemark.llm.components import components
 from tidemark.llm.minhash import Fingerprinter
 from tidemark.llm.simhash import fingerprint, links
 
-BANDS, ROWS, BINS, SIZE = 32, 5, 512, 5
+BANDS, ROWS, BINS, SIZE = 64, 8, 512, 5
 SKETCH = 0.7
-#: Longs of ``wide_bits``.
-_LONGS = 16
 
 
-def number() -> Column:
-    """A document's number: its doc_id; without one, a number behind all others that its text decides, so that texts without ids aren't one document."""
-    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("text"), F.lit(1 << 44)))
-
-
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of word hashes as 16 longs: a bit is set if it is in over half of the words, repeats included."""
-    out = np.zeros(64 * _LONGS, np.int64)
-    for at in range(0, len(hashes), 255 * 16):
-        part = hashes[at : at + 255 * 16]
-        many = np.stack([mix64(part + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) for j in range(_LONGS)], axis=1)
-        bits = np.unpackbits(many.view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(part), 255):
-            out += bits[k : k + 255].sum(0, dtype=np.uint8)
-    return np.packbits(2 * out > len(hashes), bitorder="little").view(np.int64)
+def representatives(docs: DataFrame) -> DataFrame:
+    """A row for each different text (null is empty): that of the least doc_id, null last, then of the least other columns, with ``copy`` (the text's SHA-256) and a number ``node``. To be written before use, as numbers follow the partitions."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    copy = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *rest, "text")
+    least = docs.select(copy.alias("copy"), row.alias("row")).groupBy("copy").agg(F.min("row").alias("row"))
+    return least.select(F.monotonically_increasing_id().alias("node"), "copy", *[F.col(f"row.{c}") for c in docs.columns])
 
 
 def cells_of(low: np.ndarray) -> np.ndarray:
-    """The cells of fingerprints (rows x bins): a band's bins in the low bytes, its number above."""
-    out = np.zeros((len(low), BANDS, 8), np.uint8)
-    out[:, :, :ROWS] = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS)
-    out[:, :, ROWS] = np.arange(BANDS)
-    return out.view("<i8").reshape(len(low), BANDS)
+    """The cells of fingerprints (rows x bins, a byte each): hashes of a band's bins and its number."""
+    bands = np.ascontiguousarray(low[:, : BANDS * ROWS]).view("<u8").reshape(len(low), BANDS)
+    return mix64(mix64(bands) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def prints(df: DataFrame) -> DataFrame:
-    """doc_id and text to doc_id, copy (hash of the text), fp, cells, sketch (64 longs) and has_words."""
-    schema = "doc_id long, copy binary, fp long, cells array<long>, sketch array<long>, has_words boolean"
+def prints(texts: DataFrame) -> DataFrame:
+    """node and text to node, fp, cells, sketch (64 longs) and has_words."""
+    schema = "node long, fp long, cells array<long>, sketch array<long>, has_words boolean"
 
     def run(batches):
         make = Fingerprinter(BINS, 8, SIZE)
@@ -69,16 +58,10 @@ def prints(df: DataFrame) -> DataFrame:
                 data, offsets = text_buffer(texts)
                 data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
                 low, some = make.bins_of(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("copy"), pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64()), pa.array(list(cells_of(low)), pa.list_(pa.int64())),
-                        pa.array(list(low.view(np.int64)), pa.list_(pa.int64())), pa.array(some),
-                    ],
-                    ["doc_id", "copy", "fp", "cells", "sketch", "has_words"],
-                )
+                columns = [part.column("node"), pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64()), pa.array(list(cells_of(low)), pa.list_(pa.int64())), pa.array(list(low.view(np.int64)), pa.list_(pa.int64())), pa.array(some)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "cells", "sketch", "has_words"])
 
-    rows = df.select(number().alias("doc_id"), "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("copy"))
-    return rows.mapInArrow(run, schema)
+    return texts.select("node", "text").mapInArrow(run, schema)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -94,7 +77,7 @@ def _alike(a: Column, b: Column) -> Column:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
+def _shingles(texts: DataFrame) -> DataFrame:
     """node and text to node and the different shingles' hashes."""
 
     def run(batches):
@@ -112,10 +95,10 @@ def _shingles(docs: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(at[first], np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[first].view(np.int64)))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _held(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _held(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b: nodes) that are alike."""
 
     def both(of: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
@@ -129,19 +112,18 @@ def _held(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     sketch = materialise(wanted(nodes.select("node", "sketch"), pairs), "sketches")
     close = materialise(both(sketch, pairs, "sketch").filter(_alike(F.col("sa"), F.col("sb")) >= SKETCH).select("a", "b").distinct(), "close")
-    texts = wanted(docs.select(number().alias("node"), "text"), close).dropDuplicates(["node", "text"])
-    held = both(materialise(_shingles(texts), "shingles"), close, "shingles")
+    held = both(materialise(_shingles(wanted(texts.select("node", "text"), close)), "shingles"), close, "shingles")
     # 0.8 of the union, in whole numbers
     return materialise(held.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "held")
 
 
-def _alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _alike_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all alike pairs that share a cell."""
     placed = nodes.filter("has_words").select("node", F.explode("cells").alias("cell"))
-    heads = placed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    heads = materialise(placed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "heads")
     shared = materialise(placed.join(heads, "cell"), "shared")
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("head")).filter("node <> head")
-    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes, docs)
+    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes, texts)
     # of the cells with several components, all pairs between these
     named = shared.select("cell", "node").join(components(first), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "named")
@@ -149,19 +131,37 @@ def _alike_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = materialise(named.join(mixed, "cell"), "mixed")
     left, right = (mixed.select("cell", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     across = left.join(right, "cell").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return first.unionByName(_held(across, nodes, docs))
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id and text to (doc_id, component): the ``number`` of a document and the least one of its group, for each different pair."""
-    found = materialise(prints(docs), "prints")
-    nodes = found.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first(F.struct("fp", "cells", "sketch", "has_words")).alias("x")).select("copy", "node", "x.*")
-    nodes = materialise(nodes, "nodes")
-    held = _alike_links(nodes, docs)
-    # those of the 64-bit prints
-    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    equal = nodes.join(first, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    tight = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    joined = components(held.unionByName(equal.filter("a <> b")).unionByName(tight))
-    named = nodes.select("copy", "node").join(joined, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
-    return found.select("doc_id", "copy").join(named, "copy").select("doc_id", "component").distinct()
+    return first.unionByName(_held(across, nodes, texts))
+
+
+def groups(texts: DataFrame) -> DataFrame:
+    """node and text (a written table of different texts) to (node, component): the least node of its group."""
+    with temporary(texts.sparkSession):
+        nodes = materialise(prints(texts), "prints")
+        held = _alike_links(nodes, texts)
+        # those of the 64-bit prints
+        first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+        equal = nodes.join(first, "fp").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")
+        named = first.select("fp", F.col("head").cast("long"))
+        tight = links(first.select("fp")).join(named.toDF("a", "ha"), "a").join(named.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+        joined = components(held.unionByName(equal).unionByName(tight))
+        return materialise(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "groups", keep=True)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each group of near-duplicate rows of ``docs`` (doc_id, text and others) the one of the least doc_id (null last; of texts under one id, the one of the least SHA-256)."""
+    texts = materialise(representatives(docs), "texts")
+    found = groups(texts)
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "copy", "node")
+    best = texts.select("node", row.alias("row")).join(found, "node").groupBy("component").agg(F.min("row").alias("row"))
+    return texts.join(best.select("row.node"), "node", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def named_groups(docs: DataFrame) -> DataFrame:
+    """doc_id and text to (doc_id, copy, component) for each different pair of id and text: ``component`` is the least doc_id of its group, null where none has one."""
+    texts = materialise(representatives(docs.select("doc_id", "text")), "texts")
+    found = groups(texts).join(texts.select("node", "copy"), "node")
+    rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("copy")).distinct()
+    rows = materialise(rows.join(found, "copy").select("doc_id", "copy", F.col("component").alias("group")), "named")
+    least = materialise(rows.groupBy("group").agg(F.min("doc_id").alias("component")), "least")
+    return rows.join(least, "group").select("doc_id", "copy", "component")

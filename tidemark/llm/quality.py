@@ -218,6 +218,16 @@ def with_scores(df: DataFrame, model: Discriminant, features: str = "features",
     return df.mapInArrow(run, schema)
 
 
+#: Labelled rows that a fit needs at most, so that a join with them can be a broadcast (16 bytes a row).
+MOST_LABELS = 1_000_000
+
+
+def few_labels(labels: DataFrame, most: int = MOST_LABELS, doc_id: str = "doc_id") -> DataFrame:
+    """About ``most`` of the labels at most, by a hash of the id; all of fewer."""
+    share = min(1.0, most / max(1, labels.count()))
+    return labels.filter(F.shiftrightunsigned(F.xxhash64(F.lit("label"), doc_id), 12) * F.lit(2.0**-52) < F.lit(share))
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model learns from: a quarter by the checksum of the id as text."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, materialise
+from tidemark.llm.common import bounded_batches, materialise, temporary
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its rows written under small Arrow batches, its scratch tables deleted and the session's settings restored."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with bounded_batches(spark), temporary(spark):
+            return materialise(query(spark, sf_dir), query.__name__, keep=True)
+
+    return run
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -96,7 +107,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minhash import with_next
 
-    return with_next(_documents(spark, sf_dir)).select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return with_next(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op5_licences, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
+    return {"pipeline": pipeline, "op5_licences": op5_licences} | {f.__name__: _written(f) for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op6_mpeg_audio, op7_byte_bpe, op8_minhash, op9_token_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,11 @@
 
 ``fingerprints`` adds the 64-bit SimHash of word shingles. ``links`` finds all pairs of different fingerprints within ``radius``
 bits: a fingerprint is mapped to the bit counts of its 32 two-bit segments, packed two bits each into a long. The Manhattan
-distance of two such vectors is never more than the fingerprints' Hamming distance. Cut into two halves of 16 segments, the
-vectors of a pair within 3 differ by at most 1 in one half. So each half is a grid whose cells are its vectors; a fingerprint
-lies in one cell of each grid and probes that cell and those at Manhattan distance 1 (33 at most). The candidates of this range
-join are held against the whole embedding's distance, then against the exact Hamming distance. No cell is capped: all its rows
+distance of two such vectors is never more than the fingerprints' Hamming distance. The segments are cut into ``parts``; vectors within a
+Manhattan distance of 3 differ in at most 3 of them, so they are equal in the others: each choice of all but ``radius`` parts is a grid whose
+cells are the vectors on these parts, and such a pair shares a cell of one grid at least. The candidates of this range join are held
+against the whole embedding's distance, then against the exact Hamming distance. More parts make more grids of finer cells; all choices give the
+same pairs, and ``parts_for`` takes the one of least work for the number of fingerprints. No cell is capped: all its rows
 are equal keys of one join, whose hot keys Spark may split; equal fingerprints are one row.
 
 ``clusters`` gives each document the least doc_id that it can reach over links; copies share a fingerprint and so need no link.
@@ -18,6 +19,9 @@ all members' ids are null, where the component is null.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -78,19 +82,23 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(unary(a).bitwiseXOR(unary(b)))
 
 
-def links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """``prints``: one column fp (long, distinct) to (a, b), a < b: all pairs within ``radius`` bits; at most 3, as a half then is within 1."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the grids of two halves find pairs within 3 bits")
-    low, high = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("v", 32)
-    own = prints.select("fp", embedding(F.col("fp")).alias("v")).select("fp", F.explode(F.array(F.struct(F.lit(0).alias("half"), low.alias("cell")), F.struct(F.lit(1).alias("half"), high.alias("cell")))).alias("g")).select("fp", "g.half", "g.cell")
-    steps = []
-    for i in range(16):
-        count = F.shiftright("cell", 2 * i).bitwiseAND(F.lit(3))
-        steps += [F.when(count < 2, F.col("cell") + F.lit(1 << 2 * i)), F.when(count > 0, F.col("cell") - F.lit(1 << 2 * i))]
-    near = F.filter(F.array(F.col("cell"), *steps), lambda x: x.isNotNull())
-    probes = own.select(F.col("fp").alias("a"), "half", F.explode(near).alias("cell"))
-    found = probes.join(own.withColumnRenamed("fp", "b"), ["half", "cell"]).filter("a < b")
+def parts_for(n: int, radius: int = 3) -> int:
+    """Parts of least work: rows of the grids and expected candidates of ``n`` random fingerprints, whose segments' counts agree in 3 of 8 cases each."""
+    return min(range(radius + 2, 17), key=lambda p: comb(p, radius) * (1 + n / 2 * 0.375 ** (32 - radius * -(-32 // p))))
+
+
+def links(prints: DataFrame, radius: int = 3, parts: int | None = None) -> DataFrame:
+    """``prints``: one column fp (long, distinct) to (a, b), a < b: all pairs within ``radius`` bits."""
+    if radius < 0:
+        raise ValueError("a radius is 0 or more")
+    parts = parts or parts_for(prints.count(), radius)
+    cuts = [32 * i // parts for i in range(parts + 1)]
+    masks = [sum((1 << 2 * b) - (1 << 2 * a) for a, b in chosen) for chosen in combinations(list(zip(cuts, cuts[1:], strict=False)), parts - radius)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    # a cell's grid and counts as one hash: two cells of one hash only make more candidates
+    cells = F.transform(signed, lambda m, i: F.xxhash64(i, F.col("v").bitwiseAND(m)))
+    placed = prints.select("fp", embedding(F.col("fp")).alias("v")).select("fp", F.explode(cells).alias("cell"))
+    found = placed.withColumnRenamed("fp", "a").join(placed.withColumnRenamed("fp", "b"), "cell").filter("a < b")
     found = found.filter(manhattan(embedding(F.col("a")), embedding(F.col("b"))) <= radius)
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
 
