@@ -7,14 +7,14 @@ written as Parquet to the shared folder and read again.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts
-from tidemark.llm.common import bound_batches, materialise
+from tidemark.llm.common import bound_batches, bounded_batches, discard, materialise, temporary
 from tidemark.llm.mixing import mix, word_count
-from tidemark.llm.near import groups, number
-from tidemark.llm.quality import fit, held_out, with_features, with_scores
+from tidemark.llm.near import one_of_each
+from tidemark.llm.quality import few_labels, fit, held_out, with_features, with_scores
 from tidemark.llm.suffix_dedup import dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,22 +23,19 @@ LEAST_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quadratic discriminant scores below ``LEAST_QUALITY``; it learns from the labelled ones that aren't held out."""
+    """Rejects documents that the quadratic discriminant scores below ``LEAST_QUALITY``; it learns from the labelled ones that aren't held out (a million of them, by a hash of the id, if there are more)."""
     bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    known = materialise(with_features(docs.select("doc_id", "text"), keep_text=False), "features").join(labels, "doc_id")
-    scored = with_scores(with_features(docs.select(*COLUMNS), out="quality_features"), fit(known), features="quality_features", out="quality_score")
+    known = with_features(docs.select("doc_id", "text").join(F.broadcast(few_labels(labels)), "doc_id"), keep_text=False)
+    model = fit(materialise(known, "features"))
+    scored = with_scores(with_features(docs.select(*COLUMNS), out="quality_features"), model, features="quality_features", out="quality_score")
     return scored.filter(F.col("quality_score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each near-duplicate group (five-word shingles alike by 0.8, or 64-bit SimHashes within three bits); of rows with that id, one that has the group's text."""
+    """Keeps one document of each near-duplicate group (five-word shingles alike by 0.8, or 64-bit SimHashes within three bits), that of the least doc_id. Different texts under one doc_id are documents of their own."""
     bound_batches(spark)
-    near = groups(docs.select("doc_id", "text"))
-    kept = near.groupBy("doc_id").agg(F.min("component").alias("component")).filter("doc_id = component").select(F.col("doc_id").alias("kept_id"))
-    rows = docs.select(*COLUMNS, number().alias("number")).join(kept, F.col("number") == F.col("kept_id"), "left_semi")
-    order = Window.partitionBy("number").orderBy(F.xxhash64("text", "lang", "source", "n_chars"))
-    return rows.withColumn("n", F.row_number().over(order)).filter("n = 1").select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's scratch tables are deleted once its result is written, and that result once the next one is; the session's settings are restored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    before = None
+    with bounded_batches(spark):
+        for name, stage in STAGES:
+            with temporary(spark):
+                docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
