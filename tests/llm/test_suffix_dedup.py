@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, table
-from tidemark.llm.bwt import merge, shard_bwt
+from tidemark.llm.bwt import merge, repeats, shard_bwt
+from tidemark.llm import suffix_dedup
 from tidemark.llm.suffix_dedup import dedup
 
 
@@ -24,12 +25,12 @@ def plain(rows, length):
 
 
 def test_as_the_plain_version(spark):
-    for seed, length, gram, shard, hot in ((1, 100, 32, 2000, 10_000), (2, 40, 16, 1000, 3), (3, 40, 8, 100_000, 2), (4, 100, 32, 500, 4)):
+    for seed, length, gram, shard, hot in ((1, 100, 32, 2000, 10_000), (3, 40, 8, 1000, 4)):
         rng = random.Random(seed)
         rows = documents(seed, 90)
         rows += [(1000 + i, rows[rng.randint(9, 80)][1] + "tail", "en", "z", 1) for i in range(20)]
         df = table(spark, rows, parts=4).withColumn("kept", F.lit(3)).withColumn("shard", F.lit("s"))
-        got = {r["doc_id"]: r for r in dedup(df, length=length, gram=gram, shard_bytes=shard, hot=hot).collect()}
+        got = {r["doc_id"]: r for r in dedup(df, length=length, gram=gram, shard_bytes=shard, hot=hot, shard_group=3).collect()}
         want = plain(rows, length)
         assert set(got) == set(want)
         for i, (kept, n, removed, spans) in want.items():
@@ -63,3 +64,42 @@ def test_merge_gives_the_order_and_prefixes():
             for x, y, common in zip(suffixes, suffixes[1:], found.lcp[1:], strict=False):
                 n = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
                 assert common == min(n, depth)
+
+
+def test_repeats_are_the_repeated_strings():
+    rng = random.Random(5)
+    for _ in range(80):
+        shards = [[bytes(rng.choice(b"ab\xff"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 4))]
+        strings = [s for x in shards for s in x]
+        weights = np.array([rng.choice([1, 1, 2, 5]) for _ in strings])
+        for depth in (1, 3, 6):
+            seen = {}
+            for i, s in enumerate(strings):
+                for a in range(len(s) - depth + 1):
+                    seen.setdefault(s[a : a + depth], []).append((i, a))
+            want = sorted(sorted(v) for v in seen.values() if sum(weights[i] for i, _ in v) > 1)
+            got = {}
+            for i, a, g in zip(*repeats([shard_bwt(x) for x in shards], weights, depth), strict=True):
+                got.setdefault(int(g), []).append((int(i), int(a)))
+            assert sorted(map(sorted, got.values())) == want
+
+
+def test_nothing_goes_but_by_the_merge(spark, monkeypatch):
+    """Without the merge's intervals no byte is removed, copies of whole documents included."""
+    rows = documents(3, 40)
+    df = table(spark, rows)
+    assert sum(r["n_removed"] for r in dedup(df).collect()) > 0
+    none, judge = np.zeros(0, np.int64), suffix_dedup._judge
+
+    def without(length, forward=False):
+        def run(t):
+            merged, suffix_dedup.repeats = suffix_dedup.repeats, lambda *a: (none, none, none)
+            try:
+                return judge(length, forward)(t)
+            finally:
+                suffix_dedup.repeats = merged
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_judge", without)
+    assert sum(r["n_removed"] for r in dedup(df).collect()) == 0

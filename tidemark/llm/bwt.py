@@ -6,6 +6,10 @@ is the order of all suffixes by no symbol; a pass takes the rows in the present
 last-to-first mapping) out by the symbol before them, which gives the order by one symbol more. A boundary between neighbours first appears in the
 pass that tells them apart, so the pass is the length of their common prefix plus one; runs of rows without a boundary after d passes are the intervals
 of suffixes that share d bytes.
+
+``repeats`` gives the repeated intervals only. A string may stand for several equal ones, which are neighbours in every order: it is in the transform
+once, with its number (a run of that length). A row that is alone in its interval then is either unlike all others and leaves, or stands for
+several equal suffixes; it leaves too, as what precedes it is the same for all of these: each suffix up to the string's start is an interval of its own.
 """
 
 from __future__ import annotations
@@ -83,11 +87,9 @@ def last_to_first(shard: ShardBwt) -> np.ndarray:
     return out
 
 
-def merge(shards: list[ShardBwt], depth: int, repeated_only: bool = False) -> Merged:
-    """The interleave by prefixes of ``depth`` bytes. ``repeated_only``: rows whose prefix so far is unlike all others leave, as no longer prefix of theirs can repeat; the intervals that remain are the repeated ones."""
-    sizes = [len(s.symbols) for s in shards]
-    base = np.cumsum([0, *sizes])
-    none = np.zeros(0, np.int32)
+def _joined(shards: list[ShardBwt]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols (bytes where few enough), predecessors' rows and first row of each shard."""
+    base = np.cumsum([0, *[len(s.symbols) for s in shards]])
     symbols = np.concatenate([s.symbols for s in shards]) if shards else np.zeros(0, np.uint16)
     if len(symbols) and symbols.max() > 255:  # as few symbols as there are, in order, so that each is a byte where that is enough
         kinds = np.flatnonzero(np.bincount(symbols))
@@ -97,35 +99,66 @@ def merge(shards: list[ShardBwt], depth: int, repeated_only: bool = False) -> Me
             symbols = small[symbols]
     else:
         symbols = symbols.astype(np.uint8)
-    before = np.concatenate([last_to_first(s) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else none
-    ends = np.concatenate([np.arange(s.n_strings) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else none
+    before = np.concatenate([last_to_first(s) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else np.zeros(0, np.int32)
+    return symbols, before, base
+
+
+def _refined(rows: np.ndarray, fresh: np.ndarray, symbols: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass: the rows of the suffixes one symbol longer, in order, and where intervals begin."""
+    by = symbols[rows]
+    group = np.cumsum(fresh, dtype=np.int32)
+    order = np.argsort(by, kind="stable")
+    order = order[len(by) - np.count_nonzero(by) :]  # whole strings have nothing before them
+    by, old = by[order], group[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (by[1:] != by[:-1]) | (old[1:] != old[:-1])
+    return before[rows[order]], fresh
+
+
+def merge(shards: list[ShardBwt], depth: int) -> Merged:
+    """The interleave by prefixes of ``depth`` bytes."""
+    symbols, before, base = _joined(shards)
+    ends = np.concatenate([np.arange(s.n_strings) + b for s, b in zip(shards, base, strict=False)]).astype(np.int32) if shards else np.zeros(0, np.int32)
     rows = np.arange(len(symbols), dtype=np.int32)
     known = np.full(len(rows), -1, np.int32)  # common prefixes at boundaries; a boundary stays at its place
     fresh = np.zeros(len(rows), bool)
     fresh[:1] = True
     for d in range(1, depth + 1):
-        by = symbols[rows]
-        group = np.cumsum(fresh, dtype=np.int32)
-        order = np.argsort(by, kind="stable")
-        order = order[len(by) - np.count_nonzero(by) :]  # whole strings have nothing before them
-        by, old = by[order], group[order]
-        rows = before[rows[order]]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (by[1:] != by[:-1]) | (old[1:] != old[:-1])
-        if repeated_only:
-            if len(rows):
-                pick = ~fresh
-                pick[:-1] |= ~fresh[1:]
-                rows, fresh = rows[pick], fresh[pick]
-        else:  # suffixes of a terminator only stand before all others, each alone
-            rows = np.concatenate([ends, rows])
-            fresh = np.concatenate([np.ones(len(ends), bool), fresh])
-            known[fresh & (known < 0)] = d - 1
+        rows, fresh = _refined(rows, fresh, symbols, before)
+        # suffixes of a terminator only stand before all others, each alone
+        rows = np.concatenate([ends, rows])
+        fresh = np.concatenate([np.ones(len(ends), bool), fresh])
+        known[fresh & (known < 0)] = d - 1
         if not len(rows):
             break
-    if not repeated_only:
-        lcp = np.where(known < 0, depth, known)
-        lcp[:1] = 0
-    else:
-        lcp = np.where(fresh, 0, depth)
+    lcp = np.where(known < 0, depth, known)
+    lcp[:1] = 0
     return Merged(rows, lcp, np.flatnonzero(fresh))
+
+
+def repeats(shards: list[ShardBwt], weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes whose first ``depth`` bytes occur more than once: their strings (numbered over all shards), offsets and intervals. ``weights``: how many equal strings each stands for."""
+    symbols, before, _ = _joined(shards)
+    firsts = np.cumsum([0, *[s.n_strings for s in shards]])
+    strings = np.concatenate([s.strings + f for s, f in zip(shards, firsts, strict=False)]).astype(np.int32) if shards else np.zeros(0, np.int32)
+    offsets = np.concatenate([s.offsets for s in shards]).astype(np.int32) if shards else np.zeros(0, np.int32)
+    several = weights > 1
+    rows = np.arange(len(symbols), dtype=np.int32)
+    fresh = np.zeros(len(rows), bool)
+    fresh[:1] = True
+    alone_strings, alone_offsets = [], []
+    for d in range(1, depth + 1):
+        rows, fresh = _refined(rows, fresh, symbols, before)
+        if not len(rows):
+            break
+        alone = fresh & np.append(fresh[1:], True)
+        out = rows[alone]
+        out = out[several[strings[out]]]
+        at = offsets[out] - (depth - d)
+        alone_strings.append(strings[out][at >= 0])
+        alone_offsets.append(at[at >= 0])
+        rows, fresh = rows[~alone], fresh[~alone]
+    group = np.cumsum(fresh)
+    n = int(group[-1]) if len(group) else 0
+    s, o = (np.concatenate([*x, y[rows]]) for x, y in ((alone_strings, strings), (alone_offsets, offsets)))
+    return s, o, np.concatenate([np.arange(len(s) - len(rows)) + n + 1, group])
