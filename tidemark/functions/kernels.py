@@ -1,4 +1,4 @@
-"""Row recursions of a series, for the grouped kernel: one pass over a symbol's rows, in order of time."""
+"""Recursions and ranks of a whole series, for the grouped kernel: arrays of a symbol's rows in order of time."""
 
 from __future__ import annotations
 
@@ -9,16 +9,38 @@ def ema(x: np.ndarray, span: float) -> np.ndarray:
     """Exponential mean with weight 2 / (span + 1), begun at the first value. A gap keeps the last mean, whose weight then decays by the rows missed."""
     a = 2.0 / (span + 1.0)
     out = np.full(len(x), np.nan)
-    mean, weight = np.nan, 1.0
-    for i, v in enumerate(x.tolist()):
-        if mean == mean:
-            weight *= 1.0 - a
-            if v == v:
-                mean = (weight * mean + a * v) / (weight + a)
-                weight = 1.0
-        elif v == v:
-            mean = v
-        out[i] = mean
+    at = np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return out
+    # of the known values, mean = b * mean before + (1 - b) * value
+    old = (1.0 - a) ** np.diff(at)
+    b = old / (old + a)
+    known = np.concatenate([x[at[:1]], linear(b, (1 - b) * x[at[1:]], x[at[0]])])
+    out[at[0] :] = known[np.cumsum(~np.isnan(x[at[0] :])) - 1]
+    return out
+
+
+def linear(b: np.ndarray, c: np.ndarray, start: float) -> np.ndarray:
+    """y of y[i] = b[i] * y[i - 1] + c[i], in blocks: within one, y is the product of b times a running sum of c over it. A block ends before its product falls below 1/1000."""
+    out = np.empty(len(b))
+    begin = 0
+    logs = np.cumsum(-np.log(b))
+    while begin < len(b):
+        end = max(begin + 1, int(np.searchsorted(logs, (logs[begin - 1] if begin else 0.0) + 6.9)))
+        product = np.cumprod(b[begin:end])
+        out[begin:end] = product * (start + np.cumsum(c[begin:end] / product))
+        start = out[end - 1]
+        begin = end
+    return out
+
+
+def rankpct(x: np.ndarray) -> np.ndarray:
+    """Mean rank of each value among the known ones, as a share of their number."""
+    out = np.full(len(x), np.nan)
+    known = ~np.isnan(x)
+    if known.any():
+        _, place, ties = np.unique(x[known], return_inverse=True, return_counts=True)
+        out[known] = (np.cumsum(ties) - (ties - 1) / 2)[place] / known.sum()
     return out
 
 
@@ -32,16 +54,10 @@ def kama(close: np.ndarray, smooth: np.ndarray) -> np.ndarray:
     return out
 
 
-def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, multiple: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Line and side (1 above, -1 below). Bands at the middle price plus and minus ``multiple`` true ranges only tighten until a close passes them.
-
-    The bands begin at the first row with a range. ``strict`` begins them at the first row of all, where no range is known: they then stay unknown for good,
-    the line is null and the side 1 throughout.
-    """
+def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, multiple: float) -> tuple[np.ndarray, np.ndarray]:
+    """Line and side (1 above, -1 below). Bands at the middle price plus and minus ``multiple`` true ranges only tighten until a close passes them. They begin at the first row with a range."""
     n = len(close)
     line, side = np.full(n, np.nan), np.ones(n)
-    if strict:
-        return line, side
     upper = lower = np.nan
     way = 1.0
     for i in range(n):

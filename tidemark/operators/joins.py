@@ -14,15 +14,13 @@ STAGES = ("daily", "weekly", "monthly", "yearly")
 def integrate(bars: DataFrame, indices: DataFrame, core: tuple[str, ...] = ("NIFTY50", "SENSEX")) -> DataFrame:
     """Bars (with ``sector_index_name``) with the core indices and their own sector's, filled both ways, their logarithms, and the close's change in percent.
 
-    ``indices`` is long (dt, name, close). The sector's index is picked by a join on day and name, so no wide table of all indices is made.
+    ``indices`` is long (dt, name, close), one close for each day and name. The core ones are one small table by day, the sector's index is picked by a join on day and name.
     """
-    out = bars
-    for name in core:
-        one = indices.filter(F.col("name") == name).select("dt", F.col("close").alias(name))
-        out = out.join(one, "dt", "left")
+    wide = indices.filter(F.col("name").isin(*core)).groupBy("dt").agg(*[F.max(F.when(F.col("name") == name, F.col("close"))).alias(name) for name in core])
+    out = bars.join(wide, "dt", "left")
     own = indices.select("dt", F.col("name").alias("sector_index_name"), F.col("close").alias("sector_index_value"))
     out = out.join(own, ["dt", "sector_index_name"], "left")
-    out = fill(out, [*core, "sector_index_value"])
+    out = fill(out.repartition("symbol"), [*core, "sector_index_value"])
     first = F.coalesce("sector_index_value", F.col(core[0]))
     out = out.withColumn("sector_index_value", first).withColumns({f"log_{c}": safe_log(F.col(c)) for c in (*core, "sector_index_value")})
     out = fill(out, [f"log_{c}" for c in (*core, "sector_index_value")])

@@ -42,13 +42,21 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, order: str, columns:
 
 
 def with_coarse(bars: DataFrame) -> DataFrame:
-    """Daily rows with the weekly and monthly columns as of the day."""
-    for period, formulas, columns in (("weekly", WEEKLY, WEEKLY_COLUMNS), ("monthly", MONTHLY, MONTHLY_COLUMNS)):
-        coarse = engine.compute(resample(bars, period), formulas, list(columns))
-        counted = coarse.groupBy("symbol").agg(F.count("*").alias("_n"))
-        joined = asof_join(bars, coarse, "symbol", "dt", list(columns)).join(counted, "symbol", "left")
-        bars = joined.select(*bars.columns, *[F.when(F.col("_n") > FEW_PERIODS, F.col(c)).otherwise(0.0).alias(c) for c in columns])
-    return bars
+    """Daily rows with the weekly and monthly columns as of the day. Rows are exchanged by symbol once; both periods are laid into the daily series and carried on in one pass."""
+    bars = bars.repartition("symbol")
+    both = bars.withColumn("_side", F.lit(1))
+    parts = (("weekly", WEEKLY, WEEKLY_COLUMNS), ("monthly", MONTHLY, MONTHLY_COLUMNS))
+    for period, formulas, columns in parts:
+        every = F.count("*").over(Window.partitionBy("symbol"))
+        coarse = engine.compute(resample(bars, period).withColumn("_n", every), formulas, list(columns))
+        known = [F.when(F.col("_n") > FEW_PERIODS, F.col(c)).otherwise(0.0).alias(c) for c in columns]
+        both = both.unionByName(coarse.select("symbol", "dt", F.lit(0).alias("_side"), F.struct("_n", *known).alias(period)), allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("dt", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("symbol")
+    carried = both.select(*bars.columns, "_side", *[F.last(p, ignorenulls=True).over(w).alias(p) for p, _, _ in parts], *[F.max(F.col(f"{p}._n")).over(whole).alias(f"_{p}") for p, _, _ in parts]).filter("_side = 1")
+    # before a series' first period its columns are unknown, unless the series has too few periods at all
+    made = [F.when(F.col(f"_{p}") > FEW_PERIODS, F.col(f"{p}.{c}")).otherwise(0.0).alias(c) for p, _, columns in parts for c in columns]
+    return carried.select(*bars.columns, *made)
 
 
 def with_coarse_sql(bars: str, bar_columns: list[str]) -> str:

@@ -15,8 +15,8 @@ from tidemark.plans.formula import Column, Compiler
 def compute(bars: DataFrame, formulas: dict[str, str], names: list[str], key: str = "symbol", order: str = "dt") -> DataFrame:
     """``bars`` (one row for each key and time) with the named formulas. Only what they need is computed.
 
-    All windows share one partitioning and one order, so rows are exchanged once; each recursive level is one grouped kernel over
-    the few columns that recursions need, before all other windows.
+    Rows are exchanged by ``key`` once, unless they lie so already; all windows and kernels share that partitioning and one order. Each level of
+    recursions or whole-series ranks is one grouped kernel; those of recursions come before all other windows, over the few columns that they need.
     """
     compiler = Compiler(formulas, {*bars.columns, "rn"}, key, order)
     levels = compiler.levels(names)
@@ -58,6 +58,8 @@ def _kernel(df: DataFrame, columns: list[Column], key: str, order: str) -> DataF
             args = [col(i) for i in inputs]
             if kind == "ema":
                 made = kernels.ema(args[0], numbers[0])
+            elif kind == "rankpct":
+                made = kernels.rankpct(args[0])
             elif kind == "kama":
                 made = kernels.kama(*args)
             else:

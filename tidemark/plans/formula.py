@@ -3,11 +3,11 @@
 A formula is text such as ``(Close - mean(Close, 20)) / (std(Close, 20) + EPS)``. Names are columns or other formulas. Calls of frame functions
 (rolling aggregates, lags, run lengths, ranks) become columns of their own, shared by all formulas that need them; macros are
 rewritten into simpler calls. Every column has a level, one above the highest it reads, so that a level is one SELECT over the one below. The
-text of a column is written for one of two dialects, Spark SQL or DuckDB SQL; recursions (``ema``, ``kama``, ``supertrend``) have no
-Spark text and are run by a grouped kernel there.
+text of a column is written for one of two dialects, Spark SQL or DuckDB SQL; recursions (``ema``, ``kama``, ``supertrend``) and whole-series
+ranks have no Spark text and are run by a grouped kernel there.
 
 NULL is the only missing value. A rolling aggregate over w rows is NULL unless all w values are there; a condition that can't
-be decided is false; a denominator of zero gives NULL.
+be decided is false. A bare division by zero gives NULL; ``safe`` divides by a denominator that EPS is added to, so it gives NULL only where that sum is zero.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ MACROS: dict[str, tuple[list[str], str]] = {
     "unit": (["x", "most"], "clip(x, 0, most) / most"),
 }
 
-#: Frame functions that recurse over a whole series.
-RECURSIVE = ("ema", "kama", "supertrend_line", "supertrend_side")
+#: Frame functions that recurse over a whole series, or rank it: each would be a sort of its own in SQL.
+RECURSIVE = ("ema", "kama", "supertrend_line", "supertrend_side", "rankpct")
 
 
 @dataclass
@@ -242,7 +242,7 @@ class Compiler:
                     ancestors(r)
 
         for c in list(wanted.values()):
-            if c.kernel:
+            if c.kernel and c.kernel[0] != "rankpct":
                 ancestors(c.name)
         out: list[list[Column]] = []
         done = {n for n in self.base}
