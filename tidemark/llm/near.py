@@ -4,9 +4,13 @@ Candidates come from the shingles themselves: a text's 512-bin one-permutation M
 cell. A bin agrees with a chance of the similarity, wherever the texts differ (words here and there, a passage added or cut off), so two texts
 alike by 0.8 share no cell in 8 cases of a million, and by more in fewer; texts alike by 0.3 share one in 4 cases of a thousand, others by chance only (2**-64 a cell).
 
-No pair of a cell is left out. First all of a cell are held against its least and its greatest text, and components are taken of those that are alike.
-Then, in each cell that still has several components, every pair from different ones is held against each other; pairs within a component can't change it.
-A pair whose fingerprints' bias-corrected likeness reaches ``SKETCH`` (standard error 0.018, so over five of them below) is decided by the exact Jaccard
+First each text of a cell is held against the one of its texts that meets most others in all its cells (the centre of a group of near copies, if there is one),
+and components are taken of those that are alike. That is one pair for each place in a cell, however crowded it is. Then all texts of cells that still
+have several components are joined by an exact prefix filter: of two sets alike by 0.8, in any one order of all shingles, the first shingle that they share stands within
+the first fifth of the larger set (and ninth of the smaller), with enough left after it in both. The order is by rarity among these texts, so
+that what stands first is mostly a text's own, and few pairs of different components are candidates; none that is alike is lost.
+
+A candidate whose fingerprints' bias-corrected likeness reaches ``SKETCH`` (standard error 0.018, so over five of them below) is decided by the exact Jaccard
 similarity of the two texts' shingles (64-bit hashes), 0.8 or more. Links of 64-bit SimHashes within three bits (``simhash.links``, the popcount grids), which
 find texts that differ in a word or two of hundreds, are added, then components are taken.
 
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes, slices, temporary, text_buffer, word_spans
@@ -120,18 +124,35 @@ def _held(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def _alike_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all alike pairs that share a cell."""
     placed = nodes.filter("has_words").select("node", F.explode("cells").alias("cell"))
-    heads = materialise(placed.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "heads")
-    shared = materialise(placed.join(heads, "cell"), "shared")
-    stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("head")).filter("node <> head")
-    first = _held(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), nodes, texts)
-    # of the cells with several components, all pairs between these
-    named = shared.select("cell", "node").join(components(first), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+    crowded = materialise(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    shared = materialise(placed.join(crowded, "cell"), "shared")
+    meets = materialise(shared.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+    heads = materialise(shared.join(meets, "node").groupBy("cell").agg(F.max(F.struct("meets", "node"))["node"].alias("head")), "heads")
+    stars = shared.join(heads, "cell").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    first = _held(stars, nodes, texts)
+    named = shared.select("cell", "node").join(materialise(components(first), "components"), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "named")
-    mixed = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cell")
-    mixed = materialise(named.join(mixed, "cell"), "mixed")
-    left, right = (mixed.select("cell", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    across = left.join(right, "cell").filter("a < b and ca <> cb").select("a", "b").distinct()
-    return first.unionByName(_held(across, nodes, texts))
+    several = materialise(named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cell"), "several")
+    open_nodes = materialise(named.join(several, "cell").select("node", "component").distinct(), "open")
+    return first.unionByName(_held(_prefix_pairs(open_nodes, texts), nodes, texts))
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of ``nodes`` (node, component), all pairs (a, b) of different components that can be alike by 0.8, and few others."""
+    sets = materialise(_shingles(texts.select("node", "text").join(nodes, "node", "left_semi")), "sets")
+    rows = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = materialise(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    both = rows.join(often, "shingle")
+    # a set's own shingles stand first, then the others by rarity
+    order, whole = Window.partitionBy("node").orderBy("n", "shingle"), Window.partitionBy("node")
+    both = both.withColumn("place", F.col("size") - F.count("*").over(whole) + F.row_number().over(order) - 1)
+    early = materialise(both.filter("5 * place <= size").select("node", "shingle", "size", "place").join(nodes, "node"), "early")
+    large, small = (early.toDF(f"n{x}", "shingle", f"s{x}", f"p{x}", f"c{x}") for x in "ab")
+    small = small.filter("9 * pb <= sb")
+    met = (F.col("ca") != F.col("cb")) & ((F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("na") > F.col("nb")))) & (5 * F.col("sb") >= 4 * F.col("sa"))
+    # what is left from the shared shingle on can make 0.8 of the union
+    met = met & (9 * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= 4 * (F.col("sa") + F.col("sb")))
+    return large.join(small, (large["shingle"] == small["shingle"]) & met).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
 def groups(texts: DataFrame) -> DataFrame:
