@@ -30,7 +30,7 @@ from tidemark.llm.common import ByteHasher, materialise, mix64, shingle_hashes,
 
 BINS, BITS, SHINGLE = 256, 8, 5
 #: Bytes of text in a range of ids.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 32 << 20
 
 
 class Fingerprinter:
