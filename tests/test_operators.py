@@ -185,3 +185,59 @@ def test_quotes_source(spark):
     spark.dataSource.register(Quotes)
     read = spark.read.format("quotes").option("symbols", "a, bb,BAD,a").option("start", "2024-01-02").option("fetch", "tests.test_operators:fetch").load()
     assert sorted((r["symbol"], r["Volume"]) for r in read.collect()) == [("A", 1.0), ("BB", 2.0)]
+
+
+def test_fits_by_group_and_their_stages(spark):
+    import numpy as np
+
+    from tidemark.operators import training
+
+    rng = np.random.default_rng(3)
+    days = [datetime.date(2000, 1, 1) + datetime.timedelta(days=i) for i in range(400)]
+    rows = [(s, d, 100.0, float(x), float(z)) for s in "ABC" for d, x, z in zip(days, rng.normal(0, 0.02, 400), rng.normal(0, 1, 400), strict=True)]
+    bars = spark.createDataFrame(rows, "symbol string, dt date, Close double, LogRet double, z double")
+    made = training.with_targets(bars)
+    members = spark.createDataFrame([("A", "b1", "IT", "LOW"), ("B", "b1", "IT", "LOW"), ("C", "b2", "AUTO", "HIGH")], "symbol string, bucket string, sector string, volatility_class string")
+    registry = training.train(made, members, ["LogRet", "z"], "2000-12-31", penalty=5.0)
+    got = {(r["symbol"], r["bucket"], r["stage"]): r for r in registry.collect()}
+    assert set(got) == {(None, b, "yearly") for b in ("b1", "b2")} | {(s, b, t) for s, b in (("A", "b1"), ("B", "b1"), ("C", "b2")) for t in ("monthly", "weekly", "daily")}
+    frame = made.toPandas().dropna()
+    frame["dt"] = frame["dt"].astype(str)
+
+    def plain(part, prior):
+        x = np.column_stack([np.ones(len(part)), part["LogRet"], part["z"]])
+        return np.linalg.solve(x.T @ x + 5 * np.eye(3), x.T @ part["ret"].to_numpy() + 5 * prior)
+
+    upto = frame[frame["dt"] <= "2000-12-31"]
+    base = plain(upto[upto["symbol"].isin(["A", "B"])], np.zeros(3))
+    assert np.allclose(got[None, "b1", "yearly"]["ret"], base)
+    for stage, first in (("monthly", "2000-01-01"), ("weekly", "2000-07-04"), ("daily", "2000-10-02")):
+        base = plain(upto[(upto["symbol"] == "A") & (upto["dt"] >= first)], base)
+        assert np.allclose(got["A", "b1", stage]["ret"], base), stage
+    table = training.predict_only(bars, members, registry, ["LogRet", "z"], "2000-12-31").collect()
+    assert {r["symbol"]: (r["model_stage_used"], str(r["cutoff_date"])) for r in table} == {s: ("daily", "2000-12-31") for s in "ABC"}
+    assert all(0 <= r["dir_prob"] <= 1 and -1 <= r["intensity"] <= 1 for r in table) and len(table[0]) == 17
+
+
+def test_listings_and_polling(spark, tmp_path):
+    from tidemark.sources.listings import Listings
+
+    spark.dataSource.register(Listings)
+    read = lambda **o: sorted(map(tuple, spark.read.format("listings").options(**o).load().collect()), key=str)
+    assert read(fetch="tests.test_operators:listed", fallback="x.bo, y.ns") == [("AB", "AB.NS", "NSE", "Ab Ltd"), ("X", "X.BO", "BSE", None)]
+    assert read(fetch="tests.test_operators:nothing", exchanges="nse") == []
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "symbol string, dt date, Close double"
+    spark.createDataFrame([("A", datetime.date(2020, 1, 1), 1.0)], schema).write.parquet(source)
+    query = incremental.ingest(spark, source, schema, target, f"{tmp_path}/state", every="1 second")
+    query.processAllAvailable()
+    spark.createDataFrame([("A", datetime.date(2020, 1, 1), 2.0), ("A", datetime.date(2020, 2, 1), 3.0)], schema).write.mode("append").parquet(source)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["Close"] for r in incremental.current(spark, target, schema).collect()) == [2.0, 3.0]
+
+
+def listed(exchange):
+    if exchange == "BSE":
+        raise OSError("not there")
+    return [(" ab.ns", "Ab Ltd"), ("AB", "again")]

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
-from tidemark.operators import backtest, clean, features as feat, joins, mapping, models, resample, signals, splits
-from tidemark.sources import fixtures as fx
+from tidemark.operators import backtest, clean, features as feat, joins, mapping, models, resample, signals, splits, training
+from tidemark.sources import fixtures as fx, readers, sinks
+from tidemark.sources.scratch import scratch_path
+from tidemark.streaming import incremental
 from tidemark.streaming.incremental import bars_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,10 +120,12 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- cleaning ------------------------------------------------------------------------------------------------------------------
 
 
-@add("clean_numeric", "SELECT o_orderkey, CAST(o_orderkey * 1000 AS DOUBLE) AS pct, CAST(NULL AS DOUBLE) AS bad FROM orders")
+@add("clean_numeric", "SELECT o_orderkey, round(o_totalprice, 2) + 0e0 AS price, round(o_totalprice / 1e3, 1) + 0e0 AS pct, CAST(NULL AS DOUBLE) AS bad FROM orders")
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(",000%")).alias("pct"), F.col("o_orderpriority").alias("bad"))
-    return clean.clean_numbers(rows, ["pct", "bad"])
+    """Prices as text with thousands separators, shares with a sign of percent, and text that is no number."""
+    price = F.format_number(F.round("o_totalprice", 2), 2)
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), F.concat(F.round(F.col("o_totalprice") / 1e3, 1).cast("string"), F.lit("%")).alias("pct"), F.col("o_orderpriority").alias("bad"))
+    return _tidy(clean.clean_numbers(rows, ["price", "pct", "bad"]))
 
 
 @add("fill_both_ways", f"""{BARS}, gappy AS (SELECT symbol, dt, CASE WHEN Volume > 1e0 THEN Close END AS x FROM bars)
@@ -198,12 +202,12 @@ def _integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(out.select("symbol", "dt", "NIFTY50", "SENSEX", "sector_index_value", "log_NIFTY50", "log_sector_index_value", "close_pct_change"))
 
 
-@add("index_outer_fold", f"""{BARS} SELECT CAST(coalesce(a.dt, h.dt, m.dt) AS VARCHAR) AS dt, {', '.join(f'round({x}.Close, 4) + 0e0 AS {n}' for x, n in (('a', 'AUTOMOBILE'), ('h', 'HOUSEHOLD'), ('m', 'MACHINERY')))}
-    FROM (SELECT * FROM bars WHERE symbol = 'AUTOMOBILE') a FULL JOIN (SELECT * FROM bars WHERE symbol = 'HOUSEHOLD') h ON a.dt = h.dt FULL JOIN (SELECT * FROM bars WHERE symbol = 'MACHINERY') m ON coalesce(a.dt, h.dt) = m.dt""")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@add("index_outer_fold", f"{BARS} SELECT CAST(dt AS VARCHAR) AS dt, {', '.join(f'round(max(CASE WHEN symbol = {chr(39)}{n}{chr(39)} THEN Close END), 4) + 0e0 AS {n}' for n in _SEGMENTS)} FROM bars GROUP BY dt")
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["AUTOMOBILE", "HOUSEHOLD", "MACHINERY"]
-    series = _daily(spark, sf_dir).filter(F.col("symbol").isin(names)).select("dt", F.col("symbol").alias("name"), F.col("Close").alias("close"))
-    return _tidy(joins.fold(series, names))
+    return _tidy(joins.fold(_daily(spark, sf_dir).select("dt", F.col("symbol").alias("name"), F.col("Close").alias("close")), list(_SEGMENTS)))
 
 
 @add("pending_and_finished", """SELECT c_custkey AS symbol, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'finished' ELSE 'pending' END AS state FROM customer""")
@@ -312,10 +316,11 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("verdicts", """WITH m AS (SELECT event_type AS symbol, avg(value / 500) AS d, avg(abs(value / 500 - 5e-1)) AS i, avg(CASE WHEN event_type < 'm' THEN value / 100 ELSE -value / 300 END) AS c FROM events GROUP BY event_type)
     SELECT symbol, CASE WHEN d > 65e-2 AND c > 1 THEN 'BULLISH' WHEN d < 35e-2 AND c < -1 THEN 'BEARISH' WHEN d > 55e-2 AND c > 3e-1 THEN 'BULLISH' WHEN d < 45e-2 AND c < -3e-1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS verdict,
-    round(CASE WHEN (d > 65e-2 AND c > 1) OR (d < 35e-2 AND c < -1) THEN least(95e0, 60 + i * 30) WHEN (d > 55e-2 AND c > 3e-1) OR (d < 45e-2 AND c < -3e-1) THEN least(75e0, 50 + i * 20) ELSE 40 + 20 * least(1e0, i) END, 4) + 0e0 AS confidence FROM m""")
+    round(CASE WHEN (d > 65e-2 AND c > 1) OR (d < 35e-2 AND c < -1) THEN least(95e0, 60 + i * 30) WHEN (d > 55e-2 AND c > 3e-1) OR (d < 45e-2 AND c < -3e-1) THEN least(75e0, 50 + i * 20) ELSE 40 + 20 * least(1e0, i) END, 4) + 0e0 AS confidence,
+    CASE WHEN d > 65e-2 AND c > 1 THEN 'Strong upward momentum with high conviction' WHEN d < 35e-2 AND c < -1 THEN 'Strong downward pressure with high conviction' WHEN d > 55e-2 AND c > 3e-1 THEN 'Moderate upward trend with positive signals' WHEN d < 45e-2 AND c < -3e-1 THEN 'Moderate downward trend with negative signals' ELSE 'Mixed signals with no clear directional bias' END AS reason FROM m""")
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), (F.col("value") / 500).alias("dir_prob"), (F.col("value") / 500 - 0.5).alias("intensity"), F.when(F.col("event_type") < "m", F.col("value") / 100).otherwise(-F.col("value") / 300).alias("change"))
-    return _tidy(signals.verdict(rows).select("symbol", "verdict", "confidence"))
+    return _tidy(signals.verdict(rows).select("symbol", "verdict", "confidence", "reason"))
 
 
 @add("ensemble_signals", """WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal / 1e6 AS a, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2e6 - 1e-3 END AS b, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 3e6 + 1e-3 END AS c, (c_custkey % 101) / 1e2 AS p, (c_custkey % 7) / 7e0 AS i FROM customer),
@@ -373,10 +378,11 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("portfolio_metrics", f"""{CURVE}, dd AS (SELECT *, equity / max(equity) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM curve), o AS (SELECT min(dt) AS a, max(dt) AS b, min_by(equity, dt) AS x, max_by(equity, dt) AS y, avg(ret) AS m, stddev_samp(ret) AS s, sqrt(avg(power(least(ret, 0), 2))) AS down, min(dd) AS mdd, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS w, avg(exposure) AS e, avg(positions) AS p FROM dd)
-    SELECT CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date, round(ln(y / x), 4) + 0e0 AS log_growth, round(m * sqrt(252e0) / s, 4) + 0e0 AS Sharpe, round(m * sqrt(252e0) / down, 4) + 0e0 AS Sortino, round(mdd, 4) + 0e0 AS MaxDD, round(w, 4) + 0e0 AS Daily_Win_Rate, round(s * sqrt(252e0), 4) + 0e0 AS Ann_Vol, round(e, 4) + 0e0 AS avg_exposure, round(p, 4) + 0e0 AS avg_positions FROM o""")
+    SELECT CAST(a AS VARCHAR) AS start_date, CAST(b AS VARCHAR) AS end_date, round(ln(y / x), 4) + 0e0 AS log_growth, round(m * sqrt(252e0) / s, 4) + 0e0 AS Sharpe, round(m * sqrt(252e0) / down, 4) + 0e0 AS Sortino, round(mdd, 4) + 0e0 AS MaxDD, round(w, 4) + 0e0 AS Daily_Win_Rate, round(s * sqrt(252e0), 4) + 0e0 AS Ann_Vol, round(e, 4) + 0e0 AS avg_exposure, round(p, 4) + 0e0 AS avg_positions,
+    round(ln(power(y / x, 36525e-2 / greatest(date_diff('day', a, b), 1))), 4) + 0e0 AS log_CAGR, round(ln(abs((power(y / x, 36525e-2 / date_diff('day', a, b)) - 1) / mdd)), 4) + 0e0 AS log_Calmar FROM o""")
 def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = backtest.metrics(_curve(spark, sf_dir)).withColumn("log_growth", F.ln(F.col("end_value") / F.col("start_value")))
-    return _tidy(m.select("start_date", "end_date", "log_growth", "Sharpe", "Sortino", "MaxDD", "Daily_Win_Rate", "Ann_Vol", "avg_exposure", "avg_positions"))
+    m = backtest.metrics(_curve(spark, sf_dir)).withColumns({"log_growth": F.ln(F.col("end_value") / F.col("start_value")), "log_CAGR": F.log1p("CAGR"), "log_Calmar": F.ln(F.abs("Calmar"))})
+    return _tidy(m.select("start_date", "end_date", "log_growth", "Sharpe", "Sortino", "MaxDD", "Daily_Win_Rate", "Ann_Vol", "avg_exposure", "avg_positions", "log_CAGR", "log_Calmar"))
 
 
 @add("regime_performance", f"""{CURVE} SELECT CASE WHEN vol IS NULL THEN 'trend' WHEN trend IS NULL THEN 'vol' ELSE 'trend_vol' END AS regime_type, concat_ws('_', trend, vol) AS regime, count(*) AS observations, round(avg(ret), 4) + 0e0 AS mean_daily_ret, round(avg(ret) * sqrt(252e0) / nullif(stddev_samp(ret), 0), 4) + 0e0 AS sharpe, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END), 4) + 0e0 AS hit_rate, round(avg(exposure), 4) + 0e0 AS avg_exposure FROM curve GROUP BY GROUPING SETS ((trend), (vol), (trend, vol))""")
@@ -439,8 +445,8 @@ add("parse_dates", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt FRO
 add("cutoff_filter", f"{BARS} SELECT symbol, count(*) AS n, CAST(max(dt) AS VARCHAR) AS last FROM bars WHERE dt <= DATE '1998-03-31' GROUP BY symbol")(
     lambda s, d: clean.until(_daily(s, d), "1998-03-31").groupBy("symbol").agg(F.count("*").alias("n"), F.max("dt").cast("string").alias("last"))
 )
-add("log_and_bounds", "SELECT c_custkey, round(ln(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 4) + 0e0 AS log, round(least(greatest(c_acctbal * 1e3, -1e6), 1e6), 4) + 0e0 AS bounded, round(c_acctbal / (c_nationkey + 1e-9), 2) + 0e0 AS safe FROM customer WHERE c_nationkey > 0")(
-    lambda s, d: fx.table(s, d, "customer").filter("c_nationkey > 0").select("c_custkey", (F.round(clean.safe_log(F.col("c_acctbal")), 4) + 0.0).alias("log"), (F.round(clean.bounded(F.col("c_acctbal") * 1e3), 4) + 0.0).alias("bounded"), (F.round(F.try_divide("c_acctbal", F.col("c_nationkey") + 1e-9), 2) + 0.0).alias("safe"))
+add("log_and_bounds", "SELECT c_custkey, round(ln(CASE WHEN c_acctbal > 0 THEN c_acctbal END), 4) + 0e0 AS log, round(least(greatest(c_acctbal * 1e3, -1e6), 1e6), 4) + 0e0 AS bounded, round(c_acctbal / (c_nationkey + 1e-9) * CASE WHEN c_nationkey = 0 THEN 1e-9 ELSE 1e0 END, 2) + 0e0 AS safe FROM customer")(
+    lambda s, d: fx.table(s, d, "customer").select("c_custkey", (F.round(clean.safe_log(F.col("c_acctbal")), 4) + 0.0).alias("log"), (F.round(clean.bounded(F.col("c_acctbal") * 1e3), 4) + 0.0).alias("bounded"), (F.round(F.try_divide("c_acctbal", F.col("c_nationkey") + 1e-9) * F.when(F.col("c_nationkey") == 0, 1e-9).otherwise(1.0), 2) + 0.0).alias("safe"))
 )
 add("intensity_labels", f"{BARS}, r AS (SELECT symbol, dt, LogRet, avg(LogRet) OVER (PARTITION BY symbol) AS m, stddev_pop(LogRet) OVER (PARTITION BY symbol) AS s FROM ({_RET})) SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(tanh((LogRet - m) / (8e-1 * s)), 4) + 0e0 AS intensity FROM r")(
     lambda s, d: _tidy(_returns(s, d).select("symbol", "dt", splits.intensity(F.col("LogRet"), F.avg("LogRet").over(Window.partitionBy("symbol")), F.stddev_pop("LogRet").over(Window.partitionBy("symbol"))).alias("intensity")))
@@ -454,9 +460,152 @@ add("feature_union", "WITH m AS (SELECT c_nationkey AS bucket, c_name AS symbol,
 
 
 @add("prediction_table", f"""{BARS}, l AS (SELECT symbol, max(dt) AS dt, max_by(Close, dt) AS c, avg(LogRet) AS r, CAST(min(dt) AS VARCHAR) AS a, CAST(max(dt) AS VARCHAR) AS b, count(*) AS n FROM ({_RET}) GROUP BY symbol), e AS (SELECT *, exp(least(greatest(r, -2e-1), 2e-1)) AS g FROM l)
-    SELECT CAST(dt + CASE isodow(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS VARCHAR) AS prediction_date, CAST(dt AS VARCHAR) AS cutoff_date, symbol, round(c, 4) + 0e0 AS last_close, round(c * g, 4) + 0e0 AS predicted_price, round(g - 1, 4) + 0e0 AS predicted_return, CASE WHEN r > 0 THEN 'UP' ELSE 'DOWN' END AS predicted_direction, 'yearly' AS model_stage_used, a AS data_window_start, b AS data_window_end, n AS rows_used FROM e""")
+    SELECT CAST(dt + CASE isodow(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS VARCHAR) AS prediction_date, CAST(dt AS VARCHAR) AS cutoff_date, symbol, round(c, 4) + 0e0 AS last_close, round(c * g, 4) + 0e0 AS predicted_price, round(g - 1, 4) + 0e0 AS predicted_return, CASE WHEN r > 0 THEN 'UP' ELSE 'DOWN' END AS predicted_direction, 'GENERIC' AS sector, 'HIGH' AS volatility_class, 'BUCKET_78' AS bucket_name, round(CASE WHEN r > 0 THEN 6e-1 ELSE 4e-1 END, 4) AS dir_prob, round(tanh(r), 4) + 0e0 AS intensity, 'yearly' AS model_stage_used, 'yearly/' || symbol AS parent_checkpoint_path, a AS data_window_start, b AS data_window_end, n AS rows_used FROM e""")
 def _prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _returns(spark, sf_dir).groupBy("symbol").agg(F.max("dt").alias("dt"), F.max_by("Close", "dt").alias("last_close"), F.avg("LogRet").alias("predicted_log_return"), F.min("dt").cast("string").alias("window_start"), F.max("dt").cast("string").alias("window_end"), F.count("*").alias("rows_used"))
-    scored = last.withColumns({"sector": F.lit("GENERIC"), "volatility_class": F.lit("HIGH"), "bucket_name": F.lit("BUCKET_78"), "dir_prob": F.when(F.col("predicted_log_return") > 0, 0.6).otherwise(0.4), "intensity": F.lit(0.0), "stage": F.lit("yearly"), "path": F.lit("p")})
-    table = _tidy(signals.prediction_table(scored))
-    return table.drop("sector", "volatility_class", "bucket_name", "dir_prob", "intensity", "parent_checkpoint_path")
+    scored = last.withColumns({"sector": F.lit("GENERIC"), "volatility_class": F.lit("HIGH"), "bucket_name": F.lit("BUCKET_78"), "dir_prob": F.when(F.col("predicted_log_return") > 0, 0.6).otherwise(0.4), "intensity": F.tanh("predicted_log_return"), "stage": F.lit("yearly"), "path": F.concat(F.lit("yearly/"), F.col("symbol"))})
+    return _tidy(signals.prediction_table(scored))
+
+
+# -- training and prediction -----------------------------------------------------------------------------------------------------
+
+_CUTOFF, _PENALTY = "1998-06-30", 20.0
+_MEMBERS = f"""members AS (SELECT symbol, annual_vol, {mapping.level_of_sql('annual_vol')} AS volatility_class, {mapping.sector_of_sql('symbol', "''")} AS sector,
+    {mapping.bucket_number_sql(f"({mapping.level_of_sql('annual_vol')})", f"({mapping.sector_of_sql('symbol', chr(39) * 2)})")} AS bucket FROM {_VOL_SQL}),
+    x AS (SELECT r.symbol, m.bucket, r.dt, r.LogRet AS x, lead(r.LogRet) OVER (PARTITION BY r.symbol ORDER BY r.dt) AS nx FROM ({_RET}) r JOIN members m ON r.symbol = m.symbol),
+    t AS (SELECT symbol, bucket, dt, x, nx AS ret, {training.TARGETS['dir'].format(next='nx')} AS dir, {training.TARGETS['int'].format(next='nx')} AS int FROM x WHERE x IS NOT NULL AND nx IS NOT NULL)"""
+
+
+def _solved(target: str) -> tuple[str, str]:
+    """The two coefficients of a fit with one feature, from its sums and its prior."""
+    a, b = f"(s{target} + {_PENALTY} * p{target}0)", f"(sx{target} + {_PENALTY} * p{target}1)"
+    det = f"((n + {_PENALTY}) * (sxx + {_PENALTY}) - sx * sx)"
+    return f"((sxx + {_PENALTY}) * {a} - sx * {b}) / {det} AS {target}0", f"((n + {_PENALTY}) * {b} - sx * {a}) / {det} AS {target}1"
+
+
+def _stage_fits() -> str:
+    """CTEs of the four stages: y, m, w and d, and reg of all."""
+    sums = "count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, " + ", ".join(f"sum({t}) AS s{t}, sum(x * {t}) AS sx{t}" for t in training.TARGETS)
+    fits = ", ".join(x for t in training.TARGETS for x in _solved(t))
+    zero = ", ".join(f"0e0 AS p{t}{k}" for t in training.TARGETS for k in (0, 1))
+    out = [_MEMBERS, f"y AS (SELECT CAST(NULL AS VARCHAR) AS symbol, bucket, n, {fits} FROM (SELECT bucket, {sums}, {zero} FROM t WHERE dt <= DATE '{_CUTOFF}' GROUP BY bucket))"]
+    parents, regs = ["y"], [("y", "yearly")]
+    for name, stage in (("m", "monthly"), ("w", "weekly"), ("d", "daily")):
+        prior = ", ".join(f"coalesce({', '.join(f'{p}.{t}{k}' for p in reversed(parents))}) AS p{t}{k}" for t in training.TARGETS for k in (0, 1))
+        joined = " ".join(f"LEFT JOIN {p} ON {f'{p}.bucket = g.bucket' if p == 'y' else f'{p}.symbol = g.symbol'}" for p in parents)
+        own = ", ".join(["g.symbol", "g.bucket", "g.n", "g.sx", "g.sxx", *[f"g.s{t}, g.sx{t}" for t in training.TARGETS]])
+        out.append(f"{name} AS (SELECT symbol, bucket, n, {fits} FROM (SELECT {own}, {prior} FROM (SELECT symbol, bucket, {sums} FROM t WHERE dt <= DATE '{_CUTOFF}' AND dt >= DATE '{_CUTOFF}' - {clean.STAGE_DAYS[stage]} GROUP BY symbol, bucket) g {joined}))")
+        parents.append(name)
+        regs.append((name, stage))
+    out.append("reg AS (" + " UNION ALL ".join(f"SELECT symbol, bucket, '{stage}' AS stage, n, {', '.join(f'{t}{k}' for t in training.TARGETS for k in (0, 1))} FROM {name}" for name, stage in regs) + ")")
+    return ", ".join(out)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mapping.annual_volatility(_daily(spark, sf_dir)).withColumn("volatility_class", mapping.level_of(F.col("annual_vol"))).withColumn("sector", mapping.sector_of(F.col("symbol"), F.lit("")))
+    return rows.withColumn("bucket", mapping.bucket_number(F.col("volatility_class"), F.col("sector")))
+
+
+@add("stage_fits", f"{BARS}, {_stage_fits()} SELECT symbol, bucket, stage, n AS rows_used, {', '.join(f'round({t}{k}, 4) + 0e0 AS {t}{k}' for t in training.TARGETS for k in (0, 1))} FROM reg")
+def _stage_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = training.train(training.with_targets(_returns(spark, sf_dir)), _members(spark, sf_dir), ["LogRet"], _CUTOFF, _PENALTY)
+    return registry.select("symbol", "bucket", "stage", "rows_used", *[(F.round(F.col(t)[k], 4) + 0.0).alias(f"{t}{k}") for t in training.TARGETS for k in (0, 1)])
+
+
+_BEST = ", ".join(f"coalesce({', '.join(f'{p}.{t}{k}' for p in 'dwmy')}) AS {t}{k}" for t in training.TARGETS for k in (0, 1))
+
+
+@add("predict_only", f"""{BARS}, {_stage_fits()}, l AS (SELECT symbol, max(dt) AS dt, max_by(Close, dt) AS c, max_by(LogRet, dt) AS x, CAST(min(dt) AS VARCHAR) AS a, CAST(max(dt) AS VARCHAR) AS b, count(*) AS n FROM ({_RET}) WHERE LogRet IS NOT NULL AND dt <= DATE '{_CUTOFF}' GROUP BY symbol),
+    k AS (SELECT l.*, v.sector, v.volatility_class, v.bucket, CASE WHEN d.symbol IS NOT NULL THEN 'daily' WHEN w.symbol IS NOT NULL THEN 'weekly' WHEN m.symbol IS NOT NULL THEN 'monthly' ELSE 'yearly' END AS stage, {_BEST}
+        FROM l JOIN members v ON l.symbol = v.symbol LEFT JOIN d ON d.symbol = l.symbol LEFT JOIN w ON w.symbol = l.symbol LEFT JOIN m ON m.symbol = l.symbol LEFT JOIN y ON y.bucket = v.bucket),
+    p AS (SELECT *, exp(least(greatest(ret0 + ret1 * x, -2e-1), 2e-1)) AS g, least(greatest(dir0 + dir1 * x, 0e0), 1e0) AS q, least(greatest(int0 + int1 * x, -1e0), 1e0) AS s FROM k)
+    SELECT CAST(dt + CASE isodow(dt) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS VARCHAR) AS prediction_date, CAST(dt AS VARCHAR) AS cutoff_date, symbol, sector, volatility_class, bucket AS bucket_name, round(c, 4) + 0e0 AS last_close, round(c * g, 2) + 0e0 AS predicted_price, round(g - 1, 4) + 0e0 AS predicted_return,
+    CASE WHEN q > 55e-2 THEN 'UP' WHEN q < 45e-2 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted_direction, round(q, 4) + 0e0 AS dir_prob, round(s, 4) + 0e0 AS intensity, stage AS model_stage_used, stage || '/' || CASE WHEN stage = 'yearly' THEN bucket ELSE symbol END || '/{_CUTOFF}' AS parent_checkpoint_path, a AS data_window_start, b AS data_window_end, n AS rows_used FROM p""")
+def _predict_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, members = _returns(spark, sf_dir), _members(spark, sf_dir)
+    registry = training.train(training.with_targets(rows), members, ["LogRet"], _CUTOFF, _PENALTY)
+    table = training.predict_only(rows, members.drop("annual_vol"), registry, ["LogRet"], _CUTOFF)
+    return _tidy(table.withColumn("predicted_price", F.round("predicted_price", 2)))
+
+
+@add("model_trees")
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for the return beside a logistic direction, over all held-out rows."""
+    names = ["RSI14", "MomentumZ", "VolZ"]
+    rows = splits.holdout(splits.tabular(feat.features(_indexed(spark, sf_dir), [*names, "LogRet"]), names), "finetune")
+    scored = models.score(models.fit_baseline(rows.filter("part = 'train'"), names, trees=True), rows.filter("part = 'val'"))
+    return scored.select("symbol", F.col("dt").cast("string").alias("dt"), "predicted_log_return", "dir_prob")
+
+
+# -- sources and sinks: written to the shared folder and read back --------------------------------------------------------------------
+
+_BARS_BACK = f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_doubles(_BAR)} FROM bars"
+
+
+@add("csv_round_trip", _BARS_BACK)
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of CSV files with a vendor's column names."""
+    path = scratch_path(spark, "csv")
+    bars = _daily(spark, sf_dir).select(F.col("symbol").alias("Symbol"), F.col("dt").alias("DATE"), *[F.col(c).alias(f" {c.upper()}") for c in _BAR])
+    bars.write.option("header", True).csv(path)
+    back = readers.read_bars_csv(spark, path, key="Symbol")
+    return _tidy(back.select("symbol", "dt", *_BAR))
+
+
+@add("csv_of_a_symbol", _BARS_BACK + " WHERE symbol = 'MACHINERY'")
+def _symbol_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "symbols")
+    _daily(spark, sf_dir).filter("symbol = 'MACHINERY'").select(F.col("dt").alias("Date"), *_BAR).write.option("header", True).csv(f"{path}/MACHINERY.NS.csv")
+    return _tidy(readers.read_symbol_csv(spark, path, "MACHINERY").select("symbol", "dt", *_BAR))
+
+
+@add("parquet_round_trip", _BARS_BACK + " WHERE symbol IN ('BUILDING', 'MACHINERY')")
+def _parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By symbol; a second write replaces its own symbols only, and a read of two prunes the others."""
+    path, bars = scratch_path(spark, "bars"), _daily(spark, sf_dir)
+    sinks.write_bars(bars.withColumn("Close", F.when(F.col("symbol") == "BUILDING", 0.0).otherwise(F.col("Close"))), path)
+    sinks.write_bars(bars.filter("symbol = 'BUILDING'"), path)
+    return _tidy(readers.read_bars(spark, path, ["BUILDING", "MACHINERY"]).select("symbol", "dt", *_BAR))
+
+
+@add("reports_round_trip", f"WITH p AS ({_PRED}), r AS (SELECT *, row_number() OVER (PARTITION BY volatility_class ORDER BY predicted_return DESC, symbol) AS rank FROM p) SELECT symbol, volatility_class, CAST(rank AS INTEGER) AS rank, 'top' AS report, '2000-01-31' AS cutoff FROM r WHERE rank <= 20")
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "reports")
+    sinks.write_reports(signals.ranked(_predictions(spark, sf_dir)), path, "2000-01-31")
+    back = spark.read.option("header", True).csv(path).filter("report = 'top'")
+    return back.select("symbol", "volatility_class", F.col("rank").cast("int").alias("rank"), "report", F.col("cutoff").cast("string").alias("cutoff"))
+
+
+@add("sequences_round_trip", f"{BARS} SELECT symbol, i, round(list_sum(s), 2) + 0e0 AS total FROM (SELECT symbol, row_number() OVER w - 1 AS i, list(Volume) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS s FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)) WHERE i >= 90")
+def _sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "sequences")
+    sinks.write_sequences(splits.sequences(_daily(spark, sf_dir), ["Volume"], 90).select("symbol", "i", "seq"), path, "daily", "2000-01-31")
+    back = readers.read_sequences(spark, path, "daily", "2000-01-31", seed=3)
+    total = F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[0].cast("double"))
+    return back.select("symbol", F.col("i").cast("long").alias("i"), (F.round(total, 2) + 0.0).alias("total"))
+
+
+@add("state_round_trip", "SELECT 'weekly' AS stage, count(*) AS symbols, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS cutoff FROM orders")
+def _state_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "state")
+    sinks.write_state(fx.table(spark, sf_dir, "orders").agg(F.lit("weekly").alias("stage"), F.count("*").alias("symbols"), F.max(F.to_date("o_orderdate")).cast("string").alias("cutoff")), path)
+    return readers.read_state(spark, f"{path}/*.json", "stage string, symbols long, cutoff string")
+
+
+@add("incremental_upsert", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(CASE WHEN dt >= DATE '1998-01-01' THEN Close * 2 ELSE Close END, 4) + 0e0 AS Close FROM bars")
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals of files through the stream; the second corrects a part of the first."""
+    source, target, state = (scratch_path(spark, x) for x in ("arrivals", "target", "progress"))
+    bars, schema = _daily(spark, sf_dir).select("symbol", "dt", "Close"), "symbol string, dt date, Close double"
+    for part in (bars, bars.filter("dt >= '1998-01-01'").withColumn("Close", F.col("Close") * 2)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        incremental.ingest(spark, source, schema, target, state).awaitTermination()
+    return _tidy(incremental.current(spark, target, schema))
+
+
+add("index_history", f"{BARS} SELECT CAST(dt AS VARCHAR) AS dt, CASE symbol WHEN 'AUTOMOBILE' THEN 'NIFTY_AUTO' ELSE 'NIFTY50' END AS name, round(Close, 4) + 0e0 AS close FROM bars WHERE symbol IN ('AUTOMOBILE', 'BUILDING')")(
+    lambda s, d: _tidy(readers.index_history(_daily(s, d), {"Automobile": "NIFTY_AUTO", "Building": "NIFTY50"}))
+)
+add("symbol_universe", "WITH e AS (SELECT 'S' || CAST(o_custkey % 50 AS VARCHAR) || CASE o_orderkey % 3 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '.XX' END AS x FROM orders) SELECT DISTINCT split_part(x, '.', 1) AS SYMBOL, x AS SYMBOL_EXCHANGE, CASE WHEN x LIKE '%.NS' THEN 'NSE' ELSE 'BSE' END AS EXCHANGE FROM e WHERE x NOT LIKE '%.XX'")(
+    lambda s, d: readers.universe(fx.table(s, d, "orders").select(F.col("o_orderkey").alias("i"), F.concat(F.lit(" s"), F.col("o_custkey") % 50, F.element_at(F.array(F.lit(".ns"), F.lit(".bo"), F.lit(".xx")), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("entry"))).select("SYMBOL", "SYMBOL_EXCHANGE", "EXCHANGE")
+)

@@ -39,7 +39,11 @@ def last_dates(bars: DataFrame) -> DataFrame:
 
 def symbol_master(spark: SparkSession, entries: list[str]) -> DataFrame:
     """Listed symbols: trimmed, upper case, with a known exchange suffix, each once in its first place."""
-    rows = spark.createDataFrame([(i, e) for i, e in enumerate(entries)], "i int, entry string")
+    return universe(spark.createDataFrame([(i, e) for i, e in enumerate(entries)], "i int, entry string"))
+
+
+def universe(rows: DataFrame) -> DataFrame:
+    """The same from a table of places and entries (i, entry)."""
     full = F.upper(F.trim("entry"))
     known = rows.withColumn("SYMBOL_EXCHANGE", full).filter(full.endswith(".NS") | full.endswith(".BO"))
     first = known.groupBy("SYMBOL_EXCHANGE").agg(F.min("i").alias("i"))
@@ -54,3 +58,25 @@ def of_exchange(master: DataFrame, exchange: str) -> DataFrame:
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A small JSON state such as progress or a checkpoint's metadata."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_symbol_csv(spark: SparkSession, folder: str, symbol: str, names: tuple[str, ...] = ("{symbol}.csv", "{symbol}.NS.csv", "{symbol}.BO.csv")) -> DataFrame:
+    """The bars of one symbol from the first of its file names that is there."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.format(symbol=symbol)}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return read_bars_csv(spark, path.toString()).withColumn("symbol", F.lit(symbol))
+    raise FileNotFoundError(f"no file of {symbol} in {folder}")
+
+
+def index_history(quotes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Quotes of index symbols (symbol, dt, Close) as the long table of indices (dt, name, close), by their names; symbols without a name go."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in (pair[0].upper(), pair[1])])
+    return quotes.select("dt", F.try_element_at(table, F.upper("symbol")).alias("name"), F.col("Close").alias("close")).filter("name IS NOT NULL AND close IS NOT NULL")
+
+
+def read_sequences(spark: SparkSession, path: str, stage: str, cutoff: str, seed: int = 0) -> DataFrame:
+    """Cached training sequences of a stage and cutoff in an order that the seed decides: rows are dealt to tasks and sorted within them by a hash of the seed and their place."""
+    rows = spark.read.parquet(path).filter((F.col("stage") == stage) & (F.col("cutoff") == cutoff))
+    mixed = rows.withColumn("_order", F.xxhash64(F.lit(seed), "symbol", "i"))
+    return mixed.repartition("_order").sortWithinPartitions("_order").drop("_order")

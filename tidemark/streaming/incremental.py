@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.joins import upsert
+from tidemark.sources.scratch import delete
 
 
 def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -19,11 +20,11 @@ def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 min
     return bars.select(F.col("event_type").alias("symbol"), F.col("w.start").alias("dt"), "Open", "High", "Low", "Close", "Volume")
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "dt")) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "dt"), every: str | None = None) -> StreamingQuery:
     """Takes up all new files of ``source`` and upserts them into the Parquet table ``target``, partitioned by month; what was taken is kept in ``checkpoint``.
 
-    A batch reads and replaces the months that it has rows of, and no others. The merged months are written aside first, so that a table is never read while it is replaced; a batch that
-    is run again upserts the same rows and so gives the same table.
+    ``every`` (such as "60 seconds") polls until it is stopped; without it the query ends when nothing is new. A batch reads and replaces the months that it has rows of, and no others. The merged
+    months are written aside first; a batch that is run again after a failure takes these and doesn't merge with a table that may be half replaced. They are deleted at its end.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
@@ -32,18 +33,25 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         months = [r["month"] for r in batch.select("month").distinct().collect()]
         if not months:
             return
-        old = _table(spark, target, schema).filter(F.col("month").isin(months))
         aside = f"{target}.aside/batch={number}"
-        upsert(old, batch, list(keys)).write.mode("overwrite").parquet(aside)
+        if not _exists(spark, f"{aside}/_SUCCESS"):
+            old = _table(spark, target, schema).filter(F.col("month").isin(months))
+            upsert(old, batch, list(keys)).write.mode("overwrite").parquet(aside)
         merged = spark.read.parquet(aside)
         merged.repartition("month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(target)
+        delete(spark, aside)
 
-    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _table(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, target):
         return spark.createDataFrame([], f"{schema}, month string")
     return spark.read.schema(f"{schema}, month string").parquet(target)
 
