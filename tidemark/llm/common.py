@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.scratch import delete, scratch_path
+
 #: ASCII white space: the bytes 0x09 to 0x0D and 0x20.
 SPACE_BYTES = b"\x09\x0a\x0b\x0c\x0d\x20"
 _IS_SPACE = np.zeros(256, bool)
@@ -28,18 +27,6 @@ except (OSError, AttributeError):  # another C library
     _TRIM = None
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Only a session on one machine may do without; it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = getattr(scratch_dir, "own", None)
-        if not found:
-            found = scratch_dir.own = tempfile.mkdtemp(prefix="tidemark-")
-    return found.rstrip("/")
-
-
 #: Folders of tables written within each open ``temporary``.
 _OPEN: list[list[str]] = []
 
@@ -47,7 +34,7 @@ _OPEN: list[list[str]] = []
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor costs no more than a reread. ``keep``: it outlives the innermost ``temporary``."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     if len(_OPEN) > keep:
         _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
@@ -63,19 +50,14 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _delete(spark, _OPEN.pop())
+        for path in _OPEN.pop():
+            delete(spark, path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, [df.scratch_path])
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(df.sparkSession, df.scratch_path)
 
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
