@@ -193,7 +193,7 @@ def test_fits_by_group_and_their_stages(spark):
     from tidemark.operators import training
 
     rng = np.random.default_rng(3)
-    days = [datetime.date(2000, 1, 1) + datetime.timedelta(days=i) for i in range(400)]
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(400)]
     rows = [(s, d, 100.0, float(x), float(z)) for s in "ABC" for d, x, z in zip(days, rng.normal(0, 0.02, 400), rng.normal(0, 1, 400), strict=True)]
     bars = spark.createDataFrame(rows, "symbol string, dt date, Close double, LogRet double, z double")
     made = training.with_targets(bars)
@@ -228,10 +228,10 @@ def test_listings_and_polling(spark, tmp_path):
     assert read(fetch="tests.test_operators:nothing", exchanges="nse") == []
     source, target = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = "symbol string, dt date, Close double"
-    spark.createDataFrame([("A", datetime.date(2020, 1, 1), 1.0)], schema).write.parquet(source)
+    spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0)], schema).write.parquet(source)
     query = incremental.ingest(spark, source, schema, target, f"{tmp_path}/state", every="1 second")
     query.processAllAvailable()
-    spark.createDataFrame([("A", datetime.date(2020, 1, 1), 2.0), ("A", datetime.date(2020, 2, 1), 3.0)], schema).write.mode("append").parquet(source)
+    spark.createDataFrame([("A", dt.date(2020, 1, 1), 2.0), ("A", dt.date(2020, 2, 1), 3.0)], schema).write.mode("append").parquet(source)
     query.processAllAvailable()
     query.stop()
     assert sorted(r["Close"] for r in incremental.current(spark, target, schema).collect()) == [2.0, 3.0]
