@@ -77,13 +77,45 @@ def test_op5(spark, sf_dir):
     assert got == {r["doc_id"]: (r["n_sentences"], r["sentence_ids"], r["licences"]) for _, r in want.iterrows()}
 
 
+def plain_media(payload):
+    """A payload as silent 48 kHz mono frames with checksums behind a tag and a table, byte by byte; and the feature text."""
+
+    def crc(data):
+        out = 0xFFFF
+        for bit in "".join(f"{x:08b}" for x in data):
+            out = ((out << 1) ^ (0x8005 if (out >> 15) ^ int(bit) else 0)) & 0xFFFF
+        return out.to_bytes(2, "big")
+
+    def seven(n):
+        return bytes(n >> s & 127 for s in (21, 14, 7, 0))
+
+    kbps = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    frames = []
+    for at in range(0, len(payload), 937):
+        part = payload[at : at + 937]
+        k = min(k for k in range(14) if 3 * kbps[k] - 23 >= len(part))
+        head = bytes([0xFF, 0xFA, (k + 1) << 4 | 4, 0xC0])
+        frames.append((head + crc(head[2:] + bytes(17)) + bytes(17) + part).ljust(3 * kbps[k], b"\0"))
+    text = b"\3payload_bytes\0" + str(len(payload)).encode()
+    tag = b"ID3\4\0\0" + seven(len(text) + 10) + b"TXXX" + seven(len(text)) + b"\0\0" + text
+    sizes = [len(f) for f in frames]
+    whole = 192 + sum(sizes)
+    toc = bytes(min(255, (192 + sum(sizes[: i * len(sizes) // 100])) * 256 // whole) for i in range(100))
+    table = (bytes([0xFF, 0xFB, 0x54, 0xC0]) + bytes(17) + b"Xing\0\0\0\7" + len(frames).to_bytes(4, "big") + whole.to_bytes(4, "big") + toc).ljust(192, b"\0")
+    first = len(tag) + 192
+    n = len(frames)
+    feature = f"mpeg1 layer3 ch=1 rate=48000 frames={n} samples={1152 * n} crc={n}/0 skipped=0 vbr=Xing:{n}:{whole} seek={first}-{first + sum(sizes[:-1])}"
+    return tag + table + b"".join(frames), feature
+
+
 def test_op6(spark, sf_dir, docs):
     out = run(spark, sf_dir, "op6_mpeg_audio")
     for i, text, _ in docs:
         data = (text or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         assert (out[i]["n_bytes"], out[i]["payload_bytes"], out[i]["payload_sha256"], out[i]["tail_crc32"]) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
-        assert out[i]["media_bytes"] > len(payload) and len(out[i]["media_sha256"]) == 64 and out[i]["feature"]
+        media, feature = plain_media(payload)
+        assert (out[i]["media_bytes"], out[i]["media_sha256"], out[i]["feature"]) == (len(media), sha(media), feature)
 
 
 def test_op7(spark, sf_dir, docs):
