@@ -172,7 +172,7 @@ SENTENCES, RULES = _sentences()
 
 def _stems() -> str:
     """A pattern that every known sentence's text has, before normalising too: few words, or pairs of words, of the table, each taken for covering most of what is left."""
-    made = set("licensed under version holder contributors and the all rights reserved its their http gpl lgpl agpl".split())
+    made = set("licensed under version holder contributors and the all rights reserved its their http gpl lgpl agpl this provided universal general".split())
     left = set(SENTENCES)
     found = []
     while left:
@@ -180,11 +180,11 @@ def _stems() -> str:
         for s in left:
             words = s.split()
             for a, b in zip(words, [*words[1:], ""], strict=True):
-                if a not in made and len(a) > 4 and not a.isdigit():
+                if a not in made and len(a) > 6 and not a.isdigit():
                     cover.setdefault(a, set()).add(s)
                 if a not in made and b and b not in made and not (a + b).isdigit() and not a[0].isdigit() and not b[0].isdigit():
                     cover.setdefault(f"{a}[^a-z0-9]+{b}", set()).add(s)
-                if a not in made and 3 <= len(a) <= 4 and not a.isdigit():
+                if s.startswith("licensed under ") and a not in made and 3 <= len(a) <= 4 and not a.isdigit():
                     cover.setdefault(rf"\b{a}\b", set()).add(s)
             if "gpl" in s:
                 cover.setdefault("gpl", set()).add(s)
