@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import next_business_day
+from tidemark.sources.scratch import written
 
 
 def direction_of(prob: Column) -> Column:
@@ -73,14 +74,13 @@ def ranked(predictions: DataFrame, top_n: int = 20) -> DataFrame:
 
 
 def overall(known: DataFrame) -> DataFrame:
-    """All rows by return. The ranking is a number over the whole table: rows are ranked within ranges of the return, then moved by the counts of the ranges above."""
-    cuts = known.stat.approxQuantile("predicted_return", [i / 64 for i in range(1, 64)], 0.005)
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda x: x > F.col("predicted_return")))
-    dealt = known.withColumn("_part", part)
-    local = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("predicted_return"), F.asc("symbol"))))
+    """All rows by return, ties by symbol. The ranking is a number over the whole table: rows are sorted within ranges of (return, symbol), which Spark balances, then moved by the counts of the ranges above."""
+    order = [F.desc("predicted_return"), F.asc("symbol")]
+    dealt = written(known.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    local = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     above = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_above")
-    return local.join(F.broadcast(above), "_part").withColumn("rank", (F.col("rank") + F.col("_above")).cast("int")).withColumn("report", F.lit("overall")).drop("_part", "_above")
+    return local.join(above, "_part").withColumn("rank", (F.col("rank") + F.col("_above")).cast("int")).withColumn("report", F.lit("overall")).drop("_part", "_above")
 
 
 def holdout_metrics(rows: DataFrame) -> DataFrame:
