@@ -41,7 +41,7 @@ from tidemark.llm.common import ByteHasher, give_back, materialise, slices, text
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a shard; rows of an anchor from which it is refined; bytes merged at once; bytes of a shard of suffixes; shards judged together at first.
-SHARD_BYTES, HOT, MERGE_BYTES, SUFFIX_BYTES, SHARD_GROUP = 8 << 20, 10_000, 1 << 18, 1 << 15, 1000
+SHARD_BYTES, HOT, MERGE_BYTES, SUFFIX_BYTES, SHARD_GROUP = 8 << 20, 50_000, 1 << 18, 1 << 15, 1000
 
 
 class Anchors:
@@ -109,7 +109,7 @@ def _anchor_rows(length: int, gram: int):
 
 
 #: Contexts that are sent. ``gram``: where the anchor stands in the body; ``place`` and ``others``: documents of the shard (by number) and offsets, packed.
-_SENT = "anchor long, shard int, hot boolean, doc_id long, tie long, first int, gram int, body binary, place long, others array<long>"
+_SENT = "anchor long, shard int, doc_id long, tie long, first int, gram int, body binary, place long, others array<long>"
 _SPAN = "shard int, doc int, first int, last int"
 
 
@@ -149,9 +149,7 @@ def _send(length: int, gram: int):
 
     def run(docs: pa.Table, left: pa.Table) -> pa.Table:
         docs, ids, ties = _documents_of(docs)
-        known = left["anchor"].to_numpy()
-        order = np.argsort(known)
-        known, hot = known[order], left["hot"].to_numpy()[order]
+        known = np.sort(left["anchor"].to_numpy())
         make, parts, texts, rows, base = Anchors(length, gram), [], [], 0, 0
         for batch in docs.select(["text"]).combine_chunks().to_batches() if len(known) else ():
             for part in slices(batch, "text", 1 << 19):
@@ -159,7 +157,7 @@ def _send(length: int, gram: int):
                 found = make.find(data, offsets)
                 slot = np.minimum(np.searchsorted(known, found["anchor"]), len(known) - 1)
                 pick = known[slot] == found["anchor"]
-                found = {k: v[pick] for k, v in found.items()} | {"hot": hot[slot[pick]]}
+                found = {k: v[pick] for k, v in found.items()}
                 found["row"], found["at"] = found["row"] + rows, found["at"] + base
                 rows, base = rows + part.num_rows, base + len(data)
                 parts.append(found)
@@ -182,7 +180,7 @@ def _send(length: int, gram: int):
         counts = np.diff(np.append(heads, len(order)))
         body, offsets = _gathered(data, whole["at"][h], sizes[h])
         columns = [
-            pa.array(whole["anchor"][h]), pa.array(np.full(len(h), shard), pa.int32()), pa.array(whole["hot"][h]), pa.array(ids[doc]), pa.array(ties[doc]), pa.array(whole["first"][h], pa.int32()), pa.array(whole["gram"][h], pa.int32()),
+            pa.array(whole["anchor"][h]), pa.array(np.full(len(h), shard), pa.int32()), pa.array(ids[doc]), pa.array(ties[doc]), pa.array(whole["first"][h], pa.int32()), pa.array(whole["gram"][h], pa.int32()),
             pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)]),
             pa.array(place[heads]), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - 1)), pa.int32()), pa.array(place[~head])),
         ]
@@ -192,7 +190,7 @@ def _send(length: int, gram: int):
     return run
 
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -308,7 +306,7 @@ def _refined(hot: DataFrame, length: int, gram: int, most: int) -> DataFrame:
         cut = now.withColumn("half", F.explode(halves)).withColumn("from", F.greatest(F.lit(0), F.col("gram") - F.col("half.b"))).withColumn("to", F.least(F.octet_length("body") - length, F.col("gram") - F.col("half.a")))
         core = F.substring(F.col("body"), F.col("gram") - F.col("half.a") + 1, F.col("half.a") - F.col("half.b") + length)
         cut = cut.filter("from <= to").select(
-            F.xxhash64("anchor", "half", core).alias("anchor"), "shard", "hot", "doc_id", "tie", (F.col("first") + F.col("from")).alias("first"), (F.col("gram") - F.col("from")).alias("gram"),
+            F.xxhash64("anchor", "half", core).alias("anchor"), "shard", "doc_id", "tie", (F.col("first") + F.col("from")).alias("first"), (F.col("gram") - F.col("from")).alias("gram"),
             F.substring(F.col("body"), F.col("from") + 1, F.col("to") - F.col("from") + length).alias("body"), (F.col("place") + F.col("from")).alias("place"),
             F.transform("others", lambda x: x + F.col("from")).alias("others"), F.col("half.a").alias("low"), F.col("half.b").alias("high"),
         )
@@ -364,14 +362,14 @@ def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int
     anchors = docs.select("text", "shard").mapInArrow(_anchor_rows(length, gram), "anchor long, shard int, n int, kinds int")
     window = Window.partitionBy("anchor")
     left = anchors.withColumns({"every": F.sum("n").over(window), "rows": F.sum("kinds").over(window)}).filter("every > 1")
-    left = left.select("anchor", F.col("shard").alias("at_shard"), (F.col("rows") > hot).alias("hot")).distinct()
-    # both passes over the texts read one exchange
-    sent = docs.groupBy("shard").cogroup(left.groupBy("at_shard")).applyInArrow(_send(length, gram), _SENT)
-    sent = materialise(sent, "sent")
+    left = materialise(left.select("anchor", F.col("shard").alias("at_shard"), (F.col("rows") > hot).alias("hot")).distinct(), "anchors")
+    # this pass over the texts and the last one read one exchange
+    sent = docs.groupBy("shard").cogroup(left.filter("not hot").groupBy("at_shard")).applyInArrow(_send(length, gram), _SENT)
     bucket = F.pmod("anchor", F.lit(shards)).cast("int")
-    spans = sent.filter("not hot").groupBy(bucket).applyInArrow(_judge(length), _SPAN)
-    crowded = sent.filter("hot")
-    if not crowded.isEmpty():
+    spans = sent.groupBy(bucket).applyInArrow(_judge(length), _SPAN)
+    hot_left = left.filter("hot")
+    if not hot_left.isEmpty():
+        crowded = materialise(docs.groupBy("shard").cogroup(hot_left.groupBy("at_shard")).applyInArrow(_send(length, gram), _SENT), "crowded")
         crowded = materialise(_refined(crowded, length, gram, hot), "refined")
         spans = spans.unionByName(crowded.filter("not still").select(*sent.columns).groupBy(bucket).applyInArrow(_judge(length), _SPAN))
         still = crowded.filter("still").select(*sent.columns)
