@@ -68,7 +68,7 @@ def needs_coarse(names: list[str]) -> bool:
 def features(bars: DataFrame, names: list[str]) -> DataFrame:
     """``bars`` (with Market and Sector) to symbol, dt and the named columns."""
     coarse = needs_coarse(names) or bool(set(names) & set(COARSE_COLUMNS))
-    return engine.compute(with_coarse(bars) if coarse else bars, FORMULAS, names).select("symbol", "dt", *names)
+    return engine.compute(with_coarse(bars) if coarse else engine.by_key(bars), FORMULAS, names).select("symbol", "dt", *names)
 
 
 def features_sql(bars: str, names: list[str]) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import fill, safe_log
+from tidemark.plans.engine import by_key
 
 #: Order in which checkpoints of stages are preferred.
 STAGES = ("daily", "weekly", "monthly", "yearly")
@@ -20,7 +21,7 @@ def integrate(bars: DataFrame, indices: DataFrame, core: tuple[str, ...] = ("NIF
     out = bars.join(wide, "dt", "left")
     own = indices.select("dt", F.col("name").alias("sector_index_name"), F.col("close").alias("sector_index_value"))
     out = out.join(own, ["dt", "sector_index_name"], "left")
-    out = fill(out.repartition("symbol"), [*core, "sector_index_value"])
+    out = fill(by_key(out), [*core, "sector_index_value"])
     first = F.coalesce("sector_index_value", F.col(core[0]))
     out = out.withColumn("sector_index_value", first).withColumns({f"log_{c}": safe_log(F.col(c)) for c in (*core, "sector_index_value")})
     out = fill(out, [f"log_{c}" for c in (*core, "sector_index_value")])

@@ -43,7 +43,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, order: str, columns:
 
 def with_coarse(bars: DataFrame) -> DataFrame:
     """Daily rows with the weekly and monthly columns as of the day. Rows are exchanged by symbol once; both periods are laid into the daily series and carried on in one pass."""
-    bars = bars.repartition("symbol")
+    bars = engine.by_key(bars)
     both = bars.withColumn("_side", F.lit(1))
     parts = (("weekly", WEEKLY, WEEKLY_COLUMNS), ("monthly", MONTHLY, MONTHLY_COLUMNS))
     for period, formulas, columns in parts:
@@ -51,6 +51,7 @@ def with_coarse(bars: DataFrame) -> DataFrame:
         coarse = engine.compute(resample(bars, period).withColumn("_n", every), formulas, list(columns))
         known = [F.when(F.col("_n") > FEW_PERIODS, F.col(c)).otherwise(0.0).alias(c) for c in columns]
         both = both.unionByName(coarse.select("symbol", "dt", F.lit(0).alias("_side"), F.struct("_n", *known).alias(period)), allowMissingColumns=True)
+    both = engine.by_key(both)
     w = Window.partitionBy("symbol").orderBy("dt", "_side").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("symbol")
     carried = both.select(*bars.columns, "_side", *[F.last(p, ignorenulls=True).over(w).alias(p) for p, _, _ in parts], *[F.max(F.col(f"{p}._n")).over(whole).alias(f"_{p}") for p, _, _ in parts]).filter("_side = 1")

@@ -12,11 +12,16 @@ from tidemark.functions import kernels
 from tidemark.plans.formula import Column, Compiler
 
 
+def by_key(df: DataFrame, key: str = "symbol") -> DataFrame:
+    """``df`` exchanged by ``key`` into the session's number of shuffle partitions. That number is explicit, as windows over a series take far more time than its bytes tell: left to its size, a small table would be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def compute(bars: DataFrame, formulas: dict[str, str], names: list[str], key: str = "symbol", order: str = "dt") -> DataFrame:
     """``bars`` (one row for each key and time) with the named formulas. Only what they need is computed.
 
-    Rows are exchanged by ``key`` once, unless they lie so already; all windows and kernels share that partitioning and one order. Each level of
-    recursions or whole-series ranks is one grouped kernel; those of recursions come before all other windows, over the few columns that they need.
+    All windows and kernels share one partitioning and one order. Each level of recursions or whole-series ranks is one grouped kernel, whose rows are
+    exchanged once more, as Spark takes them for unpartitioned; those of recursions come before all other windows, over the few columns that they need.
     """
     compiler = Compiler(formulas, {*bars.columns, "rn"}, key, order)
     levels = compiler.levels(names)
@@ -70,7 +75,8 @@ def _kernel(df: DataFrame, columns: list[Column], key: str, order: str) -> DataF
             table = table.append_column(name, pa.array(made, from_pandas=True))
         return table
 
-    return df.groupBy(key).applyInArrow(run, schema)
+    # Spark doesn't know that a kernel hands on its partitioning
+    return by_key(df.groupBy(key).applyInArrow(run, schema), key)
 
 
 def statement(base: str, base_columns: list[str], formulas: dict[str, str], names: list[str], key: str = "symbol", order: str = "dt", prefix: str = "x") -> str:
