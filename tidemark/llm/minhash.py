@@ -64,13 +64,14 @@ class Fingerprinter:
             row, hole = row[~hit], hole[~hit]
         return (least & np.uint64((1 << self.bits) - 1)).astype(np.uint8), some
 
-    def packed(self, low: np.ndarray, some: np.ndarray) -> list[str]:
+    def packed(self, low: np.ndarray, some: np.ndarray) -> list[bytes]:
+        """The bins of each row; empty for one without words."""
         per = 8 // self.bits
         joined = low.reshape(len(low), -1, per)
         out = np.zeros(joined.shape[:2], np.uint8)
         for j in range(per):
             out |= joined[:, :, j] << np.uint8(j * self.bits)
-        return [x.tobytes().hex() if y else "" for x, y in zip(out, some.tolist(), strict=True)]
+        return [x.tobytes() if y else b"" for x, y in zip(out, some.tolist(), strict=True)]
 
     def likeness(self, a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarray) -> np.ndarray:
         """Bias-corrected estimates of the Jaccard similarity, row by row."""
@@ -88,13 +89,17 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", bi
         make = Fingerprinter(bins, bits, size)
         for batch in batches:
             for part in slices(batch, text):
-                made = pa.array(make.packed(*make.bins_of(*text_buffer(part.column(text)))), pa.string())
+                made = pa.array([x.hex() for x in make.packed(*make.bins_of(*text_buffer(part.column(text))))], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), made], [*rest, out])
 
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
 
 
-_MADE = "n_chars long, edited_text string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: As made in tasks; what is binary here becomes hex at the end, so that it is written in half the bytes.
+_MADE = "n_chars long, edited_text string, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+
+
+_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def with_next(df: DataFrame, keep_text: bool = False, range_bytes: int = RANGE_BYTES, bins: int = BINS, bits: int = BITS, size: int = SHINGLE) -> DataFrame:
@@ -123,7 +128,7 @@ def with_next(df: DataFrame, keep_text: bool = False, range_bytes: int = RANGE_B
     open_rows = first.filter("kind = 1").select(*kept.names, "text", "part").join(ring, "part").join(ends.withColumnRenamed("part", "after"), "after")
     last = open_rows.select(*kept.names, "text", "next_text").mapInArrow(_across(kept.names, keep_text, bins, bits, size), T.StructType([*kept, *made]))
     out = first.filter("kind = 0").select(*kept.names, *made.names).unionByName(last)
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *made.names)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.lower(F.hex(f.name)).alias(f.name) if isinstance(f.dataType, T.BinaryType) else f.name for f in made])
 
 
 def _held(make: Fingerprinter, texts: list[str], after: list[str], low: np.ndarray, some: np.ndarray, low_next: np.ndarray, some_next: np.ndarray, keep_text: bool) -> list[pa.Array]:
@@ -131,8 +136,8 @@ def _held(make: Fingerprinter, texts: list[str], after: list[str], low: np.ndarr
     edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for x, y in zip(texts, after, strict=True)]
     low_e, some_e = make.bins_of(*text_buffer(pa.array(edited, pa.large_string())))
     return [
-        pa.array([len(x) for x in texts], pa.int64()), pa.array(edited if keep_text else [None] * len(edited), pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
-        pa.array(make.packed(low, some)), pa.array(make.packed(low_e, some_e)), pa.array(make.likeness(low, some, low_e, some_e)), pa.array(make.likeness(low, some, low_next, some_next)),
+        pa.array([len(x) for x in texts], pa.int64()), pa.array(edited if keep_text else [None] * len(edited), pa.string()), pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()),
+        pa.array(make.packed(low, some), pa.binary()), pa.array(make.packed(low_e, some_e), pa.binary()), pa.array(make.likeness(low, some, low_e, some_e)), pa.array(make.likeness(low, some, low_next, some_next)),
     ]
 
 
@@ -141,7 +146,7 @@ def _in_range(rest: list[str], keep_text: bool, bins: int, bits: int, size: int)
     made = [f.name for f in T.StructType.fromDDL(_MADE)]
 
     def handed(row: pa.RecordBatch, text: str, kind: int, part: int) -> pa.RecordBatch:
-        empty = [pa.nulls(1, pa.float64() if c.startswith("near") else pa.int64() if c == "n_chars" else pa.string()) for c in made]
+        empty = [pa.nulls(1, kind) for kind in _KINDS]
         return pa.RecordBatch.from_arrays([*(row.column(c) for c in rest), *empty, pa.array([text], pa.string()), pa.array([kind], pa.int32()), pa.array([part], pa.int32())], [*rest, *made, "text", "kind", "part"])
 
     def run(batches):
