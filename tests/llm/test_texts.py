@@ -168,6 +168,23 @@ def test_counts_are_the_librarys(spark):
     assert counts.count_tokens(table(spark, []), VOCAB).count() == 0
 
 
+@pytest.mark.parametrize("n", [2047, 2048, 2049, 5000])
+def test_counts_of_long_words(n):
+    from tokenizers import Tokenizer
+
+    library, merge, rng = Tokenizer.from_file(VOCAB), counts.RankMerger(VOCAB), random.Random(n)
+    texts = ["-" * n, "a" * n, "=-" * (n // 2), "".join(rng.choice("abcdefghijkl") for _ in range(n)), "\x01" * n, "漢" * n, "https://a.b/" + "/".join(["x"] * n), "-" * n + " " + "-" * n]
+    assert merge.count_texts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_counts_of_a_megabyte_of_one_character():
+    from tokenizers import Tokenizer
+
+    library, merge = Tokenizer.from_file(VOCAB), counts.RankMerger(VOCAB)
+    for c in "-a":
+        assert merge.count_texts([c * (1 << 20)]) == [len(library.encode(c * (1 << 20), add_special_tokens=False).ids)]
+
+
 # -- MPEG audio ----------------------------------------------------------------------------------------------------------------
 
 
@@ -244,6 +261,34 @@ def test_equal_texts_equal_media(spark):
     assert hashlib.sha256(a["media"]).digest() == hashlib.sha256(b["media"]).digest()
 
 
+def test_foreign_vbri_tables(spark):
+    """Tables of any widths, scales and counts: a row each, entries as they are for widths 1 to 4 and none for others."""
+    rng, rows, want = random.Random(4), [], []
+    for width in (0, 1, 2, 3, 4, 5, 8, 1000, 65535):
+        for entries, scale in ((1, 1), (3, 65535), (200, 7)):
+            body = rng.randbytes(1000)
+            table_frame = bytearray(frame(9, rng.randbytes(20)))
+            table_frame[36 : 36 + 26] = b"VBRI" + bytes(6) + struct.pack(">IIHHHHH", 12345, 1 << 31, entries, scale, width, 1, 0)[:16]
+            table_frame[62:] = body[: len(table_frame) - 62]
+            rows.append((len(rows), bytes(table_frame) + frame(9, b"x") * 3))
+            left = body[: min(entries * width, len(table_frame) - 62)]
+            want.append([int.from_bytes(left[i : i + width]) * scale for i in range(0, len(left) - width + 1, width)] if 1 <= width <= 4 else [])
+    out = collect(mpeg.parse_media(spark.createDataFrame(rows, "doc_id long, media binary")))
+    assert [out[i]["audio"]["vbr_toc"] for i in range(len(rows))] == want
+    assert all(r["audio"]["vbr_kind"] == "VBRI" and r["audio"]["frames"] == 3 for r in out.values())
+
+
+def test_any_bytes_parse(spark):
+    rng, whole = random.Random(9), mpeg.store(b"y" * 4000)
+    rows = []
+    for i in range(300):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 40)):
+            data[rng.randrange(len(data) if i % 2 else 400)] = rng.randrange(256)
+        rows.append((i, bytes(data[rng.randint(0, 100) * (i % 3) :])))
+    assert mpeg.parse_media(spark.createDataFrame(rows, "doc_id long, media binary")).select("doc_id", "audio.frames").count() == 300
+
+
 def test_a_payload_that_looks_like_a_tag():
     seen = set()
     for n in (200, 640, 1000, 3000):

@@ -115,9 +115,11 @@ class RankMerger:
         def note(places: np.ndarray) -> None:
             ranks = self._ranks_of(ids[places] << 32 | ids[after[places]])
             places, ranks = places[ranks < none], ranks[ranks < none]
+            if not len(ranks):
+                return
             order = np.argsort(ranks, kind="stable")
             places, ranks = places[order], ranks[order]
-            heads = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ()
+            heads = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
             for a, b in zip(heads, [*heads[1:], len(ranks)], strict=True):
                 rank = int(ranks[a])
                 if rank not in waiting:

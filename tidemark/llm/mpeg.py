@@ -173,8 +173,9 @@ def _table(frame: bytes, head: Header) -> dict | None:
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
-        body = frame[62 : 62 + entries * width]
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": [int.from_bytes(body[i : i + width]) * scale for i in range(0, len(body), max(width, 1))]}
+        known = width if width in (1, 2, 3, 4) else 0  # entries of another width aren't read
+        body = frame[62 : 62 + entries * known]
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": [int.from_bytes(body[i : i + known]) * scale for i in range(0, len(body) - known + 1, known)] if known else []}
     return None
 
 
@@ -311,7 +312,7 @@ def store_texts(df: DataFrame, text: str = "text", out: str = "media", unit: int
 #: The column of parsed streams.
 INFO = (
     "version string, layer int, channels int, sample_rate int, samples long, frames int, frame_offsets array<long>, frame_bytes long, kbps map<int,int>, crc_good int, crc_bad int, skipped_bytes long, "
-    "vbr_kind string, vbr_frames long, vbr_bytes long, vbr_toc array<int>, tags map<string,string>, payload binary"
+    "vbr_kind string, vbr_frames long, vbr_bytes long, vbr_toc array<long>, tags map<string,string>, payload binary"
 )
 
 
