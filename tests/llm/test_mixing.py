@@ -106,3 +106,12 @@ def test_many_sources(spark):
     got = {r["source"]: r["target"] for r in targets(df, [3.0, 1.0, 2.0], 1.5, 2.0).collect()}
     want = plain_targets(sizes, [3, 1, 2], 1.5, 2.0)
     assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
+
+
+def test_sources_of_any_type(spark):
+    rows = [(i, "w " * (i % 7 + 1), i % 3 if i % 5 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int").withColumn("size", word_count())
+    out = mix(df, [3.0, 1.0, 2.0], 1.5, 2.0, block_rows=8, fan=2)
+    assert out.schema["source"].dataType.simpleString() == "int" and out.count() == 90
+    got = {r["source"]: (r["t"], r["w"]) for r in out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("w")).collect()}
+    assert len(got) == 4 and all(abs(t - w) <= 7 for t, w in got.values())

@@ -133,10 +133,11 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, most: float = 2
     done = materialise(rows.groupBy("source", "block").applyInArrow(first, schema), "mixed")
     left = done.filter(F.col("p").isNotNull()).select("source", "block", "blocks", F.col("block").alias("node"), "p", F.col("size").cast("double").alias("words"), "h")
     level, decided = 1, None
+    tree = T.StructType([rows.schema["source"], *T.StructType.fromDDL(_TREE)])
     most_blocks = plan.agg(F.max("blocks")).first()[0] or 1
     while True:
         last = most_blocks <= 1
-        up = materialise(left.withColumn("up", F.floor(F.col("node") / fan).cast("long")).groupBy("source", "up").applyInArrow(_tree_step(seed + level, last), _TREE), "tree")
+        up = materialise(left.withColumn("up", F.floor(F.col("node") / fan).cast("long")).groupBy("source", "up").applyInArrow(_tree_step(seed + level, last), tree), "tree")
         part = up.filter("bit >= 0").select("source", "block", "bit")
         decided = part if decided is None else decided.unionByName(part)
         if last:
@@ -160,7 +161,7 @@ def _numbered(rows: DataFrame, many: DataFrame) -> DataFrame:
     return rows.join(many, "h", "left_anti").withColumn("g", F.lit(0).cast("long")).select(*rows.columns, "g").unionByName(equal)
 
 
-_TREE = "source string, block long, blocks long, node long, p double, words double, h long, bit int"
+_TREE = "block long, blocks long, node long, p double, words double, h long, bit int"
 
 
 def _tree_step(seed: int, last: bool):
@@ -174,6 +175,6 @@ def _tree_step(seed: int, last: bool):
             bits[left] = int(_coin(seed + 1, table["h"].to_numpy()[order[left : left + 1]])[0] < frac[left])
         table = table.take(pa.array(order))
         up = table["up"].to_numpy()
-        return pa.table([table["source"], table["block"], table["blocks"], pa.array(up), pa.array(frac), table["words"], table["h"], pa.array(bits, pa.int32())], names=[x.split()[0] for x in _TREE.split(", ")])
+        return pa.table([table["source"], table["block"], table["blocks"], pa.array(up), pa.array(frac), table["words"], table["h"], pa.array(bits, pa.int32())], names=["source", *(x.split()[0] for x in _TREE.split(", "))])
 
     return step
