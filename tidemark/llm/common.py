@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,16 +28,22 @@ except (OSError, AttributeError):  # another C library
     _TRIM = None
 
 
-#: Folders of tables written within each open ``temporary``.
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """Folders of tables written within each ``temporary`` that a thread of the driver has open."""
+
+    def __init__(self) -> None:
+        self.stack: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor costs no more than a reread. ``keep``: it outlives the innermost ``temporary``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if len(_OPEN) > keep:
-        _OPEN[-1 - keep].append(path)
+    if len(_OPEN.stack) > keep:
+        _OPEN.stack[-1 - keep].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -46,11 +53,11 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables materialised within are deleted at the end, but for those to keep."""
-    _OPEN.append([])
+    _OPEN.stack.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _OPEN.stack.pop():
             delete(spark, path)
 
 

@@ -23,7 +23,8 @@ has over ``HOT`` rows (a string in more than so many shards) is judged in two st
 
 Ties: documents are ordered by doc_id (null last), those with one doc_id by a hash of the text; rows alike in both are the same document and get
 the same result. Empty tables give empty ones, texts shorter than ``LENGTH`` bytes nothing to remove. Removed bytes can part a character, so what is kept
-is binary. Other columns are kept out; join them by ``doc_id`` or use ``dedup``, which keeps them all.
+is binary. Other columns are kept out; join them by ``doc_id`` or use ``dedup``, which keeps them all. ``doc_id`` is a number; ids of another kind
+are for the caller to number first.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -360,9 +361,11 @@ def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int
     docs = df.select(*[F.col(f"`{c}`").cast("long").alias(n) if c == "doc_id" else F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")
     docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     anchors = docs.select("text", "shard").mapInArrow(_anchor_rows(length, gram), "anchor long, shard int, n int, kinds int")
-    window = Window.partitionBy("anchor")
-    left = anchors.withColumns({"every": F.sum("n").over(window), "rows": F.sum("kinds").over(window)}).filter("every > 1")
-    left = materialise(left.select("anchor", F.col("shard").alias("at_shard"), (F.col("rows") > hot).alias("hot")).distinct(), "anchors")
+    anchors = materialise(anchors, "places")
+    # counted by partial sums and joined back: an anchor that every shard has is in no one task
+    counted = anchors.groupBy("anchor").agg(F.sum("n").alias("every"), F.sum("kinds").alias("rows")).filter("every > 1")
+    left = anchors.join(counted.select("anchor", (F.col("rows") > hot).alias("hot")), "anchor")
+    left = materialise(left.select("anchor", F.col("shard").alias("at_shard"), "hot").distinct(), "anchors")
     # this pass over the texts and the last one read one exchange
     sent = docs.groupBy("shard").cogroup(left.filter("not hot").groupBy("at_shard")).applyInArrow(_send(length, gram), _SENT)
     bucket = F.pmod("anchor", F.lit(shards)).cast("int")
