@@ -126,6 +126,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_trie_of(conversations: DataFrame, **bounds) -> DataFrame:
+    from tidemark.llm.trie import light_turns, rebuilt, trie
+
+    turns = materialise(light_turns(conversations), "turns")
+    return trie(rebuilt(turns), materialise(turns.groupBy("conv_id").agg(F.count("*").alias("turns")).select("conv_id"), "ids"), **bounds)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_trie_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,7 +144,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline, "op5_licences": op5_licences, "op8_minhash": op8_minhash} | {f.__name__: _written(f) for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op6_mpeg_audio, op7_byte_bpe, op9_token_counts, op10_simhash)}
+    return {"pipeline": pipeline, "op5_licences": op5_licences, "op8_minhash": op8_minhash} | {f.__name__: _written(f) for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op6_mpeg_audio, op7_byte_bpe, op9_token_counts, op10_simhash, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
