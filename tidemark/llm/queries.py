@@ -137,6 +137,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_trie_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_repair_of(conversations: DataFrame) -> DataFrame:
+    from tidemark.llm.repair import damaged, repair
+
+    return repair(damaged(conversations))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_repair_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import scan
+
+    return scan(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -144,7 +160,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": pipeline, "op5_licences": op5_licences, "op8_minhash": op8_minhash} | {f.__name__: _written(f) for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op6_mpeg_audio, op7_byte_bpe, op9_token_counts, op10_simhash, op11_prefix_trie)}
+    return {"pipeline": pipeline, "op5_licences": op5_licences, "op8_minhash": op8_minhash} | {f.__name__: _written(f) for f in (op1_shards, op2_mix, op3_suffix_dedup, op4_quality, op6_mpeg_audio, op7_byte_bpe, op9_token_counts, op10_simhash, op11_prefix_trie, op12_repair, op13_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
