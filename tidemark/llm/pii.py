@@ -104,10 +104,11 @@ def _found(texts: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("value", "^[^A-Za-z0-9+(:]+", ""), "[^A-Za-z0-9:]+$", "")
     rows = rows.withColumn("start", F.col("start") + lead).withColumn("value", F.when(F.col("kind") == "?", bare).otherwise(F.col("value")))
     rows = rows.filter("value <> ''").withColumn("end", F.col("start") + F.length("value"))
-    by_place = Window.partitionBy("key").orderBy("start")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    by_place, from_end = Window.partitionBy("key").orderBy("start").rangeBetween(*running), Window.partitionBy("key").orderBy(F.desc("start")).rangeBetween(*running)  # a frame up to the end would be gone through again for every row
     form = F.col("kind") != "?"
-    covered = F.coalesce(F.max(F.when(form, F.col("end"))).over(by_place.rangeBetween(Window.unboundedPreceding, Window.currentRow)) > F.col("start"), F.lit(False))
-    covered = covered | F.coalesce(F.min(F.when(form, F.col("start"))).over(by_place.rangeBetween(Window.currentRow, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
+    covered = F.coalesce(F.max(F.when(form, F.col("end"))).over(by_place) > F.col("start"), F.lit(False))
+    covered = covered | F.coalesce(F.min(F.when(form, F.col("start"))).over(from_end) < F.col("end"), F.lit(False))
     rows = rows.withColumn("covered", covered).filter(form | (~F.col("covered") & (F.length("value") <= LONGEST)))
     rows = rows.withColumn("ok", F.when(form, _holds()))
     may = F.array_compact(F.array(*[F.when(F.col("value").rlike(p) & _digits(F.col("value")).between(least, most), F.lit(k)) for k, (p, least, most) in SHAPES.items()]))
