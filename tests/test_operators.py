@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, clean, joins, mapping, models, resample, signals, splits
@@ -128,6 +129,36 @@ def test_models_and_losses(spark):
     assert own == 198.0
     l = models.losses(spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "y double, prediction double, label double, prob double")).first()
     assert l["weighted_mse"] == 0 and l["huber"] == 0 and l["focal"] < 1e-6
+    # by hand: a spike, errors on both sides of delta, soft labels, a probability of zero
+    rows = [(0.04, 0.01, 0.995, 0.8), (-0.5, 0.1, 0.5, 0.3), (0.0, 0.049, 0.005, 0.0)]
+    l = models.losses(spark.createDataFrame(rows, "y double, prediction double, label double, prob double")).first()
+    assert np.isclose(l["weighted_mse"], ((1.5 + 3.5 * 0.008) * 0.0009 + (1.5 + 3.5 * 0.5**1.5) * 0.36 + 1.5 * 0.049**2) / 3)
+    assert np.isclose(l["huber"], (0.5 * 0.0009 / 0.05 + (0.6 - 0.025) + 0.5 * 0.049**2 / 0.05) / 3)
+    right = [0.995 * 0.8 + 0.005 * 0.2, 0.5, 0.005 * 1e-7 + 0.995 * (1 - 1e-7)]
+    assert np.isclose(l["focal"], np.mean([-0.5 * (1 - t) ** 2 * np.log(t) for t in right]))
+
+
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    import gzip
+
+    d = tmp_path / "csv files"
+    d.mkdir()
+    (d / "AAA.NS.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,9,10,8,9.5,100\n")
+    (d / "b b.csv").write_text('\ufeffdate,Close,Open,High,Low,"Volume",Extra,close\n2024-01-02,1.5,1,2,0.5,"1,000",x,7\n')
+    with gzip.open(d / "C_with_nifty50.csv.gz", "wt") as out:
+        out.write("VOLUME , Datetime,Adj\n5,2024-01-03,2\n")
+    (d / "empty.csv").write_text("")
+    (d / "bare.csv").write_text("Date,Open\n")
+    (d / "other.csv").write_text("name,size\na,1\n")
+    (d / "broken.csv").write_bytes(b"\xff\xfe\x80 \x81")
+    (d / "bad.csv.gz").write_bytes(b"no gzip")
+    (d / "notes.txt").write_text("Date,Open\n1,2\n")
+    bars, left = readers.scan_csv(spark, str(d))
+    rows = {r["symbol"]: r for r in bars.collect()}
+    assert {s: (str(r["dt"]), r["Open"], r["High"], r["Low"], r["Close"], r["Volume"], r["Extra"], r["Adj"]) for s, r in rows.items()} == {
+        "AAA": ("2024-01-02", 9.0, 10.0, 8.0, 9.5, 100.0, None, None), "BB": ("2024-01-02", 1.0, 2.0, 0.5, 1.5, 1000.0, "x", None), "C": ("2024-01-03", None, None, None, None, 5.0, None, "2"),
+    }
+    assert {r["file"].rsplit("/", 1)[-1]: r["reason"] for r in left.collect()} == {"empty.csv": "empty", "bare.csv": "no rows", "other.csv": "no known column", "broken.csv": "unreadable", "bad.csv.gz": "unreadable"}
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -193,14 +224,20 @@ def test_fits_by_group_and_their_stages(spark):
 
     rng = np.random.default_rng(3)
     days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(400)]
-    rows = [(s, d, 100.0, float(x), float(z)) for s in "ABC" for d, x, z in zip(days, rng.normal(0, 0.02, 400), rng.normal(0, 1, 400), strict=True)]
-    bars = spark.createDataFrame(rows, "symbol string, dt date, Close double, LogRet double, z double")
+    rows = [(s, d, 101.0, 99.0, 100.0, float(x), float(z)) for s in "ABC" for d, x, z in zip(days, rng.normal(0, 0.02, 400), rng.normal(0, 1, 400), strict=True)]
+    bars = spark.createDataFrame(rows, "symbol string, dt date, High double, Low double, Close double, LogRet double, z double")
     made = training.with_targets(bars)
+    # labels of the next row: the band is a quarter of the mean range of 2 %, the scale that of the rows before the embargo
+    mine = [r[5] for r in rows if r[0] == "A"]
+    trained = np.array(mine[: 400 - 60 - 20])
+    for r, y in zip(made.filter("symbol = 'A'").orderBy("dt").limit(399).collect(), mine[1:], strict=True):
+        assert r["ret"] == y and np.isclose(r["dir"], 0.995 if y > 0.005 else 0.005 if y < -0.005 else 0.5) and np.isclose(r["int"], np.tanh((y - trained.mean()) / (0.8 * (trained.std() + 1e-9))))
+    assert [r["n"] for r in made.filter("symbol = 'A'").groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()] == [41, 319, 40]
     members = spark.createDataFrame([("A", "b1", "IT", "LOW"), ("B", "b1", "IT", "LOW"), ("C", "b2", "AUTO", "HIGH")], "symbol string, bucket string, sector string, volatility_class string")
     registry = training.train(made, members, ["LogRet", "z"], "2000-12-31", penalty=5.0)
     got = {(r["symbol"], r["bucket"], r["stage"]): r for r in registry.collect()}
     assert set(got) == {(None, b, "yearly") for b in ("b1", "b2")} | {(s, b, t) for s, b in (("A", "b1"), ("B", "b1"), ("C", "b2")) for t in ("monthly", "weekly", "daily")}
-    frame = made.toPandas().dropna()
+    frame = made.drop("part").toPandas().dropna()
     frame["dt"] = frame["dt"].astype(str)
 
     def plain(part, prior):

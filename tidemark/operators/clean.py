@@ -43,10 +43,13 @@ def until(df: DataFrame, cutoff: str, dt: str = "dt") -> DataFrame:
 
 def stage_window(df: DataFrame, stage: str, cutoff: str, dt: str = "dt") -> DataFrame:
     """Rows that a training stage sees. An unknown stage looks back as far as the shortest."""
-    df = until(df, cutoff, dt)
-    if stage == "yearly":
-        return df
-    return df.filter(F.col(dt) >= F.date_sub(F.lit(cutoff).cast("date"), STAGE_DAYS.get(stage, min(STAGE_DAYS.values()))))
+    return df.filter(in_stage(F.col(dt), stage, cutoff))
+
+
+def in_stage(dt: Column, stage: str, cutoff: str) -> Column:
+    """Whether a stage sees a day."""
+    last = F.lit(cutoff).cast("date")
+    return (dt <= last) if stage == "yearly" else (dt <= last) & (dt >= F.date_sub(last, STAGE_DAYS.get(stage, min(STAGE_DAYS.values()))))
 
 
 def with_history(df: DataFrame, least: int = 60, key: str = "symbol") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,25 @@ def score_with(rows: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]
     return rows.mapInPandas(run, schema)
 
 
+def spike_weighted(y: Column, prediction: Column) -> Column:
+    """A row's squared error, weighted by the size of the move."""
+    return (1.5 + 3.5 * F.pow(F.abs(y), F.lit(1.5))) * (y - prediction) * (y - prediction)
+
+
+def smooth_huber(y: Column, prediction: Column, delta: float = 0.05) -> Column:
+    """A row's Huber loss over ``delta``: quadratic up to it, linear beyond."""
+    e = F.abs(y - prediction)
+    return F.when(e < delta, 0.5 * e * e / delta).otherwise(e - 0.5 * delta)
+
+
+def focal_soft(label: Column, prob: Column, alpha: float = 0.5, gamma: float = 2.0) -> Column:
+    """A row's focal loss of a soft label: of the probability that the label gives, both ways together."""
+    p = F.least(F.greatest(prob, F.lit(1e-7)), F.lit(1 - 1e-7))
+    right = label * p + (1 - label) * (1 - p)
+    return -alpha * F.pow(1 - right, F.lit(gamma)) * F.ln(right)
+
+
 def losses(rows: DataFrame) -> DataFrame:
-    """Evaluation losses of y, prediction, label, prob: squared error weighted by the size of the move, a smooth Huber loss, and a soft focal loss."""
-    e = F.col("y") - F.col("prediction")
-    p = F.least(F.greatest("prob", F.lit(1e-7)), F.lit(1 - 1e-7))
-    cross = -(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))
-    focus = 0.5 * F.pow(F.abs(F.col("label") - p), F.lit(2.0))
-    delta = 0.05
-    return rows.agg(F.avg((1 + F.abs("y")) * e * e).alias("weighted_mse"), F.avg(delta * delta * (F.sqrt(1 + (e / delta) * (e / delta)) - 1)).alias("huber"), F.avg(focus * cross).alias("focal"))
+    """Evaluation losses of y, prediction, label, prob: their means over all rows."""
+    made = {"weighted_mse": spike_weighted(F.col("y"), F.col("prediction")), "huber": smooth_huber(F.col("y"), F.col("prediction")), "focal": focal_soft(F.col("label"), F.col("prob"))}
+    return rows.agg(*[F.avg(v).alias(k) for k, v in made.items()])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
-from tidemark.operators import backtest, clean, features as feat, joins, mapping, models, resample, signals, splits, training
-from tidemark.sources import fixtures as fx, readers, sinks
+from tidemark.operators import backtest, boosting, clean, features as feat, joins, mapping, models, resample, signals, splits, training
+from tidemark.sources import fixtures as fx, readers, scratch, sinks
 from tidemark.sources.scratch import scratch_path
 from tidemark.streaming import incremental
 from tidemark.streaming.incremental import bars_of_events
@@ -451,8 +451,10 @@ add("log_and_bounds", "SELECT c_custkey, round(ln(CASE WHEN c_acctbal > 0 THEN c
 add("intensity_labels", f"{BARS}, r AS (SELECT symbol, dt, LogRet, avg(LogRet) OVER (PARTITION BY symbol) AS m, stddev_pop(LogRet) OVER (PARTITION BY symbol) AS s FROM ({_RET})) SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(tanh((LogRet - m) / (8e-1 * s)), 4) + 0e0 AS intensity FROM r")(
     lambda s, d: _tidy(_returns(s, d).select("symbol", "dt", splits.intensity(F.col("LogRet"), F.avg("LogRet").over(Window.partitionBy("symbol")), F.stddev_pop("LogRet").over(Window.partitionBy("symbol"))).alias("intensity")))
 )
-add("evaluation_losses", "WITH x AS (SELECT c_acctbal / 1e5 AS y, c_acctbal / 2e5 AS p, CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0e0 END AS l, (c_custkey % 99 + 5e-1) / 1e2 AS q FROM customer) SELECT round(avg((1 + abs(y)) * power(y - p, 2)), 6) AS weighted_mse, round(avg(25e-4 * (sqrt(1 + power((y - p) / 5e-2, 2)) - 1)), 6) AS huber, round(avg(5e-1 * power(abs(l - q), 2) * -(l * ln(q) + (1 - l) * ln(1 - q))), 6) AS focal FROM x")(
-    lambda s, d: models.losses(fx.table(s, d, "customer").select((F.col("c_acctbal") / 1e5).alias("y"), (F.col("c_acctbal") / 2e5).alias("prediction"), F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0).alias("label"), ((F.col("c_custkey") % 99 + 0.5) / 1e2).alias("prob"))).select(*[F.round(c, 6).alias(c) for c in ("weighted_mse", "huber", "focal")])
+add("evaluation_losses", """WITH x AS (SELECT c_acctbal / 1e5 AS y, c_acctbal / 2e5 AS p, [0.005, 0.5, 0.995, 0.3][CAST(c_custkey % 4 AS INTEGER) + 1] AS l, least(greatest((c_custkey % 101) / 1e2, 1e-7), 1 - 1e-7) AS q FROM customer),
+    e AS (SELECT *, abs(y - p) AS a, l * q + (1 - l) * (1 - q) AS t FROM x)
+    SELECT round(avg((1.5 + 3.5 * power(abs(y), 1.5)) * power(y - p, 2)), 6) AS weighted_mse, round(avg(CASE WHEN a < 5e-2 THEN 5e-1 * power(a, 2) / 5e-2 ELSE a - 25e-3 END), 6) AS huber, round(-avg(5e-1 * power(1 - t, 2) * ln(t)), 6) AS focal FROM e""")(
+    lambda s, d: models.losses(fx.table(s, d, "customer").select((F.col("c_acctbal") / 1e5).alias("y"), (F.col("c_acctbal") / 2e5).alias("prediction"), F.element_at(F.array(*map(F.lit, (0.005, 0.5, 0.995, 0.3))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("label"), ((F.col("c_custkey") % 101) / 1e2).alias("prob"))).select(*[F.round(c, 6).alias(c) for c in ("weighted_mse", "huber", "focal")])
 )
 add("feature_union", "WITH m AS (SELECT c_nationkey AS bucket, c_name AS symbol, unnest([c_mktsegment, CAST(c_custkey % 3 AS VARCHAR)]) AS feature, unnest([0, 1]) AS place FROM customer), f AS (SELECT bucket, feature, min(struct_pack(symbol := symbol, place := place)) AS pos FROM m GROUP BY ALL) SELECT bucket, string_agg(feature, ',' ORDER BY pos, feature) AS features FROM f GROUP BY bucket")(
     lambda s, d: mapping.feature_union(fx.table(s, d, "customer").select(F.col("c_nationkey").alias("bucket"), F.col("c_name").alias("symbol"), F.array("c_mktsegment", (F.col("c_custkey") % 3).cast("string")).alias("features"))).select("bucket", F.array_join("features", ",").alias("features"))
@@ -472,8 +474,13 @@ def _prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUTOFF, _PENALTY = "1998-06-30", 20.0
 _MEMBERS = f"""members AS (SELECT symbol, annual_vol, {mapping.level_of_sql('annual_vol')} AS volatility_class, {mapping.sector_of_sql('symbol', "''")} AS sector,
     {mapping.bucket_number_sql(f"({mapping.level_of_sql('annual_vol')})", f"({mapping.sector_of_sql('symbol', chr(39) * 2)})")} AS bucket FROM {_VOL_SQL}),
-    x AS (SELECT r.symbol, m.bucket, r.dt, r.LogRet AS x, lead(r.LogRet) OVER (PARTITION BY r.symbol ORDER BY r.dt) AS nx FROM ({_RET}) r JOIN members m ON r.symbol = m.symbol),
-    t AS (SELECT symbol, bucket, dt, x, nx AS ret, {training.TARGETS['dir'].format(next='nx')} AS dir, {training.TARGETS['int'].format(next='nx')} AS int FROM x WHERE x IS NOT NULL AND nx IS NOT NULL)"""
+    l0 AS (SELECT *, lag(Close) OVER w AS p, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({_RET}) WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
+    l1 AS (SELECT *, greatest(High - Low, abs(High - p), abs(Low - p)) AS tr, i < n - greatest(20, least(60, n // 5)) - 20 AS train FROM l0),
+    l2 AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr, avg(CASE WHEN train THEN LogRet END) OVER (PARTITION BY symbol) AS mu, stddev_pop(CASE WHEN train THEN LogRet END) OVER (PARTITION BY symbol) + 1e-9 AS sd FROM l1 WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+    l3 AS (SELECT *, LogRet / greatest(first_value(atr IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / (Close + 1e-9), 1e-6) AS u FROM l2),
+    l4 AS (SELECT symbol, dt, LogRet, 99e-2 * CASE WHEN u > 25e-2 THEN 1e0 WHEN u < -25e-2 THEN 0e0 ELSE 5e-1 END + 5e-3 AS dir, tanh((LogRet - mu) / (8e-1 * sd)) AS int FROM l3),
+    x AS (SELECT r.symbol, m.bucket, r.dt, r.LogRet AS x, lead(r.LogRet) OVER w AS ret, lead(r.dir) OVER w AS dir, lead(r.int) OVER w AS int FROM l4 r JOIN members m ON r.symbol = m.symbol WINDOW w AS (PARTITION BY r.symbol ORDER BY r.dt)),
+    t AS (SELECT symbol, bucket, dt, x, ret, dir, int FROM x WHERE x IS NOT NULL AND ret IS NOT NULL AND int IS NOT NULL)"""
 
 
 def _solved(target: str) -> tuple[str, str]:
@@ -537,6 +544,21 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("symbol", F.col("dt").cast("string").alias("dt"), "predicted_log_return", "dir_prob")
 
 
+_BOOST = {"rounds": 3, "depth": 3, "rate": 0.3, "least": 5, "penalty": 1.0}
+_BOOST_ON = ["RSI14", "MomentumZ", "VolZ", "Range", "CandlePos"]
+
+
+@add("boosted_by_symbol", f"""{BARS}, f AS (SELECT symbol, dt, {', '.join(f'round({n}, 6) AS {n}' for n in _BOOST_ON)}, lead(LogRet) OVER (PARTITION BY symbol ORDER BY dt) AS y FROM ({feat.features_sql(INDEXED, [*_BOOST_ON, 'LogRet'])})),
+    tab AS MATERIALIZED (SELECT symbol, CAST(dt - DATE '1970-01-01' AS BIGINT) AS day, [{', '.join(_BOOST_ON)}] AS v, CAST(round(round(y, 9) * 1e9) AS BIGINT) AS y FROM f WHERE y IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in _BOOST_ON)}),
+    {boosting.boosted_sql('tab', len(_BOOST_ON), **_BOOST)} SELECT symbol, day, p FROM fitted{_BOOST['rounds']}""")
+def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensembles of every symbol over all its rows, and what they predict for these."""
+    made = feat.features(_indexed(spark, sf_dir), [*_BOOST_ON, "LogRet"])
+    rows = splits.tabular(made.withColumns({n: F.round(n, 6) for n in _BOOST_ON}), _BOOST_ON).withColumn("y", F.round("y", 9))
+    table = scratch.written(boosting.binned(rows, _BOOST_ON), "binned")
+    return boosting.fit_boosted(table, **_BOOST)[1].select("symbol", "day", "p")
+
+
 # -- sources and sinks: written to the shared folder and read back --------------------------------------------------------------------
 
 _BARS_BACK = f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_doubles(_BAR)} FROM bars"
@@ -552,6 +574,22 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(back.select("symbol", "dt", *_BAR))
 
 
+@add("csv_by_name", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, {_doubles(_BAR)}, CASE WHEN symbol < 'C' THEN round(Close - Open, 4) + 0e0 END AS move, CAST(3 AS BIGINT) AS left_out FROM bars")
+def _csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two headers in one folder: columns in another order and one more in some, beside an empty file, one without rows and one that isn't text."""
+    path, bars = scratch_path(spark, "headers"), _daily(spark, sf_dir)
+    first = bars.filter("symbol < 'C'").select("Close", F.col("dt").alias("date"), "Volume", (F.col("Close") - F.col("Open")).alias("move"), "Open", "Low", "High", "symbol")
+    first.write.option("header", True).csv(f"{path}/a")
+    bars.filter("symbol >= 'C'").select(F.col("symbol").alias("Symbol"), F.col("dt").alias("DATE"), *[F.col(c).alias(c.lower()) for c in _BAR]).write.option("header", True).csv(f"{path}/b")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, data in (("empty", b""), ("bare", b"Date,Open,High\n"), ("broken", b"\xff\xfe\x00\x80,\x9f")):
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.csv"))
+        out.write(bytearray(data))
+        out.close()
+    table, left = readers.scan_csv(spark, path)
+    return _tidy(table.select("symbol", "dt", *_BAR, clean.number(F.col("move")).alias("move"), F.lit(left.count()).cast("long").alias("left_out")))
+
+
 @add("csv_of_a_symbol", _BARS_BACK + " WHERE symbol = 'MACHINERY'")
 def _symbol_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "symbols")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.clean import clean_numbers, parse_dates, standardise_columns
+from tidemark.operators.clean import BAR_NAMES, DATE_NAMES, clean_numbers, parse_dates, standardise_columns
 
 PRICES = ["Open", "High", "Low", "Close", "Volume"]
 
@@ -17,13 +21,77 @@ def symbol_of_file(path):
     return F.upper(F.regexp_replace(bare, "[^A-Za-z0-9]", ""))
 
 
+def csv_headers(spark: SparkSession, path: str, at_once: int = 32) -> dict[str, str | None]:
+    """The first line of each CSV file (.csv, .csv.gz) in a folder and those below it, or of one file; None if it can't be read, empty if there is none. Only first lines are read, files in parallel."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = place.getFileSystem(conf)
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    files, found = [], fs.listFiles(place, True)
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.getName().lower().endswith((".csv", ".csv.gz")) and not file.getName().startswith(("_", ".")):
+            files.append(file)
+
+    def first(file):
+        try:
+            stream = fs.open(file)
+            try:
+                codec = codecs.getCodec(file)
+                strict = spark._jvm.java.nio.charset.StandardCharsets.UTF_8.newDecoder()  # reports what isn't UTF-8
+                line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, strict)).readLine()
+                return (line or "").removeprefix("\ufeff")
+            finally:
+                stream.close()
+        except Exception:  # noqa: BLE001  whatever the file system or the codec raises
+            return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip((f.toString() for f in files), pool.map(first, files), strict=True))
+
+
+#: Names of which a header must have one, trimmed and in lower case.
+KNOWN = {*BAR_NAMES, *(n.lower() for n in DATE_NAMES)}
+
+
+def scan_csv(spark: SparkSession, path: str, key: str = "symbol") -> tuple[DataFrame, DataFrame]:
+    """A folder of CSV files, each with a header of its own, to one long table of bars, and the files that were left out (file, reason).
+
+    Columns go by name: files of one header are one scan, and the scans are united by name, so that files may have columns in another order, fewer, or more. Of columns that have one name the first counts. Values are
+    read as text and cleaned, so that one bad cell costs itself only. The symbol is the file's own column or its name. Left out are files without a line (``empty``), without a row (``no rows``), whose
+    first line can't be read or decoded (``unreadable``), or names neither a date nor a price (``no known column``)."""
+    groups, left = defaultdict(list), []
+    for file, line in csv_headers(spark, path).items():
+        names = [] if line is None else next(csv.reader([line]), [])
+        reason = "unreadable" if line is None else "empty" if not line.strip() else None if any(n.strip().lower() in KNOWN for n in names) else "no known column"
+        if reason:
+            left.append((file, reason))
+        else:
+            groups[tuple(names)].append(file)
+    table = None
+    for names, files in groups.items():
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(", ".join(f"_{i} string" for i in range(len(names)))).csv(files)
+        firsts = {n.strip().lower(): i for i, n in reversed(list(enumerate(names))) if n.strip()}
+        one = raw.select(*[F.col(f"_{i}").alias(names[i].strip()) for i in sorted(firsts.values())], F.col("_metadata.file_name").alias("_file"))
+        table = standardise_columns(one) if table is None else table.unionByName(standardise_columns(one), allowMissingColumns=True)
+    if table is None:
+        table = spark.createDataFrame([], "Date string, _file string")
+    seen = table.select(F.col("_file").alias("name")).distinct()
+    every = spark.createDataFrame([(f, f.rsplit("/", 1)[-1]) for fs in groups.values() for f in fs], "file string, name string")
+    bare = every.join(seen, "name", "left_anti").select("file", F.lit("no rows").alias("reason"))
+    return _bars_of(table, key), spark.createDataFrame(left, "file string, reason string").unionByName(bare)
+
+
 def read_bars_csv(spark: SparkSession, path: str, key: str = "symbol") -> DataFrame:
-    """A folder of CSV files to one long table. Values are read as text and cleaned, so that one bad cell costs itself only; the symbol is the file's own column or its name."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path).withColumn("_file", F.input_file_name())
-    named = standardise_columns(raw)
-    own = F.upper(F.trim(F.col(key))) if key in named.columns else F.lit(None).cast("string")
+    """The bars of ``scan_csv``."""
+    return scan_csv(spark, path, key)[0]
+
+
+def _bars_of(named: DataFrame, key: str) -> DataFrame:
+    keys = [c for c in named.columns if c.lower() == key.lower()]
+    own = F.upper(F.trim(F.col(f"`{keys[0]}`"))) if keys else F.lit(None).cast("string")
     named = parse_dates(clean_numbers(named, PRICES)).withColumn("symbol", F.coalesce(own, symbol_of_file(F.col("_file"))))
-    rest = [c for c in named.columns if c not in {"symbol", "dt", "Date", "_file", *PRICES}]
+    rest = [c for c in named.columns if c not in {"symbol", "dt", "Date", "_file", *PRICES, *keys}]
     return named.select("symbol", "dt", *[c for c in PRICES if c in named.columns], *rest)
 
 
