@@ -144,11 +144,11 @@ def test_csv_files_with_headers_of_their_own(spark, tmp_path):
     d = tmp_path / "csv files"
     d.mkdir()
     (d / "AAA.NS.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,9,10,8,9.5,100\n")
-    (d / "b b.csv").write_text('\ufeffdate,Close,Open,High,Low,"Volume",Extra,close\n2024-01-02,1.5,1,2,0.5,"1,000",x,7\n')
+    (d / "b +b.csv").write_text('\ufeffdate,Close,Open,High,Low,"Volume",Extra,close\n2024-01-02,1.5,1,2,0.5,"1,000",x,7\n')
     with gzip.open(d / "C_with_nifty50.csv.gz", "wt") as out:
         out.write("VOLUME , Datetime,Adj\n5,2024-01-03,2\n")
     (d / "empty.csv").write_text("")
-    (d / "bare.csv").write_text("Date,Open\n")
+    (d / "b%are +.csv").write_text("Date,Open\n")
     (d / "other.csv").write_text("name,size\na,1\n")
     (d / "broken.csv").write_bytes(b"\xff\xfe\x80 \x81")
     (d / "bad.csv.gz").write_bytes(b"no gzip")
@@ -158,7 +158,7 @@ def test_csv_files_with_headers_of_their_own(spark, tmp_path):
     assert {s: (str(r["dt"]), r["Open"], r["High"], r["Low"], r["Close"], r["Volume"], r["Extra"], r["Adj"]) for s, r in rows.items()} == {
         "AAA": ("2024-01-02", 9.0, 10.0, 8.0, 9.5, 100.0, None, None), "BB": ("2024-01-02", 1.0, 2.0, 0.5, 1.5, 1000.0, "x", None), "C": ("2024-01-03", None, None, None, None, 5.0, None, "2"),
     }
-    assert {r["file"].rsplit("/", 1)[-1]: r["reason"] for r in left.collect()} == {"empty.csv": "empty", "bare.csv": "no rows", "other.csv": "no known column", "broken.csv": "unreadable", "bad.csv.gz": "unreadable"}
+    assert {r["file"].rsplit("/", 1)[-1]: r["reason"] for r in left.collect()} == {"empty.csv": "empty", "b%are +.csv": "no rows", "other.csv": "no known column", "broken.csv": "unreadable", "bad.csv.gz": "unreadable"}
 
 
 def test_sources_and_sinks(spark, tmp_path):

@@ -72,7 +72,7 @@ def scan_csv(spark: SparkSession, path: str, key: str = "symbol") -> tuple[DataF
     for names, files in groups.items():
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(", ".join(f"_{i} string" for i in range(len(names)))).csv(files)
         firsts = {n.strip().lower(): i for i, n in reversed(list(enumerate(names))) if n.strip()}
-        one = raw.select(*[F.col(f"_{i}").alias(names[i].strip()) for i in sorted(firsts.values())], F.col("_metadata.file_name").alias("_file"))
+        one = raw.select(*[F.col(f"_{i}").alias(names[i].strip()) for i in sorted(firsts.values())], F.url_decode(F.regexp_replace("_metadata.file_name", "[+]", "%2B")).alias("_file"))
         table = standardise_columns(one) if table is None else table.unionByName(standardise_columns(one), allowMissingColumns=True)
     if table is None:
         table = spark.createDataFrame([], "Date string, _file string")
