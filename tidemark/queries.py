@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
-from tidemark.operators import backtest, boosting, clean, features as feat, joins, mapping, models, resample, signals, splits, training
+from tidemark.operators import backtest, boosting, clean, features as feat, fits, joins, mapping, models, resample, signals, splits, training
 from tidemark.sources import fixtures as fx, readers, scratch, sinks
 from tidemark.sources.scratch import scratch_path
 from tidemark.streaming import incremental
@@ -544,6 +544,12 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("symbol", F.col("dt").cast("string").alias("dt"), "predicted_log_return", "dir_prob")
 
 
+@add("loss_fits")
+def _loss_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints of all stages, fitted under the training losses with a stop on held-out rows."""
+    return fits.train_under_losses(_returns(spark, sf_dir), _members(spark, sf_dir), ["LogRet"], _CUTOFF)
+
+
 _BOOST = {"rounds": 3, "depth": 3, "rate": 0.3, "least": 5, "penalty": 1.0}
 _BOOST_ON = ["RSI14", "MomentumZ", "VolZ", "Range", "CandlePos"]
 
