@@ -25,12 +25,12 @@ def plain(rows, length):
 
 
 def test_as_the_plain_version(spark):
-    for seed, length, gram, shard, hot in ((1, 100, 32, 2000, 10_000), (3, 40, 8, 1000, 4)):
+    for seed, length, gram, shard, hot, few in ((1, 100, 32, 2000, 10_000, 1 << 14), (3, 40, 8, 1000, 4, 0)):
         rng = random.Random(seed)
         rows = documents(seed, 90)
         rows += [(1000 + i, rows[rng.randint(9, 80)][1] + "tail", "en", "z", 1) for i in range(20)]
         df = table(spark, rows, parts=4).withColumn("kept", F.lit(3)).withColumn("shard", F.lit("s"))
-        got = {r["doc_id"]: r for r in dedup(df, length=length, gram=gram, shard_bytes=shard, hot=hot, shard_group=3).collect()}
+        got = {r["doc_id"]: r for r in dedup(df, length=length, gram=gram, shard_bytes=shard, hot=hot, shard_group=3, few_shards=few).collect()}
         want = plain(rows, length)
         assert set(got) == set(want)
         for i, (kept, n, removed, spans) in want.items():

@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,8 @@ from tidemark.llm.common import ByteHasher, give_back, materialise, slices, text
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a shard; rows of an anchor from which it is refined; bytes merged at once; bytes of a shard of suffixes; shards judged together at first.
 SHARD_BYTES, HOT, MERGE_BYTES, SUFFIX_BYTES, SHARD_GROUP = 8 << 20, 50_000, 1 << 18, 1 << 15, 1000
+#: Shards up to which the rows of an anchor are counted in a window. Both ways count all of them.
+FEW_SHARDS = 1 << 14
 
 
 class Anchors:
@@ -351,7 +353,7 @@ def _cut(rest: list[str], keep_text: bool):
     return run
 
 
-def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, shard_group: int = SHARD_GROUP) -> DataFrame:
+def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, shard_group: int = SHARD_GROUP, few_shards: int = FEW_SHARDS) -> DataFrame:
     """``df`` (doc_id, text and others, all kept but text) with ``kept`` (the bytes left, or their SHA-256 in hex if not ``keep_text``), n_bytes, n_removed and n_spans."""
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     rest = [c for c in df.columns if c not in ("text", *made)]
@@ -361,11 +363,13 @@ def dedup(df: DataFrame, keep_text: bool = True, length: int = LENGTH, gram: int
     docs = df.select(*[F.col(f"`{c}`").cast("long").alias(n) if c == "doc_id" else F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")
     docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     anchors = docs.select("text", "shard").mapInArrow(_anchor_rows(length, gram), "anchor long, shard int, n int, kinds int")
-    anchors = materialise(anchors, "places")
-    # counted by partial sums and joined back: an anchor that every shard has is in no one task
-    counted = anchors.groupBy("anchor").agg(F.sum("n").alias("every"), F.sum("kinds").alias("rows")).filter("every > 1")
-    left = anchors.join(counted.select("anchor", (F.col("rows") > hot).alias("hot")), "anchor")
-    left = materialise(left.select("anchor", F.col("shard").alias("at_shard"), "hot").distinct(), "anchors")
+    if shards <= few_shards:  # one small row of an anchor for each shard, at most: they are counted side by side
+        window = Window.partitionBy("anchor")
+        left = anchors.withColumns({"every": F.sum("n").over(window), "rows": F.sum("kinds").over(window)}).filter("every > 1")
+    else:  # counted by partial sums and joined back, so that an anchor that every shard has is in no one task
+        anchors = materialise(anchors, "places")
+        left = anchors.join(anchors.groupBy("anchor").agg(F.sum("n").alias("every"), F.sum("kinds").alias("rows")).filter("every > 1"), "anchor")
+    left = materialise(left.select("anchor", F.col("shard").alias("at_shard"), (F.col("rows") > hot).alias("hot")).distinct(), "anchors")
     # this pass over the texts and the last one read one exchange
     sent = docs.groupBy("shard").cogroup(left.filter("not hot").groupBy("at_shard")).applyInArrow(_send(length, gram), _SENT)
     bucket = F.pmod("anchor", F.lit(shards)).cast("int")
