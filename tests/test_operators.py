@@ -91,7 +91,7 @@ def test_sequences_and_splits(spark):
     parts = {r["part"]: r["n"] for r in splits.holdout(bars(spark, 300, ("A",))).groupBy("part").agg(F.count("*").alias("n")).collect()}
     assert parts == {"train": 220, "val": 40, None: 40}
     walk = splits.walk_forward(bars(spark, 1300, ("A",)).select("dt")).orderBy("split_id").collect()
-    assert len(walk) == 3 and (walk[1]["train_start"], walk[1]["test_end"]) == (day(126), day(126 + 1047))
+    assert len(walk) == 3 and (walk[1]["split_id"], walk[1]["train_start"], walk[1]["test_end"]) == (1, day(126), day(126 + 1047))
     assert splits.last_rows(bars(spark, 300)).count() == 400 and splits.last_rows(bars(spark, 100)).count() == 0
     smooth = spark.createDataFrame([(0.0,), (1.0,)], "y double").select(splits.smooth(F.col("y")).alias("y")).collect()
     assert [round(r["y"], 6) for r in smooth] == [0.005, 0.995]

@@ -63,7 +63,7 @@ def last_rows(df: DataFrame, length: int = 90, least: int = 60, most: int = 200)
 
 
 def walk_forward(days: DataFrame, train: int = 756, purge: int = 20, embargo: int = 20, test: int = 252, step: int = 126) -> DataFrame:
-    """Splits of a calendar (one column dt): train days, a purge, an embargo and test days, each split ``step`` days after the one before."""
+    """Splits of a calendar (one column dt): train days, a purge, an embargo and test days, each split ``step`` days after the one before, numbered from 0."""
     numbered_days = days.distinct().withColumn("i", F.row_number().over(Window.orderBy("dt")) - 1)
     span = train + purge + embargo + test
     total = numbered_days.agg(F.count("*").alias("n"))
@@ -72,7 +72,7 @@ def walk_forward(days: DataFrame, train: int = 756, purge: int = 20, embargo: in
     for name, offset in ends.items():
         day = numbered_days.select(F.col("dt").alias(name), F.col("i").alias("_i"))
         splits = splits.join(day, F.col("_i") == F.col("split_id") * step + offset).drop("_i")
-    return splits.select((F.col("split_id") + 1).alias("split_id"), "train_start", "train_end", F.lit(purge).alias("purge_days"), F.lit(embargo).alias("embargo_days"), "test_start", "test_end", F.lit(train).alias("train_days"), F.lit(test).alias("test_days"))
+    return splits.select("split_id", "train_start", "train_end", F.lit(purge).alias("purge_days"), F.lit(embargo).alias("embargo_days"), "test_start", "test_end", F.lit(train).alias("train_days"), F.lit(test).alias("test_days"))
 
 
 def scale(df: DataFrame, columns: list[str], kind: str = "minmax", train: str = "part", low: float = -500.0, high: float = 500.0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
-from tidemark.operators import backtest, boosting, clean, features as feat, fits, joins, mapping, models, resample, signals, splits, training
+from tidemark.operators import backtest, boosting, clean, features as feat, fits, joins, mapping, models, resample, signals, splits, training, walkforward
 from tidemark.sources import fixtures as fx, readers, scratch, sinks
 from tidemark.sources.scratch import scratch_path
 from tidemark.streaming import incremental
@@ -274,11 +274,40 @@ for _kind, _cut in (("pretrain", "n - greatest(20, least(60, n // 5))"), ("finet
 
 
 @add("walk_forward_splits", f"""{BARS}, d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DISTINCT dt FROM bars)), s AS (SELECT unnest(range(0, CAST(floor(((SELECT count(*) FROM d) - 1048) / 126.0) AS BIGINT) + 1)) AS k)
-    SELECT CAST(k + 1 AS INTEGER) AS split_id, {', '.join(f'CAST((SELECT dt FROM d WHERE i = k * 126 + {o}) AS VARCHAR) AS {n}' for n, o in (('train_start', 0), ('train_end', 755), ('test_start', 796), ('test_end', 1047)))}, 20 AS purge_days, 20 AS embargo_days, 756 AS train_days, 252 AS test_days FROM s""")
+    SELECT CAST(k AS INTEGER) AS split_id, {', '.join(f'CAST((SELECT dt FROM d WHERE i = k * 126 + {o}) AS VARCHAR) AS {n}' for n, o in (('train_start', 0), ('train_end', 755), ('test_start', 796), ('test_end', 1047)))}, 20 AS purge_days, 20 AS embargo_days, 756 AS train_days, 252 AS test_days FROM s""")
 def _walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(splits.walk_forward(_daily(spark, sf_dir).select("dt")))
 
 
+#: Rows with the next bar's return as y, known on that bar's day; days are numbered, splits are those of the calendar.
+_WALK = f"""t AS (SELECT symbol, dt, LogRet AS x, lead(LogRet) OVER (PARTITION BY symbol ORDER BY dt) AS y, lead(dt) OVER (PARTITION BY symbol ORDER BY dt) AS known FROM ({_RET})),
+    d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS i FROM (SELECT DISTINCT dt FROM bars)), s AS (SELECT unnest(range(0, CAST(floor(((SELECT count(*) FROM d) - 1048) / 126.0) AS BIGINT) + 1)) AS k),
+    r AS (SELECT t.symbol, x, y, d.i, e.i AS j FROM t JOIN d USING (dt) JOIN d e ON e.dt = t.known WHERE x IS NOT NULL AND y IS NOT NULL),
+    g AS (SELECT symbol, k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM r JOIN s ON i >= k * 126 AND i < k * 126 + 756 AND j < k * 126 + 796 GROUP BY symbol, k),
+    m AS (SELECT symbol, k, n, ((sxx + 1) * sy - sx * sxy) / ((n + 1) * (sxx + 1) - sx * sx) AS a, ((n + 1) * sxy - sx * sy) / ((n + 1) * (sxx + 1) - sx * sx) AS b FROM g),
+    p AS (SELECT r.symbol, k, y, a + b * x AS z FROM r JOIN m ON m.symbol = r.symbol AND i >= k * 126 + 796 AND i < k * 126 + 1048)"""
+
+
+def _walk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _returns(spark, sf_dir).withColumns({"y": F.lead("LogRet").over(splits.series()), "known": F.lead("dt").over(splits.series())})
+
+
+@add("walk_forward_fits", f"""{BARS}, {_WALK} SELECT m.symbol, m.k AS split_id, m.n AS train_rows, count(z) AS test_rows, round(any_value(a), 4) + 0e0 AS intercept, round(any_value(b), 4) + 0e0 AS slope, round(sqrt(avg((y - z) * (y - z))), 4) + 0e0 AS rmse,
+    round(1 - sum((y - z) * (y - z)) / (CASE WHEN count(y) > 1 THEN var_pop(y) * count(y) END), 4) + 0e0 AS r2, round(avg(z) - avg(y), 4) + 0e0 AS bias FROM m LEFT JOIN p ON p.symbol = m.symbol AND p.k = m.k GROUP BY m.symbol, m.k, m.n""")
+def _walk_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = walkforward.fit(_walk_rows(spark, sf_dir), ["LogRet"], "y", "known")
+    return _tidy(made.select("symbol", "split_id", "train_rows", "test_rows", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope"), "rmse", "r2", "bias"))
+
+
+@add("walk_forward_scores", f"""{BARS}, {_WALK} SELECT symbol, k AS split_id, count(*) AS n, round(avg(abs(y - z)), 4) + 0e0 AS mae, round(median(abs(y - z)), 4) + 0e0 AS median_miss, round(avg(CASE WHEN (y > 0) = (z > 0) THEN 1e0 ELSE 0e0 END), 4) + 0e0 AS hit_rate FROM p GROUP BY symbol, k""")
+def _walk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _walk_rows(spark, sf_dir)
+    days = walkforward.calendar(rows)
+    single = walkforward.predictions(rows, walkforward.fit(rows, ["LogRet"], "y", "known", days=days), ["LogRet"], "y", "known", days=days)
+    miss, hit = F.abs(F.col("actual") - F.col("predicted")), ((F.col("actual") > 0) == (F.col("predicted") > 0)).cast("double")
+    return _tidy(single.groupBy("symbol", "split_id").agg(F.count("*").alias("n"), F.avg(miss).alias("mae"), F.median(miss).alias("median_miss"), F.avg(hit).alias("hit_rate")))
+
+
 @add("scaled_columns", f"""{BARS}, a AS (SELECT symbol, dt, Close, row_number() OVER (PARTITION BY symbol ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), t AS (SELECT *, i < CAST(floor(0.8 * n) AS BIGINT) - 20 AS tr FROM a)
     SELECT symbol, CAST(dt AS VARCHAR) AS dt, round((Close - min(Close) FILTER (tr) OVER w) / (max(Close) FILTER (tr) OVER w - min(Close) FILTER (tr) OVER w), 4) + 0e0 AS minmax, round((Close - avg(Close) FILTER (tr) OVER w) / stddev_pop(Close) FILTER (tr) OVER w, 4) + 0e0 AS standard FROM t WINDOW w AS (PARTITION BY symbol)""")
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
