@@ -15,7 +15,7 @@ from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
 from tidemark.operators import backtest, boosting, clean, features as feat, fits, joins, mapping, models, resample, scans, signals, splits, training, walkforward
 from tidemark.sources import fixtures as fx, readers, scratch, sinks
 from tidemark.sources.scratch import scratch_path
-from tidemark.streaming import incremental
+from tidemark.streaming import incremental, running
 from tidemark.streaming.incremental import bars_of_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,17 +324,38 @@ add("tabular_dataset", f"{BARS} SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(
 )
 
 
-@add("long_series_scans", f"""{BARS}, r AS (SELECT symbol, dt, Close, CASE WHEN Close > Open THEN Volume WHEN Close < Open THEN -Volume ELSE 0e0 END AS signed, row_number() OVER w AS i, max(CASE WHEN Close > Open THEN 0 ELSE 1 END * row_number) OVER w AS ended
+_SCANS_SQL = f"""{BARS}, r AS (SELECT symbol, dt, Close, CASE WHEN Close > Open THEN Volume WHEN Close < Open THEN -Volume ELSE 0e0 END AS signed, row_number() OVER w AS i, max(CASE WHEN Close > Open THEN 0 ELSE 1 END * row_number) OVER w AS ended
         FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS row_number FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
     e AS (SELECT a.symbol, a.i, sum(CASE WHEN b.i = 1 THEN 1e0 ELSE 2e0 / 13e0 END * power(11e0 / 13e0, a.i - b.i) * b.Close) AS mean FROM r a JOIN r b ON a.symbol = b.symbol AND b.i <= a.i AND b.i > a.i - 300 GROUP BY a.symbol, a.i)
-    SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(sum(signed) OVER (PARTITION BY symbol ORDER BY dt), 4) + 0e0 AS volume_flow, i - ended AS rising, round(mean, 2) + 0e0 AS mean12 FROM r JOIN e USING (symbol, i)""")
-def _long_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 1,000 rows, so that the supplied series are cut too."""
+    SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(sum(signed) OVER (PARTITION BY symbol ORDER BY dt), 4) + 0e0 AS volume_flow, i - ended AS rising, round(mean, 2) + 0e0 AS mean12 FROM r JOIN e USING (symbol, i)"""
+
+
+def _scans() -> scans.Scans:
     gain = F.col("Close") - F.col("Open")
-    made = scans.scan(_daily(spark, sf_dir), scans.Scans({"volume_flow": F.signum(gain) * F.col("Volume")}, {"rising": gain > 0}, {"mean12": (F.col("Close"), 12.0)}), 1_000)
+    return scans.Scans({"volume_flow": F.signum(gain) * F.col("Volume")}, {"rising": gain > 0}, {"mean12": (F.col("Close"), 12.0)})
+
+
+def _tidy_scans(made: DataFrame) -> DataFrame:
     return made.select("symbol", F.col("dt").cast("string").alias("dt"), rounded("volume_flow"), "rising", (F.round("mean12", 2) + 0.0).alias("mean12"))
 
 
+@add("long_series_scans", _SCANS_SQL)
+def _long_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 1,000 rows, so that the supplied series are cut too."""
+    return _tidy_scans(scans.scan(_daily(spark, sf_dir), _scans(), 1_000))
+
+
+@add("streamed_scans", _SCANS_SQL)
+def _streamed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that gets the bars in three parts and is begun anew from its checkpoint for each."""
+    bars, path = scratch.written(_daily(spark, sf_dir), "bars"), scratch_path(spark, "streamed")
+    for part in ("dt < '1996-07-01'", "dt >= '1996-07-01' AND dt < '1997-07-01'", "dt >= '1997-07-01'"):
+        bars.filter(part).write.mode("append").parquet(f"{path}/in")
+        stream = running.running(spark.readStream.schema(bars.schema).parquet(f"{path}/in"), _scans())
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return _tidy_scans(spark.read.parquet(f"{path}/out").filter(~F.col("late")))
+
+
 # -- signals -------------------------------------------------------------------------------------------------------------------
 
 #: Predictions made from customers: one symbol each, class by balance.
