@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from tidemark.queries import QUERIES
 
-HEADLINE = ["bars_daily", "bars_hourly", "asof_coarse", "integrate_indices", "volatility_buckets", "ind_base", "ind_trend", "ind_momentum", "ind_statistics", "ind_evidence_totals", "family_trend", "state_probabilities", "sequences", "walk_forward_splits", "ranked_reports", "regime_performance", "portfolio_metrics"]
+HEADLINE = ["bars_daily", "bars_hourly", "asof_coarse", "integrate_indices", "volatility_buckets", "ind_base", "ind_trend", "ind_momentum", "ind_statistics", "ind_evidence_totals", "family_trend", "state_probabilities", "sequences", "walk_forward_splits", "ranked_reports", "regime_performance", "portfolio_metrics", "stage_fits", "predict_only", "walk_forward_fits", "long_series_scans"]
 
 
 def main() -> None:
