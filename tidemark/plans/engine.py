@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ def compute(bars: DataFrame, formulas: dict[str, str], names: list[str], key: st
     later = _used_after(levels, names)
     for columns, keep in zip(levels, later, strict=True):
         if columns[0].kernel:
-            df = _kernel(df, columns, key, order)
+            df = _kernel(df, columns, [c for c in df.columns if c in keep or c in bars.columns or c == "rn"], key, order)
         else:
             df = df.selectExpr(*[c for c in df.columns if c in keep or c in bars.columns or c == "rn"], *[f"{c.text['spark']} AS {c.name}" for c in columns])
     return df.select(*bars.columns, *[n for n in names if n not in bars.columns])
@@ -45,34 +44,20 @@ def _used_after(levels: list[list[Column]], names: list[str]) -> list[set[str]]:
     return out[::-1]
 
 
-def _kernel(df: DataFrame, columns: list[Column], key: str, order: str) -> DataFrame:
-    """One grouped pass for all recursions of a level."""
+def _kernel(df: DataFrame, columns: list[Column], hand_on: list[str], key: str, order: str) -> DataFrame:
+    """One grouped pass for all recursions and orders of a level. Of the columns, what no one needs later goes no further."""
     jobs = [(c.name, *c.kernel) for c in columns]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c.name, T.DoubleType()) for c in columns)])
+    inputs = {i for _, _, names, _ in jobs for i in names}
+    df = df.select(*[c for c in df.columns if c in inputs or c in hand_on])
+    schema = T.StructType([*[df.schema[c] for c in hand_on], *(T.StructField(c.name, T.DoubleType()) for c in columns)])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table, sort_keys=[(order, "ascending")]))
-        cache: dict = {}
-
-        def col(name: str) -> np.ndarray:
-            if name not in cache:
-                cache[name] = table[name].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-            return cache[name]
-
-        for name, kind, inputs, numbers in jobs:
-            args = [col(i) for i in inputs]
-            if kind == "ema":
-                made = kernels.ema(args[0], numbers[0])
-            elif kind == "rankpct":
-                made = kernels.rankpct(args[0])
-            elif kind == "kama":
-                made = kernels.kama(*args)
-            else:
-                both = ("supertrend", inputs, numbers)
-                if both not in cache:
-                    cache[both] = kernels.supertrend(*args, *numbers)
-                made = cache[both][0 if kind.endswith("line") else 1]
-            table = table.append_column(name, pa.array(made, from_pandas=True))
+        series = {i: table[i].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float) for i in inputs}
+        made = kernels.run([job[1:] for job in jobs], series)
+        table = table.select(hand_on)
+        for (name, *_), values in zip(jobs, made, strict=True):
+            table = table.append_column(name, pa.array(values, from_pandas=True))
         return table
 
     # Spark doesn't know that a kernel hands on its partitioning

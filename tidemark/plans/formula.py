@@ -3,8 +3,8 @@
 A formula is text such as ``(Close - mean(Close, 20)) / (std(Close, 20) + EPS)``. Names are columns or other formulas. Calls of frame functions
 (rolling aggregates, lags, run lengths, ranks) become columns of their own, shared by all formulas that need them; macros are
 rewritten into simpler calls. Every column has a level, one above the highest it reads, so that a level is one SELECT over the one below. The
-text of a column is written for one of two dialects, Spark SQL or DuckDB SQL; recursions (``ema``, ``kama``, ``supertrend``) and whole-series
-ranks have no Spark text and are run by a grouped kernel there.
+text of a column is written for one of two dialects, Spark SQL or DuckDB SQL; recursions (``ema``, ``kama``, ``supertrend``), whole-series
+ranks and what needs the order of a window's values (quantiles, ranks, entropy, rescaled range) have no Spark text and are run by a grouped kernel there.
 
 NULL is the only missing value. A rolling aggregate over w rows is NULL unless all w values are there; a condition that can't
 be decided is false. A bare division by zero gives NULL; ``safe`` divides by a denominator that EPS is added to, so it gives NULL only where that sum is zero.
@@ -45,8 +45,11 @@ MACROS: dict[str, tuple[list[str], str]] = {
     "unit": (["x", "most"], "clip(x, 0, most) / most"),
 }
 
-#: Frame functions that recurse over a whole series, or rank it: each would be a sort of its own in SQL.
-RECURSIVE = ("ema", "kama", "supertrend_line", "supertrend_side", "rankpct")
+#: Frame functions that recurse over a whole series.
+RECURSIVE = ("ema", "kama", "supertrend_line", "supertrend_side")
+
+#: Frame functions of the order of a series or a window: in SQL each would be a sort of its own, or a list of the window for each row.
+ORDERED = ("rankpct", "quant", "pctrank", "entropy", "hurst", "argmax", "argmin")
 
 
 @dataclass
@@ -112,7 +115,7 @@ class Compiler:
         name = name or self._fresh("_w")
         kind = call.func.id
         reads: set[str] = set()
-        if kind in RECURSIVE:
+        if kind in RECURSIVE + ORDERED:
             inputs, numbers = [], []
             for arg in call.args:
                 value = _number(arg)
@@ -242,7 +245,7 @@ class Compiler:
                     ancestors(r)
 
         for c in list(wanted.values()):
-            if c.kernel and c.kernel[0] != "rankpct":
+            if c.kernel and c.kernel[0] in RECURSIVE:
                 ancestors(c.name)
         out: list[list[Column]] = []
         done = {n for n in self.base}
@@ -326,8 +329,7 @@ def _plain(function: str):
 
 
 def _quant(c, d, x, q, w):
-    function = f"percentile({x}, {q})" if d == "spark" else f"quantile_cont({x}, {q})"
-    return _gated(c, x, w, f"{function} {c.over(w)}")
+    return _gated(c, x, w, f"quantile_cont({x}, {q}) {c.over(w)}")
 
 
 def _skew(c, d, x, w):
@@ -377,16 +379,16 @@ def _rankpct(c, d, x):
 
 
 def _list(c, d, x, w):
-    return f"{'collect_list' if d == 'spark' else 'list'}({x}) {c.over(w)}"
+    return f"list({x}) {c.over(w)}"
 
 
-def _filtered(d: str, values: str, test: str) -> str:
-    return f"size(filter({values}, v -> {test}))" if d == "spark" else f"len(list_filter({values}, lambda v: {test}))"
+def _filtered(values: str, test: str) -> str:
+    return f"len(list_filter({values}, lambda v: {test}))"
 
 
 def _pctrank(c, d, x, w):
     values = _list(c, d, x, w)
-    return _gated(c, x, w, f"({_filtered(d, values, f'v < {x}')} + ({_filtered(d, values, f'v = {x}')} + 1) / 2e0) / {_literal(w)}")
+    return _gated(c, x, w, f"({_filtered(values, f'v < {x}')} + ({_filtered(values, f'v = {x}')} + 1) / 2e0) / {_literal(w)}")
 
 
 def _autocorr(c, d, x, k, w):
@@ -430,27 +432,17 @@ def _nw(c, d, x, h, w):
 def _entropy(c, d, x, w, bins):
     values = _list(c, d, x, w)
     low, wide = f"min({x}) {c.over(w)}", f"(max({x}) {c.over(w)} - min({x}) {c.over(w)})"
-    part = f"least(floor((v - {{low}}) / nullif({{wide}}, 0e0) * {bins}), {bins - 1})"
-    if d == "spark":
-        share = f"size(filter(s.l, v -> {part.format(low='s.a', wide='s.r')} = b)) / {_literal(w + EPS)}"
-        inner = f"aggregate(transform(sequence(0, {bins - 1}), b -> {share}), 0e0, (t, p) -> t - CASE WHEN p > 0e0 THEN p * ln(p + {_literal(EPS)}) ELSE 0e0 END)"
-        value = f"element_at(transform(array(named_struct('l', {values}, 'a', {low}, 'r', {wide})), s -> {inner}), 1)"
-    else:
-        share = f"len(list_filter({values}, lambda v: {part.format(low=low, wide=wide)} = b)) / {_literal(w + EPS)}"
-        value = f"list_sum(list_transform(list_transform(range({bins}), lambda b: {share}), lambda p: CASE WHEN p > 0e0 THEN -p * ln(p + {_literal(EPS)}) ELSE 0e0 END))"
+    part = f"least(floor((v - {low}) / nullif({wide}, 0e0) * {bins}), {bins - 1})"
+    share = f"{_filtered(values, f'{part} = b')} / {_literal(w + EPS)}"
+    value = f"list_sum(list_transform(list_transform(range({bins}), lambda b: {share}), lambda p: CASE WHEN p > 0e0 THEN -p * ln(p + {_literal(EPS)}) ELSE 0e0 END))"
     alone = _literal(-(w / (w + EPS)) * math.log(w / (w + EPS) + EPS))
     return _gated(c, x, w, f"CASE WHEN {wide} = 0e0 THEN {alone} ELSE {value} END")
 
 
 def _hurst(c, d, x, w):
     values, mean = _list(c, d, x, w), f"avg({x}) {c.over(w)}"
-    if d == "spark":
-        start = "named_struct('z', 0e0, 'lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE))"
-        step = "(t, v) -> named_struct('z', t.z + v - s.m, 'lo', least(t.lo, t.z + v - s.m), 'hi', greatest(t.hi, t.z + v - s.m))"
-        reach = f"element_at(transform(array(named_struct('l', {values}, 'm', {mean})), s -> aggregate(s.l, {start}, {step}, t -> t.hi - t.lo)), 1)"
-    else:
-        sums = f"list_transform(range(1, {int(w) + 1}), lambda k: list_sum(({values})[1:k]) - k * ({mean}))"
-        reach = f"(list_max({sums}) - list_min({sums}))"
+    sums = f"list_transform(range(1, {int(w) + 1}), lambda k: list_sum(({values})[1:k]) - k * ({mean}))"
+    reach = f"(list_max({sums}) - list_min({sums}))"
     spread = f"(stddev_pop({x}) {c.over(w)} + {_literal(EPS)})"
     return _gated(c, x, w, f"ln(({reach}) / {spread} + {_literal(EPS)}) / {_literal(math.log(w + EPS))}")
 
@@ -458,9 +450,7 @@ def _hurst(c, d, x, w):
 def _firstmax(order: str):
     def make(c, d, x, w):
         values = _list(c, d, x, w)
-        best = {"spark": f"array_{order}({values})", "duckdb": f"list_{order}({values})"}[d]
-        at = {"spark": f"array_position({values}, {best})", "duckdb": f"list_position({values}, {best})"}[d]
-        return _gated(c, x, w, f"CAST({at} - 1 AS DOUBLE)")
+        return _gated(c, x, w, f"CAST(list_position({values}, list_{order}({values})) - 1 AS DOUBLE)")
 
     return make
 
