@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.library import GROUPS
 from tidemark.functions.indicators import FAMILIES, OF_A_FAMILY
 from tidemark.operators import backtest, boosting, clean, features as feat, fits, joins, mapping, models, resample, scans, signals, splits, training, walkforward
-from tidemark.sources import fixtures as fx, readers, scratch, sinks
+from tidemark.sources import fetching, fixtures as fx, readers, scratch, sinks, versions
 from tidemark.sources.scratch import scratch_path
 from tidemark.streaming import incremental, running
 from tidemark.streaming.incremental import bars_of_events
@@ -708,6 +708,31 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(incremental.current(spark, target, schema))
 
 
+@add("fetched_bars", _BARS_BACK)
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars fetched by a stream from an archive of files by symbol: two symbols up to the middle of 1995, then, from the checkpoint, all of them up to the last day."""
+    archive, target, state = (scratch_path(spark, x) for x in ("archive", "fetched", "progress"))
+    sinks.write_bars(_daily(spark, sf_dir), archive)
+    spark.dataSource.register(fetching.Fetches)
+    days = spark.read.parquet(archive).agg(F.min("dt"), F.max("dt")).first()
+    symbols = sorted(r[0] for r in spark.read.parquet(archive).select("symbol").distinct().collect())
+    for some, end in ((symbols[:2], "1995-06-30"), (symbols, str(days[1]))):
+        stream = spark.readStream.format("fetches").options(symbols=",".join(some), start=str(days[0]), end=end, fetch="tidemark.sources.fetching:archive", at=archive).load()
+        incremental.take_up(stream.filter("error IS NULL").drop("error"), target, state).awaitTermination()
+    return _tidy(incremental.current(spark, target, fetching.Fetches({}).schema().removesuffix(", error string")))
+
+
+@add("committed_indices", f"{BARS} SELECT CAST(dt AS VARCHAR) AS dt, upper(symbol) AS name, round(CASE WHEN symbol = 'BUILDING' THEN Close + 1 ELSE Close END, 4) + 0e0 AS close FROM bars")
+def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every index's history in a table that is swapped at once: all of them, then one again with other values."""
+    path, bars = scratch_path(spark, "indices"), _daily(spark, sf_dir)
+    names = {r[0]: r[0].upper() for r in bars.select("symbol").distinct().collect()}
+    first, again = readers.index_history(bars, names), readers.index_history(bars.filter("symbol = 'BUILDING'").withColumn("Close", F.col("Close") + 1), names)
+    sinks.write_indices(first, path)
+    sinks.write_indices(again, path)
+    return _tidy(versions.read(spark, path, ", ".join(f"{n} {t}" for n, t in first.dtypes)))
+
+
 add("index_history", f"{BARS} SELECT CAST(dt AS VARCHAR) AS dt, CASE symbol WHEN 'AUTOMOBILE' THEN 'NIFTY_AUTO' ELSE 'NIFTY50' END AS name, round(Close, 4) + 0e0 AS close FROM bars WHERE symbol IN ('AUTOMOBILE', 'BUILDING')")(
     lambda s, d: _tidy(readers.index_history(_daily(s, d), {"Automobile": "NIFTY_AUTO", "Building": "NIFTY50"}))
 )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import versions
+
 
 def write_bars(bars: DataFrame, path: str) -> None:
     """Parquet by symbol; a rerun replaces the symbols that it has."""
@@ -19,6 +21,11 @@ def write_predictions(predictions: DataFrame, path: str, cutoff: str) -> bool:
     return True
 
 
+def write_indices(history: DataFrame, path: str) -> None:
+    """Histories of indices (dt, name, close) by name, in a table of ``versions``; a rerun replaces the indices that it has, all at once."""
+    versions.write(history, path, "name")
+
+
 def write_reports(reports: DataFrame, path: str, cutoff: str) -> None:
     """Ranked reports by kind and volatility class."""
     reports.withColumn("cutoff", F.lit(cutoff)).repartition("report", "volatility_class").write.mode("overwrite").option("header", True).partitionBy("cutoff", "report", "volatility_class").csv(path)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.joins import upsert
-from tidemark.sources.scratch import delete
+from tidemark.sources import versions
+from tidemark.sources.scratch import delete, scratch_path
 
 
 def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -21,41 +22,35 @@ def bars_of_events(events: DataFrame, width: str = "1 hour", late: str = "10 min
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "dt"), every: str | None = None) -> StreamingQuery:
-    """Takes up all new files of ``source`` and upserts them into the Parquet table ``target``, partitioned by month; what was taken is kept in ``checkpoint``.
+    """Takes up all new files of ``source`` as ``take_up`` does."""
+    return take_up(spark.readStream.schema(schema).parquet(source), target, checkpoint, keys, every)
 
-    ``every`` (such as "60 seconds") polls until it is stopped; without it the query ends when nothing is new. A batch reads and replaces the months that it has rows of, and no others. The merged
-    months are written aside first; a batch that is run again after a failure takes these and doesn't merge with a table that may be half replaced. They are deleted at its end.
+
+def take_up(stream: DataFrame, target: str, checkpoint: str, keys: tuple[str, ...] = ("symbol", "dt"), every: str | None = None) -> StreamingQuery:
+    """Upserts a stream with a column dt into the table ``target`` (see ``sources.versions``), partitioned by month; what was taken is kept in ``checkpoint``.
+
+    ``every`` (such as "60 seconds") polls until it is stopped; without it the query ends when nothing is new. A batch is written aside once, then reads and replaces the months that it has rows of, and no others. Readers see
+    a batch's months all at once; a batch that is run again after a failure counts once.
     """
-    stream = spark.readStream.schema(schema).parquet(source)
+    schema = ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
 
     def take(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("month", F.date_format("dt", "yyyy-MM"))
-        months = [r["month"] for r in batch.select("month").distinct().collect()]
-        if not months:
-            return
-        aside = f"{target}.aside/batch={number}"
-        if not _exists(spark, f"{aside}/_SUCCESS"):
-            old = _table(spark, target, schema).filter(F.col("month").isin(months))
-            upsert(old, batch, list(keys)).write.mode("overwrite").parquet(aside)
-        merged = spark.read.parquet(aside)
-        merged.repartition("month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(target)
-        delete(spark, aside)
+        spark, month = batch.sparkSession, F.date_format("dt", "yyyy-MM")
+        # the source is read once a batch: a fetch is dear, and may not be asked twice
+        arrived = scratch_path(spark, "arrived")
+        batch.write.parquet(arrived)
+        batch = spark.read.schema(batch.schema).parquet(arrived)
+        months = [r[0] for r in batch.select(month).distinct().collect()]
+        if months:
+            before = versions.version(spark, target)
+            merged = upsert(versions.read(spark, target, schema, months, before), batch, list(keys))
+            versions.write(merged, target, month, token=(versions.stream_id(spark, checkpoint), number), seen=before)
+        delete(spark, arrived)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
-def _table(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    if not _exists(spark, target):
-        return spark.createDataFrame([], f"{schema}, month string")
-    return spark.read.schema(f"{schema}, month string").parquet(target)
-
-
 def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
     """The table as it is, empty before the first batch."""
-    return _table(spark, target, schema).drop("month")
+    return versions.read(spark, target, schema)
