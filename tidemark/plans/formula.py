@@ -320,29 +320,32 @@ SCALARS = {
 # -- frame functions: (compiler, dialect, arguments) to text ---------------------------------------------------------------------
 
 
-def _gated(c: Compiler, x: str, w: int, value: str) -> str:
+def _gated(c: Compiler, d: str, x: str, w: int, value: str) -> str:
+    """``value`` where all of a window's values are known. Spark goes through a sliding frame anew for each row, so there the rows since the last gap are taken, from a frame that only grows."""
+    if d == "spark":
+        return f"(CASE WHEN rn - coalesce(max(CASE WHEN ({x}) IS NULL THEN rn END) {c.over(0)}, 0) >= {int(w)} THEN {value} END)"
     return f"(CASE WHEN count({x}) {c.over(w)} = {int(w)} THEN {value} END)"
 
 
 def _plain(function: str):
-    return lambda c, d, x, w: _gated(c, x, w, f"{function}({x}) {c.over(w)}")
+    return lambda c, d, x, w: _gated(c, d, x, w, f"{function}({x}) {c.over(w)}")
 
 
 def _quant(c, d, x, q, w):
-    return _gated(c, x, w, f"quantile_cont({x}, {q}) {c.over(w)}")
+    return _gated(c, d, x, w, f"quantile_cont({x}, {q}) {c.over(w)}")
 
 
 def _skew(c, d, x, w):
     if d == "duckdb":
-        return _gated(c, x, w, f"skewness({x}) {c.over(w)}")
-    return _gated(c, x, w, f"skewness({x}) {c.over(w)} * {_literal(math.sqrt(w * (w - 1)) / (w - 2))}")
+        return _gated(c, d, x, w, f"skewness({x}) {c.over(w)}")
+    return _gated(c, d, x, w, f"skewness({x}) {c.over(w)} * {_literal(math.sqrt(w * (w - 1)) / (w - 2))}")
 
 
 def _kurt(c, d, x, w):
     if d == "duckdb":
-        return _gated(c, x, w, f"kurtosis({x}) {c.over(w)}")
+        return _gated(c, d, x, w, f"kurtosis({x}) {c.over(w)}")
     a, b = (w - 1) / ((w - 2) * (w - 3)), w + 1
-    return _gated(c, x, w, f"({_literal(b)} * kurtosis({x}) {c.over(w)} + 6e0) * {_literal(a)}")
+    return _gated(c, d, x, w, f"({_literal(b)} * kurtosis({x}) {c.over(w)} + 6e0) * {_literal(a)}")
 
 
 def _both(x: str, y: str) -> str:
@@ -350,13 +353,13 @@ def _both(x: str, y: str) -> str:
 
 
 def _cov(c, d, x, y, w):
-    return f"(CASE WHEN count({_both(x, y)}) {c.over(w)} = {int(w)} THEN covar_samp({x}, {y}) {c.over(w)} END)"
+    return _gated(c, d, _both(x, y), w, f"covar_samp({x}, {y}) {c.over(w)}")
 
 
 def _corr(c, d, x, y, w):
     spread = f"(stddev_samp({_both(x, y)}) {c.over(w)} * stddev_samp({_both(y, x)}) {c.over(w)})"
     value = f"covar_samp({x}, {y}) {c.over(w)} / nullif({spread}, 0e0)"
-    return f"(CASE WHEN count({_both(x, y)}) {c.over(w)} = {int(w)} THEN {value} END)"
+    return _gated(c, d, _both(x, y), w, value)
 
 
 def _lag(c, d, x, k):
@@ -388,7 +391,7 @@ def _filtered(values: str, test: str) -> str:
 
 def _pctrank(c, d, x, w):
     values = _list(c, d, x, w)
-    return _gated(c, x, w, f"({_filtered(values, f'v < {x}')} + ({_filtered(values, f'v = {x}')} + 1) / 2e0) / {_literal(w)}")
+    return _gated(c, d, x, w, f"({_filtered(values, f'v < {x}')} + ({_filtered(values, f'v = {x}')} + 1) / 2e0) / {_literal(w)}")
 
 
 def _autocorr(c, d, x, k, w):
@@ -396,13 +399,13 @@ def _autocorr(c, d, x, k, w):
 
 
 def _slope(c, d, x, w):
-    return _gated(c, x, w, f"regr_slope({x}, CAST(rn AS DOUBLE)) {c.over(w)}")
+    return _gated(c, d, x, w, f"regr_slope({x}, CAST(rn AS DOUBLE)) {c.over(w)}")
 
 
 def _r2(c, d, x, w):
     squares = f"(var_pop({x}) {c.over(w)} * {_literal(w)})"
     fit = f"(power(covar_pop({x}, CAST(rn AS DOUBLE)) {c.over(w)}, 2e0) / {_literal((w * w - 1) / 12)} * {_literal(w)})"
-    return _gated(c, x, w, f"1e0 - ({squares} - {fit}) / ({squares} + {_literal(EPS)})")
+    return _gated(c, d, x, w, f"1e0 - ({squares} - {fit}) / ({squares} + {_literal(EPS)})")
 
 
 def _fir(c: Compiler, x: str, weights: list[float]) -> str:
@@ -414,11 +417,11 @@ def _curve(c, d, x, w):
     t = [w - 1 - k - (w - 1) / 2 for k in range(int(w))]
     q = [v * v - (w * w - 1) / 12 for v in t]
     norm = sum(v * v for v in q)
-    return _gated(c, x, w, _fir(c, x, [2 * v / norm for v in q]))
+    return _gated(c, d, x, w, _fir(c, x, [2 * v / norm for v in q]))
 
 
 def _wma(c, d, x, w):
-    return _gated(c, x, w, _fir(c, x, [2 * (w - k) / (w * (w + 1)) for k in range(int(w))]))
+    return _gated(c, d, x, w, _fir(c, x, [2 * (w - k) / (w * (w + 1)) for k in range(int(w))]))
 
 
 def _nw(c, d, x, h, w):
@@ -436,7 +439,7 @@ def _entropy(c, d, x, w, bins):
     share = f"{_filtered(values, f'{part} = b')} / {_literal(w + EPS)}"
     value = f"list_sum(list_transform(list_transform(range({bins}), lambda b: {share}), lambda p: CASE WHEN p > 0e0 THEN -p * ln(p + {_literal(EPS)}) ELSE 0e0 END))"
     alone = _literal(-(w / (w + EPS)) * math.log(w / (w + EPS) + EPS))
-    return _gated(c, x, w, f"CASE WHEN {wide} = 0e0 THEN {alone} ELSE {value} END")
+    return _gated(c, d, x, w, f"CASE WHEN {wide} = 0e0 THEN {alone} ELSE {value} END")
 
 
 def _hurst(c, d, x, w):
@@ -444,13 +447,13 @@ def _hurst(c, d, x, w):
     sums = f"list_transform(range(1, {int(w) + 1}), lambda k: list_sum(({values})[1:k]) - k * ({mean}))"
     reach = f"(list_max({sums}) - list_min({sums}))"
     spread = f"(stddev_pop({x}) {c.over(w)} + {_literal(EPS)})"
-    return _gated(c, x, w, f"ln(({reach}) / {spread} + {_literal(EPS)}) / {_literal(math.log(w + EPS))}")
+    return _gated(c, d, x, w, f"ln(({reach}) / {spread} + {_literal(EPS)}) / {_literal(math.log(w + EPS))}")
 
 
 def _firstmax(order: str):
     def make(c, d, x, w):
         values = _list(c, d, x, w)
-        return _gated(c, x, w, f"CAST(list_position({values}, list_{order}({values})) - 1 AS DOUBLE)")
+        return _gated(c, d, x, w, f"CAST(list_position({values}, list_{order}({values})) - 1 AS DOUBLE)")
 
     return make
 
