@@ -51,11 +51,18 @@ def ema(x: np.ndarray, span: float) -> np.ndarray:
     at = np.flatnonzero(~np.isnan(x))
     if not len(at):
         return out
-    # of the known values, mean = b * mean before + (1 - b) * value
-    old = (1.0 - a) ** np.diff(at)
-    b = old / (old + a)
-    known = np.concatenate([x[at[:1]], linear(b, (1 - b) * x[at[1:]], x[at[0]])])
-    out[at[0] :] = known[np.cumsum(~np.isnan(x[at[0] :])) - 1]
+    known = x[at].tolist()
+    mean = known[0]
+    made = [mean]
+    # step by step, in the order of the definition: a closed form over blocks differs in the last bits, which shows where a mean lies on half of the last place kept
+    for value, rows in zip(known[1:], np.diff(at).tolist(), strict=True):
+        if rows == 1:
+            mean = mean * (1.0 - a) + value * a
+        else:
+            old = (1.0 - a) ** rows
+            mean = (old * mean + a * value) / (old + a)
+        made.append(mean)
+    out[at[0] :] = np.array(made)[np.cumsum(~np.isnan(x[at[0] :])) - 1]
     return out
 
 
