@@ -69,6 +69,28 @@ def test_op4(spark, sf_dir, docs):
     assert np.mean(held) > 0.85
 
 
+def test_op4_reads_few_texts_at_once(spark, sf_dir, monkeypatch):
+    """4,096 texts a batch, as Spark reads by itself, swell an executor's heap."""
+    key, seen, write = "spark.sql.parquet.columnarReaderBatchSize", {}, queries.materialise
+
+    def noted(df, name, keep=False):
+        seen[name] = int(spark.conf.get(key))
+        return write(df, name, keep)
+
+    monkeypatch.setattr(queries, "materialise", noted)
+    before = spark.conf.get(key)
+    run(spark, sf_dir, "op4_quality")
+    assert seen["features"] <= 256 and spark.conf.get(key) == before
+
+    def broken(df, name, keep=False):
+        raise OSError("no room")
+
+    monkeypatch.setattr(queries, "materialise", broken)
+    with pytest.raises(OSError):
+        run(spark, sf_dir, "op4_quality")
+    assert spark.conf.get(key) == before
+
+
 def test_op5(spark, sf_dir):
     got = {i: tuple(r[c] for c in ("n_sentences", "sentence_ids", "licences")) for i, r in run(spark, sf_dir, "op5_licences").items()}
     con = duckdb.connect()

@@ -68,6 +68,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
@@ -88,6 +89,17 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+@contextmanager
+def narrow_reads(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Parquet is read in batches of ``rows`` for what is executed within. Spark's own 4,096 whole texts make arrays of tens of megabytes, by which an executor's heap grows and stays."""
+    before = spark.conf.get(_READ)
+    spark.conf.set(_READ, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_READ, before)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a Python worker lives on between tasks and would hold it beside the next ones."""
     pa.default_memory_pool().release_unused()

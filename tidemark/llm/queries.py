@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, materialise, temporary
+from tidemark.llm.common import bounded_batches, materialise, narrow_reads, temporary
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import fit, held_out, with_features, with_scores
 
-    rows = materialise(with_features(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False), "features")
+    with narrow_reads(spark):
+        rows = materialise(with_features(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False), "features")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
     model = fit(rows.join(labels, "doc_id").select("features", "label"))
     scored = with_scores(rows.select("doc_id", held_out().alias("held_out"), "features"), model)
