@@ -36,6 +36,17 @@ def test_as_the_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["ranked_reports", "reports_round_trip"])
+def test_returns_near_a_half_rank_as_in_the_sql(spark, tmp_path, name):
+    """845 / 1e5 * 1e4 is just below 84.5, 1235 / 1e5 * 1e4 is 123.5; a half that is rounded the other way ties with the next customer and takes the rank. -1 gives a negative zero."""
+    balances = [9595.0, 9596.0, 845.0, 846.0, 1245.0, 1246.0, 1235.0, 1236.0, -845.0, -846.0, -1.0, 1.0, 0.0]
+    spark.createDataFrame(list(enumerate(balances, 1)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(SQL[name]).df()
+    assert rows(got) == rows(want)
+
+
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -363,8 +363,9 @@ _PRED = f"SELECT 'S' || CAST(c_custkey AS VARCHAR) AS symbol, {mapping.level_of_
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns are rounded by way of the product, as DuckDB does: 845 / 1e5 times 1e4 lies just below 84.5, but F.round to four places goes by the digits 0.00845, and up. Ranks depend on it."""
     rows = fx.table(spark, sf_dir, "customer")
-    return rows.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("symbol"), mapping.level_of(F.abs("c_acctbal") / 1e4).alias("volatility_class"), F.round(F.col("c_acctbal") / 1e5, 4).alias("predicted_return"))
+    return rows.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("symbol"), mapping.level_of(F.abs("c_acctbal") / 1e4).alias("volatility_class"), (F.round(F.col("c_acctbal") / 1e5 * 1e4) / 1e4).alias("predicted_return"))
 
 
 @add("ranked_reports", f"""WITH p AS ({_PRED}) SELECT symbol, volatility_class, round(predicted_return, 4) + 0e0 AS predicted_return, CAST(rank AS INTEGER) AS rank, report FROM (
